@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import packing
+from lodestone.llm import decontam, langid, line_dedup, ngram_join, packing
 from lodestone.llm.common import table
 
 
@@ -16,15 +17,55 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    cut = F.aggregate("removed", F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", F.size("removed").alias("n_removed"), cut.alias("chars_removed"), "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs, langid.fit(docs, ~langid.held_out()))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+NGRAM_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\t-\r ]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.a, x.b FROM (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS c FROM s JOIN s t ON s.g = t.g AND s.doc_id <> t.doc_id GROUP BY ALL) x
+  JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE x.c >= 0.8 * (na.n + nb.n - x.c) - 1e-9),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.doc_id)
+SELECT r.doc_id, min(r.c) AS class_id, (SELECT count(*) FROM p WHERE p.a = r.doc_id) AS n_links FROM r GROUP BY r.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_language_id": op7_language_id,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard_join": NGRAM_SQL}

@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -10,10 +11,15 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("word_bpe_49k.json")
 
 
-def whole_ids(text):
+@functools.cache
+def whole():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(PATH)
+
+
+def whole_ids(text):
+    return whole().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 TEXTS = [
