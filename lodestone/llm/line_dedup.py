@@ -48,7 +48,9 @@ def line_spans(text: str) -> list[tuple[int, int]]:
 
 
 def chunks_of(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """text, pos, len, words and hash of the chunks with two lines at least, or one long line."""
+    """text, pos, len, words and hash of the chunks with two lines at least, or one long line.
+
+    A shorter line between two boundaries takes along the line behind it, so that chunks may overlap by a line."""
     spans = [line_spans(t) for t in texts]
     count = np.array([len(s) for s in spans], np.int64)
     lines = [t[a:b].split() for t, s in zip(texts, spans, strict=True) for a, b in s]
@@ -73,6 +75,10 @@ def chunks_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     power = np.cumprod(np.full(MOST_LINES, 0x9E3779B97F4A7C15, np.uint64))
     key = mix(np.add.reduceat(h * power[inside], at) + size.astype(np.uint64))
     held = np.add.reduceat(words, at)
+    alone = np.flatnonzero((size == 1) & (held < LONG_LINE) & ~np.append(fresh[1:], True)[at])
+    key[alone] = mix(h[at[alone]] * power[0] + h[at[alone] + 1] * power[1] + np.uint64(2))
+    held[alone] += words[at[alone] + 1]
+    size[alone] = 2
     ok = (size >= 2) | (held >= LONG_LINE)
     return text[at][ok], pos[at][ok], (end[at + size - 1] - pos[at])[ok], held[ok], key[ok]
 
@@ -107,7 +113,7 @@ def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[in
             continue
         # words cut at the far edge of the looked-at text don't count
         left, other = text[max(0, a - BESIDE) : a].split(), (r["head"] or "").split()
-        n = min(equal_head(left[::-1], other[::-1]), max(0, len(left) - 1))
+        n = min(equal_head(left[::-1], other[::-1]), max(0, len(left) - (a > BESIDE)))
         if n >= LEAST_BESIDE:
             a = max(0, a - BESIDE) + [m.start() for m in WORD.finditer(text[max(0, a - BESIDE) : a])][-n]
             held = left[-n:] + held
@@ -131,11 +137,15 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = chunks.join(again, "h").where("not (doc_id <=> f.doc_id and pos = f.pos)")
     found = found.select("doc_id", "pos", "len", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos"), F.col("f.len").alias("f_len")).distinct()
     order = Window.partitionBy("doc_id").orderBy("pos")
-    joins = F.lag(F.col("pos") + F.col("len")).over(order).eqNullSafe(F.col("pos")) & F.lag("f_doc").over(order).eqNullSafe(F.col("f_doc"))
-    joins &= F.lag(F.col("f_pos") + F.col("f_len")).over(order).eqNullSafe(F.col("f_pos"))
+    joins = (F.lag(F.col("pos") + F.col("len")).over(order) >= F.col("pos")) & F.lag("f_doc").over(order).eqNullSafe(F.col("f_doc"))
+    joins &= F.lag(F.col("pos") - F.col("f_pos")).over(order) == F.col("pos") - F.col("f_pos")
     found = found.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
     return found.groupBy("doc_id", "run").agg(
-        F.min("pos").alias("pos"), F.sum("len").alias("len"), F.min("f_doc").alias("f_doc"), F.min("f_pos").alias("f_pos"), F.sum("f_len").alias("f_len")
+        F.min("pos").alias("pos"),
+        (F.max(F.col("pos") + F.col("len")) - F.min("pos")).alias("len"),
+        F.min("f_doc").alias("f_doc"),
+        F.min("f_pos").alias("f_pos"),
+        (F.max(F.col("f_pos") + F.col("f_len")) - F.min("f_pos")).alias("f_len"),
     )
 
 
