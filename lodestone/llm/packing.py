@@ -44,13 +44,14 @@ class WordIds:
 
     The tokenizer drops white space and cuts there first, so a text's ids are those of its words in a row. A word of
     Latin-1 letters, with or without punctuation behind it, is one or two pre-tokens: these go to the model directly,
-    which is faster than the whole tokenizer; all other words pass the tokenizer as they are.
+    which is faster than the whole tokenizer; all other words pass the tokenizer as they are. lower: whether the
+    tokenizer lower-cases.
     """
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 250_000, lower: bool = True) -> None:
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.whole, self.lower = Tokenizer.from_file(path), lower
         self.model = self.whole.model
         self.most, self.known, self.cores = most, {}, {}
         self.simple = re.compile(f"([{LATIN}]+)([.,!?;:]*)").fullmatch
@@ -70,7 +71,7 @@ class WordIds:
         got = self.known.get(word)
         if got is None:
             if m := self.simple(word):
-                got = self.core(m[1].lower()) + (self.core(m[2]) if m[2] else ())
+                got = self.core(m[1].lower() if self.lower else m[1]) + (self.core(m[2]) if m[2] else ())
             else:
                 got = tuple(self.whole.encode(word, add_special_tokens=False).ids)
             if len(self.known) >= self.most:
@@ -99,10 +100,10 @@ class WordIds:
 _shared: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One WordIds for each Python worker."""
+def word_ids(path: str, lower: bool = True) -> WordIds:
+    """One WordIds for each Python worker and tokenizer."""
     if path not in _shared:
-        _shared[path] = WordIds(path)
+        _shared[path] = WordIds(path, lower=lower)
     return _shared[path]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, langid, line_dedup, ngram_join, order_minhash, packing, pii, url_filters, warc
+from lodestone.llm import decontam, langid, line_dedup, lm_scoring, ngram_join, order_minhash, packing, pii, url_filters, warc
 from lodestone.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -50,9 +54,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    out = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = F.aggregate("removed", F.lit(0), lambda n, x: n + x["end"] - x["start"])
-    return out.select("doc_id", F.size("removed").alias("n_removed"), cut.alias("chars_removed"), "n_chars", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", F.size("removed").alias("n_removed"), cut.alias("chars_removed"), F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +122,7 @@ SELECT r.doc_id, min(r.c) AS class_id, (SELECT count(*) FROM p WHERE p.a = r.doc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_url_filters": op3_url_filters,
         "op4_warc": op4_warc,
