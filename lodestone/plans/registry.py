@@ -1,15 +1,325 @@
-"""Registry of the retrieval engine's own queries and their DuckDB equivalents."""
+"""Registry of the retrieval engine's own queries and their DuckDB equivalents, over the driver's tables.
+
+Documents stand for notes (path: lang/source/id.md), embeddings for chunk vectors whose label says what is relevant, and
+benchmark items for answer spans. Markdown structure, which documents lack, comes from a view derived by rule.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import markdown, text
+from lodestone.operators import corpus, evaluate, retrieval, wikitext
+from lodestone.operators.providers import HashEmbedder
+
+QUERIES = ((0, "The tion of the and"), (1, "der und enschein"), (2, "ción mente que"), (3, "êaux léau entre?!"), (4, "?? -- ::"), (5, "foo_bar under_the"))
+EMBEDDER = HashEmbedder(64)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def path() -> F.Column:
+    return F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(path().alias("path"), F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"))
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.chunk_notes(notes(spark, d)).withColumn("embedding_text", F.col("text"))
+
+
+def markdown_view(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with front matter, headings, tags and links."""
+    n = F.col("doc_id").cast("string")
+    raw = F.concat(
+        F.lit("---\nlang: "), "lang", F.lit("\nurl: http://"), "source", F.lit("/x\nlang: second\nno colon\n---\n"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("# Note  "), n, F.lit(" \n\n"))).otherwise("intro\n"),
+        "text", F.lit("\n\n## Links\n\nSee [["), "source", F.lit("]] and [[ "), "lang", F.lit("#x|y]] #"), "lang", F.lit(" #b/c-1 no#tag\n#### Deep\n"), F.substring("text", 1, 50), F.lit("\n### Mid\n## Empty\n# Last\nend\n"),
+    )
+    return table(spark, d, "documents").select(path().alias("path"), raw.alias("raw"), F.lit(0.0).alias("mtime"))
+
+
+def asked(spark: SparkSession, n: int = len(QUERIES)) -> DataFrame:
+    return spark.createDataFrame(list(QUERIES[:n]), "query_id long, text string")
+
+
+def r6(c: str) -> F.Column:
+    return F.round(c, 6).alias(c)
+
+
+# --- scans and text -------------------------------------------------------------------------------------------------------
+
+
+def scan_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+def token_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+
+
+def doc_freq(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_freq_top(spark, d):
+    rows = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("tf")).orderBy(F.col("tf").desc(), "term").limit(50)
+
+
+def normalize_ws(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_ws(F.concat(F.lit(" \t"), "text", F.lit("\r\n ")))).alias("h"))
+
+
+def accent_fold(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.fold(F.lower("text"))).alias("h"))
+
+
+def snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+def slugify(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 40), F.col("lang")).alias("slug"))
+
+
+# --- notes and chunks -----------------------------------------------------------------------------------------------------
+
+
+def parsed_notes(spark, d):
+    rows = markdown.parse_notes(markdown_view(spark, d))
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("path", "title", join("tags"), join("wikilinks"), F.col("frontmatter")["lang"].alias("lang"), F.col("frontmatter")["url"].alias("url"), F.size("frontmatter").alias("n_front"), "content_hash")
+
+
+def sections_heading_path(spark, d):
+    rows = markdown.parse_notes(markdown_view(spark, d)).select("path", F.posexplode(markdown.sections(F.col("body"))).alias("no", "s"))
+    return rows.select("path", "no", F.array_join("s.heading_path", "/").alias("heading_path"), F.md5("s.text").alias("h"))
+
+
+def chunk_windows(spark, d):
+    return chunks(spark, d).select("note_path", "ordinal", "token_count", F.md5("text").alias("h"))
+
+
+def read_note(spark, d):
+    rows = retrieval.read_notes(notes(spark, d), chunks(spark, d))
+    return rows.select("note_path", "title", F.md5("text").alias("h"))
+
+
+def note_titles(spark, d):
+    ask = spark.createDataFrame([("en/src1/1.md",), ("en/src2/2.md",), ("none.md",)], "path string")
+    return retrieval.note_titles(notes(spark, d), ask)
+
+
+def turns_by_conversation(spark, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"]))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(turns, "\n\n")).alias("h"), F.count("*").alias("n"))
+
+
+def uncontextualized_notes(spark, d):
+    blurb = F.when(F.col("doc_id") % 10 == 0, F.lit(None)).when(F.col("doc_id") % 10 == 1, "").otherwise("about")
+    return evaluate.uncontextualized(table(spark, d, "documents").select(path().alias("note_path"), blurb.alias("context_blurb")))
+
+
+# --- index maintenance ----------------------------------------------------------------------------------------------------
+
+
+def _versions(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.where("doc_id % 11 <> 0").select(path().alias("path"), F.sha2("text", 256).alias("known"))
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    return old, docs.where("doc_id % 13 <> 0").select(path().alias("path"), F.sha2(edited, 256).alias("content_hash"))
+
+
+def index_diff_upsert(spark, d):
+    old, new = _versions(spark, d)
+    rows = new.join(old, "path", "left").where(~F.col("content_hash").eqNullSafe(F.col("known")))
+    return rows.select("path", F.when(F.col("known").isNull(), "new").otherwise("changed").alias("kind"))
+
+
+def index_deletes(spark, d):
+    old, new = _versions(spark, d)
+    return old.join(new, "path", "left_anti").select("path")
+
+
+def index_stats(spark, d):
+    return notes(spark, d).agg(F.count("*").alias("notes")).crossJoin(chunks(spark, d).agg(F.count("*").alias("chunks"), F.sum("token_count").alias("words")))
+
+
+# --- retrieval ------------------------------------------------------------------------------------------------------------
+
+
+def _sparse(spark, d, queries, k):
+    c = chunks(spark, d)
+    return retrieval.sparse(retrieval.postings(c), retrieval.corpus_stats(c), queries, k)
+
+
+def bm25_topk(spark, d):
+    return _sparse(spark, d, asked(spark, 1), 10).select("query_id", "rank", "note_path", "ordinal", r6("score"))
+
+
+def bm25_multi_query(spark, d):
+    return _sparse(spark, d, asked(spark), 50).select("query_id", "rank", "note_path", "ordinal", r6("score"))
+
+
+def _vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    v = e.select(F.col("vec_id").cast("string").alias("note_path"), F.lit(0).alias("ordinal"), "embedding", "label")
+    return v, e.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
+
+
+def knn_topk(spark, d):
+    v, q = _vectors(spark, d)
+    return retrieval.dense(v, q.where("query_id = 7"), 50).select("query_id", "rank", "note_path", r6("score"))
+
+
+def knn_multi_query(spark, d):
+    v, q = _vectors(spark, d)
+    return retrieval.dense(v, q, 10).select("query_id", "rank", "note_path", r6("score"))
+
+
+def knn_report(spark, d):
+    """Recall and reciprocal rank of a vector of the same label, other than the query itself, by label and overall."""
+    v, q = _vectors(spark, d)
+    got = retrieval.dense(v, q, 11).join(v.select("note_path", "label"), "note_path").join(q.select("query_id", "wanted"), "query_id")
+    got = got.where(F.col("note_path") != F.col("query_id").cast("string"))
+    hit = F.when(F.col("label") == F.col("wanted"), F.col("rank"))
+    best = got.groupBy("query_id").agg(evaluate.recall(hit, 3).alias("recall"), evaluate.reciprocal(hit).alias("mrr"))
+    scored = q.select("query_id", F.col("wanted").cast("string").alias("scenario")).join(best, "query_id", "left").fillna(0.0, ["recall", "mrr"])
+    return evaluate.report(scored, "scenario").select("scenario", "n", r6("recall"), r6("mrr"))
+
+
+def rrf_fuse(spark, d):
+    v, q = _vectors(spark, d)
+    near = retrieval.dense(v, q, 20)
+    far = retrieval.dense(v.where("cast(note_path as bigint) % 2 = 0"), q, 20)
+    return retrieval.fuse(near, far, 30).select("query_id", "rank", "note_path", r6("score"), "dense_rank", "sparse_rank")
+
+
+def _hybrid(spark, d, k):
+    c = chunks(spark, d)
+    embedded = c.withColumn("embedding", EMBEDDER.column(F.col("embedding_text")))
+    return retrieval.search_knowledge(embedded, retrieval.postings(c), retrieval.corpus_stats(c), asked(spark), EMBEDDER, k)
+
+
+def hybrid_search(spark, d):
+    return _hybrid(spark, d, 10).select("query_id", "rank", "note_path", "ordinal", r6("score"), "dense_rank", "sparse_rank")
+
+
+def search_sources(spark, d):
+    rows = retrieval.search_sources(_hybrid(spark, d, 50), notes(spark, d), 10)
+    return rows.select("query_id", "rank", "note_path", "title", "hit_count", r6("best_score"), F.array_join("snippets", "|").alias("snippets"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------------
+
+
+def _span_hits(spark, d):
+    """Documents that hold a benchmark item, white space and case aside. Item words are looked up first, so that not every pair is compared."""
+    items = table(spark, d, "benchmark").select("item_id", text.normalize_ws(F.col("text")).alias("span"))
+    docs = table(spark, d, "documents").select("doc_id", text.normalize_ws(F.col("text")).alias("body"))
+    key = F.slice(F.split("span", " "), 2, 3)
+    items = items.withColumn("seed", F.array_join(key, " "))
+    w = F.split("body", " ")
+    rows = docs.select("doc_id", "body", w.alias("w"))
+    rows = rows.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("seed"))
+    return retrieval.small(items).join(rows, "seed").where(F.contains("body", "span")).select("item_id", "doc_id").distinct()
+
+
+def span_recall(spark, d):
+    hits = _span_hits(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return table(spark, d, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc", F.coalesce(1.0 / (F.col("first_doc") + 1), F.lit(0.0)).alias("rr"))
+
+
+def eval_report(spark, d):
+    """Scores of a quality gold set by language and overall."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    scored = rows.select(F.col("lang").alias("scenario"), F.col("quality").cast("double").alias("recall"), (1.0 / (1 + F.col("doc_id") % 5)).alias("mrr"))
+    return evaluate.report(scored, "scenario").select("scenario", "n", r6("recall"), r6("mrr"))
+
+
+def eval_delta(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    off = rows.select(F.col("lang").alias("scenario"), F.col("quality").cast("double").alias("recall"), F.lit(0.5).alias("mrr"))
+    on = rows.select(F.col("lang").alias("scenario"), F.col("toxic").cast("double").alias("recall"), F.lit(0.75).alias("mrr"))
+    out = evaluate.delta(evaluate.report(off, "scenario"), evaluate.report(on, "scenario"), "scenario")
+    return out.select("scenario", "n", *(r6(f"{m}_{x}") for m in evaluate.METRICS for x in ("off", "on", "delta")))
+
+
+def gold_validation_errors(spark, d):
+    cases = [
+        (0, "a", "paraphrase", ["en/src1/1.md"], [("en/src1/1.md", "Is and RETITIONING")]),
+        (1, "b", "guess", ["nowhere.md"], [("en/src1/1.md", "not in it"), ("gone.md", "x")]),
+        (2, "c", "buried", [], []),
+    ]
+    given = spark.createDataFrame(cases, "case_no int, query string, type string, expected_notes array<string>, answer_spans array<struct<note:string,text:string>>")
+    return evaluate.gold_errors(given, notes(spark, d).select("path", F.col("body").alias("text"))).select("case_no", "check_no", "item_no", "error")
+
+
+# --- corpus text ----------------------------------------------------------------------------------------------------------
+
+
+def strip_html_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(wikitext.strip_tags(F.col("html"))).alias("h"))
+
+
+def strip_comments(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(wikitext.strip_comments(F.concat("html", F.lit("<!-- a\n--> b <!-- c")))).alias("h"))
+
+
+def manifest_errors(spark, d):
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 50 == 0, "a/b").otherwise("music").alias("cluster"), F.when(F.col("doc_id") % 60 == 0, "??").otherwise(F.substring("text", 1, 20)).alias("title"), F.when(F.col("doc_id") % 70 == 0, "EN").otherwise(F.col("lang")).alias("lang"), (F.col("doc_id") % 80).alias("revid"))
+    return corpus.manifest_errors(rows)
+
+
+def slug_collisions(spark, d):
+    return corpus.slug_collisions(table(spark, d, "documents").select(F.col("source").alias("cluster"), F.substring("text", 1, 12).alias("title"), "lang"))
+
+
+WIKI = (
+    ("en", "Violin", "'''Violin'''s{{sfn|A|1}} of {{convert|356|mm|in}}<ref>x</ref> ({{lang|it|violino}}, ).\n== Parts ==\n* one\n** two\n# first\n[[Cello|cellos]] and [[Spruce]]s\n{|a\n|}\n== References ==\nx\n=== y ===\nz\n== End ==\nOp.&nbsp;9 [http://x.org label]"),
+    ("it", "Violino", "Il ''violino''<!-- no --> [[File:a.jpg|thumb|[[x]] y]] {{music|breve}}[[Categoria:X]] {{cite web|url=x unclosed"),
+)
+
+
+def wikitext_markdown(spark, d):
+    pages = spark.createDataFrame(list(WIKI), "lang string, title string, wikitext string")
+    targets = spark.createDataFrame([("en", "Cello", "cello"), ("it", "Violino", "violino-it")], "lang string, title string, slug string")
+    return wikitext.to_markdown(pages, targets).select("lang", "title", "markdown", F.to_json("dropped").alias("dropped"))
+
+
+def wikitext_pages(spark, d):
+    """The pattern stages over whole web pages, as a load for the pipeline."""
+    pages = table(spark, d, "pages").select("page_id", F.lit("en").alias("lang"), F.col("url").alias("title"), F.col("html").alias("wikitext"))
+    return wikitext.to_markdown(pages).select("page_id", F.char_length("markdown").alias("n_chars"))
+
+
+def watch_events(spark, d):
+    """Change batches by hour: how many notes (users) each batch would re-index, and how many in all so far."""
+    e = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("batch"), "user_id")
+    return e.groupBy("batch").agg(F.count_distinct("user_id").alias("n_changed"), F.count("*").alias("n_events"))
+
+
+NAMES = (
+    scan_hash, token_count, doc_freq, term_freq_top, normalize_ws, accent_fold, snippets, slugify, parsed_notes, sections_heading_path, chunk_windows, read_note, note_titles, turns_by_conversation,
+    uncontextualized_notes, index_diff_upsert, index_deletes, index_stats, bm25_topk, bm25_multi_query, knn_topk, knn_multi_query, knn_report, rrf_fuse, hybrid_search, search_sources, span_recall, eval_report,
+    eval_delta, gold_validation_errors, strip_html_tags, strip_comments, manifest_errors, slug_collisions, wikitext_markdown, wikitext_pages, watch_events,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodestone.plans.oracle import SQL
+
+    return dict(SQL)
