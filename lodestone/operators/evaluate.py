@@ -45,10 +45,10 @@ def span_case_scores(cases: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
 
 
 def report(scored: DataFrame, group: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """Means by group and over all cases (group 'overall'), in one aggregation. No cases: one row of zeros."""
-    means = [F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics]
-    rows = scored.groupingSets([[F.col(group)], []], F.col(group)).agg(F.grouping(group).alias("g"), F.count("*").alias("n"), *means)
-    return rows.select(F.when(F.col("g") == 1, "overall").otherwise(F.col(group)).alias(group), "n", *metrics)
+    """Means by group and over all cases (group 'overall'; a row of zeros if there are none)."""
+    means = [F.count("*").alias("n"), *(F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics)]
+    overall = scored.agg(*means).select(F.lit("overall").alias(group), "n", *metrics)
+    return scored.groupBy(group).agg(*means).unionByName(overall)
 
 
 def delta(off: DataFrame, on: DataFrame, group: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
