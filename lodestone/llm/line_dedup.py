@@ -31,36 +31,40 @@ MOST_LINES = 16
 #: Characters beside a run that are looked at for further equal words, and words that must be equal there.
 BESIDE = 240
 LEAST_BESIDE = 3
-CUT = re.compile(r"\n|(?<=[.!?]) ")
+#: Stands for a null doc_id.
+NULL_ID = -(1 << 63)
 WORD = re.compile(r"\S+\s*")
-CHUNK_SCHEMA = "doc_id long, pos int, len int, words int, h long"
+CHUNK_SCHEMA = "doc_id long, pos int, len int, h long"
 
 
-def line_spans(text: str) -> list[tuple[int, int]]:
-    at, out = 0, []
-    for m in CUT.finditer(text):
-        if m.end() > at and text[at : m.end()].strip():
-            out.append((at, m.end()))
-            at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text)))
-    return out
+def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """text, pos, end (in code points, without white space behind) and content of the lines that aren't blank.
+
+    The space behind a sentence is made a newline first, which keeps all places."""
+    cut = pc.split_pattern(pc.replace_substring_regex(texts, r"([.!?]) ", "\\1\n"), "\n")
+    flat = cut.flatten()
+    size = np.asarray(pc.utf8_length(flat), dtype=np.int64)
+    text = np.asarray(pc.list_parent_indices(cut), dtype=np.int64)
+    ends = np.cumsum(size + 1)
+    counts = np.bincount(text, minlength=len(texts)).astype(np.int64)
+    start_of = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+    content = pc.utf8_rtrim_whitespace(flat)
+    held = np.asarray(pc.utf8_length(content), dtype=np.int64)
+    pos = ends - size - 1 - start_of[text]
+    full = held > 0
+    return text[full], pos[full], (pos + held)[full], content.filter(pa.array(full))
 
 
-def chunks_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """text, pos, len, words and hash of the chunks with two lines at least, or one long line.
 
     A shorter line between two boundaries takes along the line behind it, so that chunks may overlap by a line."""
-    spans = [line_spans(t) for t in texts]
-    count = np.array([len(s) for s in spans], np.int64)
-    lines = [t[a:b].split() for t, s in zip(texts, spans, strict=True) for a, b in s]
-    text = np.repeat(np.arange(len(texts)), count)
+    text, pos, end, lines = lines_of(texts)
     n = len(lines)
     if not n:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    pos, end = np.array([x for s in spans for x in s], np.int64).T
-    words = np.fromiter(map(len, lines), np.int64, n)
-    h = hash_strings(pa.array([" ".join(x) for x in lines]))
+    words = np.asarray(pc.count_substring(lines, " "), dtype=np.int64) + 1
+    h = hash_strings(lines)
     fresh = np.concatenate([[True], text[1:] != text[:-1]])
     before = np.where(fresh, np.uint64(0), np.concatenate([h[:1], h[:-1]]))
     rolled = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
@@ -87,9 +91,9 @@ def find_chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                text, pos, size, words, key = chunks_of(pc.fill_null(b.column("text"), "").to_pylist())
-                columns = [b.column("doc_id").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(words, pa.int32()), pa.array(key.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "len", "words", "h"])
+                text, pos, size, _, key = chunks_of(pc.fill_null(b.column("text"), ""))
+                columns = [b.column("doc_id").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(key.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "len", "h"])
 
     return docs.select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA)
 
@@ -134,10 +138,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     chunks = find_chunks(docs)
     place = F.struct("doc_id", "pos", "len")
     again = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
-    found = chunks.join(again, "h").where("not (doc_id <=> f.doc_id and pos = f.pos)")
-    found = found.select("doc_id", "pos", "len", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos"), F.col("f.len").alias("f_len")).distinct()
+    found = chunks.join(again, "h").where("not (doc_id = f.doc_id and pos = f.pos)")
+    found = found.select("doc_id", "pos", "len", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos"), F.col("f.len").alias("f_len"))
     order = Window.partitionBy("doc_id").orderBy("pos")
-    joins = (F.lag(F.col("pos") + F.col("len")).over(order) >= F.col("pos")) & F.lag("f_doc").over(order).eqNullSafe(F.col("f_doc"))
+    joins = (F.lag(F.col("pos") + F.col("len")).over(order) >= F.col("pos")) & (F.lag("f_doc").over(order) == F.col("f_doc"))
     joins &= F.lag(F.col("pos") - F.col("f_pos")).over(order) == F.col("pos") - F.col("f_pos")
     found = found.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
     return found.groupBy("doc_id", "run").agg(
@@ -157,19 +161,21 @@ def remove_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
     fit such a row's own text is not cut there. n_chars, if there is such a column, follows the new text. Other
     columns are kept. Equal lines of one text repeat each other too. A null doc_id is treated as an id of its own.
     """
-    runs = repeated_runs(docs)
-    source = docs.select(F.col("doc_id").alias("f_doc"), F.col("text").alias("f_text"))
-    source = runs.join(source, runs["f_doc"].eqNullSafe(source["f_doc"]))
-    head = F.greatest(F.col("f_pos") - BESIDE, F.lit(0))
-    told = source.select(
-        "doc_id", "pos", "len",
-        F.substring(F.col("f_text"), head + 1, F.col("f_pos") - head).alias("head"),
-        F.substring(F.col("f_text"), F.col("f_pos") + 1, F.col("f_len")).alias("body"),
-        F.substring(F.col("f_text"), F.col("f_pos") + F.col("f_len") + 1, F.lit(BESIDE)).alias("tail"),
-    )
-    told = told.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("pos", "len", "head", "body", "tail")).alias("__runs"))
-    both = docs.join(told, docs["doc_id"].eqNullSafe(told["__id"]), "left").drop("__id")
+    docs = docs.withColumn("__k", F.coalesce("doc_id", F.lit(NULL_ID)))
+    runs = repeated_runs(docs.select(F.col("__k").alias("doc_id"), "text")).toDF(*(f"r_{c}" for c in ("doc_id", "run", "pos", "len", "doc", "first", "size")))
     names = docs.columns
+    plain = [c for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    head = F.greatest(F.col("r_first") - BESIDE, F.lit(0))
+    text = F.col("__f.text")
+    told = runs.join(docs.alias("__f"), F.col("r_doc") == F.col("__f.__k")).select(
+        "r_doc_id", F.col("r_pos").alias("pos"), F.col("r_len").alias("len"),
+        F.substring(text, head + 1, F.col("r_first") - head).alias("head"),
+        F.substring(text, F.col("r_first") + 1, F.col("r_size")).alias("body"),
+        F.substring(text, F.col("r_first") + F.col("r_size") + 1, F.lit(BESIDE)).alias("tail"),
+        F.hash(*(F.col(f"__f.`{c}`") for c in plain)).alias("all"),  # asks for all columns, so that both joins read one shuffle of docs
+    )
+    told = told.groupBy(F.col("r_doc_id").alias("__id")).agg(F.collect_list(F.struct("pos", "len", "head", "body", "tail", "all")).alias("__runs"))
+    both = docs.join(told, F.col("__k") == F.col("__id"), "left").drop("__id")
     i, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     tagged = both.toDF(*(f"c{k}" for k in range(len(names))), "runs")
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", removed array<struct<start:int,end:int>>"
@@ -183,7 +189,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
                 if spans:
                     edges = [0, *(p for s in spans for p in s), len(texts[k])]
                     texts[k] = "".join(texts[k][x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-            columns = [b.column(k) for k in range(len(names))]
+            columns = [b.column(k) for k in range(len(names))]  # with the key, which is last
             columns[i] = pa.array(texts, pa.string())
             if n_at is not None:
                 size = [len(t) if c else None for t, c in zip(texts, cuts, strict=True)]
@@ -191,7 +197,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, kind)], [*(f"c{k}" for k in range(len(names))), "removed"])
 
-    return tagged.mapInArrow(run, fields).toDF(*names, "removed")
+    return tagged.mapInArrow(run, fields).drop(f"c{len(names) - 1}").toDF(*names[:-1], "removed")
 
 
 def without_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
