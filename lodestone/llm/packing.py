@@ -48,7 +48,7 @@ class WordIds:
     tokenizer lower-cases.
     """
 
-    def __init__(self, path: str, most: int = 250_000, lower: bool = True) -> None:
+    def __init__(self, path: str, most: int = 600_000, lower: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.whole, self.lower = Tokenizer.from_file(path), lower
@@ -192,7 +192,7 @@ def pack_documents(docs: DataFrame, path: str, buffer_tokens: int = 1 << 20, kee
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 8 << 20):
                 ids, starts = enc.batch(b.column("text"), END_ID)
                 for i, doc in enumerate(b.column("doc_id").to_pylist()):
                     held.append((doc, ids[starts[i] : starts[i + 1]]))
