@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_strings, mix, slices
+from lodestone.llm.common import checkpoint, hash_strings, mix, slices
 
 #: Lines of so many words are chunks of their own.
 LONG_LINE = 40
@@ -90,7 +90,7 @@ def chunks_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
 def find_chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 2 << 20):
                 text, pos, size, _, key = chunks_of(pc.fill_null(b.column("text"), ""))
                 columns = [b.column("doc_id").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(key.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "len", "h"])
@@ -108,7 +108,7 @@ def equal_head(a: list[str], b: list[str]) -> int:
 
 
 def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[int, int]]:
-    """The places of text whose words are those of the runs' first occurrences, extended on either side; not overlapping."""
+    """The places of text whose words are those of the runs' first occurrences, extended on either side; joined where they touch."""
     out: list[tuple[int, int]] = []
     for r in sorted(runs, key=lambda r: r["pos"]):
         a, b = r["pos"], r["pos"] + r["len"]
@@ -127,9 +127,10 @@ def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[in
             b += [m.end() for m in WORD.finditer(text[b : b + BESIDE])][n - 1]
             held += right[:n]
         if len(held) >= least_words:
-            a = max(a, out[-1][1] if out else 0)
-            if b > a:
-                out.append((a, b))
+            if out and a <= out[-1][1]:
+                last = out.pop()
+                a, b = min(a, last[0]), max(b, last[1])
+            out.append((a, b))
     return out
 
 
@@ -138,7 +139,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     chunks = find_chunks(docs)
     place = F.struct("doc_id", "pos", "len")
     again = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
-    found = chunks.join(again, "h").where("not (doc_id = f.doc_id and pos = f.pos)")
+    found = chunks.join(checkpoint(again), "h").where("not (doc_id = f.doc_id and pos = f.pos)")
     found = found.select("doc_id", "pos", "len", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos"), F.col("f.len").alias("f_len"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     joins = (F.lag(F.col("pos") + F.col("len")).over(order) >= F.col("pos")) & (F.lag("f_doc").over(order) == F.col("f_doc"))
@@ -182,18 +183,20 @@ def remove_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, cuts = b.column(f"c{i}").to_pylist(), []
-            for k, held in enumerate(b.column("runs").to_pylist()):
-                spans = spans_to_cut(texts[k], held, least_words) if held and texts[k] else []
-                cuts.append([{"start": x, "end": y} for x, y in spans])
+            some = np.asarray(pc.is_valid(b.column("runs")))
+            mask, cuts, fresh = pa.array(some), [[]] * b.num_rows, []
+            for k, t, held in zip(np.flatnonzero(some).tolist(), b.column(f"c{i}").filter(mask).to_pylist(), b.column("runs").filter(mask).to_pylist(), strict=True):
+                spans = spans_to_cut(t, held, least_words) if t else []
+                cuts[k] = [{"start": x, "end": y} for x, y in spans]
                 if spans:
-                    edges = [0, *(p for s in spans for p in s), len(texts[k])]
-                    texts[k] = "".join(texts[k][x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                    edges = [0, *(p for s in spans for p in s), len(t)]
+                    t = "".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                fresh.append(t)
             columns = [b.column(k) for k in range(len(names))]  # with the key, which is last
-            columns[i] = pa.array(texts, pa.string())
+            columns[i] = pc.replace_with_mask(columns[i], mask, pa.array(fresh, columns[i].type))
             if n_at is not None:
-                size = [len(t) if c else None for t, c in zip(texts, cuts, strict=True)]
-                columns[n_at] = pc.coalesce(pa.array(size, columns[n_at].type), columns[n_at])
+                size = pc.utf8_length(columns[i]).cast(columns[n_at].type)
+                columns[n_at] = pc.if_else(pa.array([bool(c) for c in cuts]), size, columns[n_at])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, kind)], [*(f"c{k}" for k in range(len(names))), "removed"])
 
