@@ -106,18 +106,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it is joined to) for every end of an edge (a, b).
 
     Alternates large-star and small-star steps until no edge changes. Each step is two aggregations over the
-    edges, no node's neighbours are gathered in one row, and each round is cut off by a checkpoint. Null ends
-    and loops are ignored; no edges give no rows.
+    edges, no node's neighbours are gathered in one row, and each round is cut off by checkpoints: minima are checkpointed
+    before they are joined, so that Spark can split the join's partition of a node with many edges. Null ends and loops are ignored; no edges give no rows.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         nexts = small.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = checkpoint(nexts.union(low.select("a", F.col("m").alias("b"))).distinct())
