@@ -17,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import checkpoint, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 PER_WIDTH = 8
 DIM = 8
+#: So many languages are broadcast with their counts; more are joined.
+MOST_LANGS = 10_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -139,11 +141,16 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = 400, excerpt: int = 1024
     """Trains on at most per_lang rows of each language, in the order of a hash, an excerpt of each from its midst.
 
     The bound holds what reaches the driver; only rows where `learn` holds and text and lang are not null count. All
-    languages of those rows can be predicted.
+    languages of those rows can be predicted. Languages are counted first, and only rows with hashes under a bound that
+    about 4 * per_lang rows of a language pass are ranked, so that what is ranked doesn't grow with the table.
     """
+    sizes = checkpoint(docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("size")))
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_LANGS else sizes
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).join(sizes, "lang")
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) * F.col("size") <= F.lit(float(4 * per_lang << 30)))
     at = F.floor(F.greatest(F.char_length("text") - excerpt, F.lit(0)) / 2).cast("int") + 1
-    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text"), at, F.lit(excerpt)).alias("part"))
+    rows = rows.select("lang", "h", F.substring(F.col("text"), at, F.lit(excerpt)).alias("part"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
     got = rows.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "part").collect()
     langs = sorted({r.lang for r in got})
@@ -170,7 +177,7 @@ def predict_languages(docs: DataFrame, net: ByteCnn, others: tuple[str, ...] = (
         net, tables = shared.value
         names = np.array(net.langs, object)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 1 << 20):
                 texts = pc.fill_null(b.column("text"), "")
                 data, at = text_bytes(texts)
                 prob = apply(net, tables, data, at[:-1], at[1:])
