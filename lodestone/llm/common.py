@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -59,6 +59,7 @@ class Words:
     starts: np.ndarray
     codes: np.ndarray
     vocab: pa.Array
+    memo: dict = field(default_factory=dict)  # what users have looked up about the vocabulary
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word, the same in every process."""
