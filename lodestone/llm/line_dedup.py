@@ -31,6 +31,7 @@ MOST_LINES = 16
 #: Characters beside a run that are looked at for further equal words, and words that must be equal there.
 BESIDE = 240
 LEAST_BESIDE = 3
+EDGE = 60
 #: Stands for a null doc_id.
 NULL_ID = -(1 << 63)
 WORD = re.compile(r"\S+\s*")
@@ -107,26 +108,39 @@ def equal_head(a: list[str], b: list[str]) -> int:
     return n
 
 
+def may_match(x: str, y: str, side: int) -> bool:
+    """False if the two words nearest to a run (side -1: at the ends of x and y, 1: at their starts) differ, cheaply."""
+    x, y = (x[-EDGE:].split(), y[-EDGE:].split()) if side < 0 else (x[:EDGE].split(), y[:EDGE].split())
+    if len(x) < LEAST_BESIDE or len(y) < LEAST_BESIDE:
+        return True
+    return x[-2:] == y[-2:] if side < 0 else x[:2] == y[:2]
+
+
 def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[int, int]]:
     """The places of text whose words are those of the runs' first occurrences, extended on either side; joined where they touch."""
     out: list[tuple[int, int]] = []
     for r in sorted(runs, key=lambda r: r["pos"]):
-        a, b = r["pos"], r["pos"] + r["len"]
-        held = text[a:b].split()
-        if not held or held != (r["body"] or "").split():
+        a, b, body = r["pos"], r["pos"] + r["len"], r["body"] or ""
+        own, held = text[a:b], body.split()
+        if not held or (own != body and own.split() != held):
             continue
+        total = len(held)
         # words cut at the far edge of the looked-at text don't count
-        left, other = text[max(0, a - BESIDE) : a].split(), (r["head"] or "").split()
-        n = min(equal_head(left[::-1], other[::-1]), max(0, len(left) - (a > BESIDE)))
-        if n >= LEAST_BESIDE:
-            a = max(0, a - BESIDE) + [m.start() for m in WORD.finditer(text[max(0, a - BESIDE) : a])][-n]
-            held = left[-n:] + held
-        right, other = text[b : b + BESIDE].split(), (r["tail"] or "").split()
-        n = min(equal_head(right, other), max(0, len(right) - (b + BESIDE < len(text))))
-        if n >= LEAST_BESIDE:
-            b += [m.end() for m in WORD.finditer(text[b : b + BESIDE])][n - 1]
-            held += right[:n]
-        if len(held) >= least_words:
+        near, other = text[max(0, a - BESIDE) : a], r["head"] or ""
+        if may_match(near, other, -1):
+            left = near.split()
+            n = min(equal_head(left[::-1], other.split()[::-1]), max(0, len(left) - (a > BESIDE)))
+            if n >= LEAST_BESIDE:
+                a = max(0, a - BESIDE) + [m.start() for m in WORD.finditer(near)][-n]
+                total += n
+        near, other = text[b : b + BESIDE], r["tail"] or ""
+        if may_match(near, other, 1):
+            right = near.split()
+            n = min(equal_head(right, other.split()), max(0, len(right) - (b + BESIDE < len(text))))
+            if n >= LEAST_BESIDE:
+                b += [m.end() for m in WORD.finditer(near)][n - 1]
+                total += n
+        if total >= least_words:
             if out and a <= out[-1][1]:
                 last = out.pop()
                 a, b = min(a, last[0]), max(b, last[1])
