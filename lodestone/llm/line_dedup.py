@@ -1,12 +1,12 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages by content-defined word k-grams.
 
-A text is cut into lines (at newlines and behind sentence ends). A rolling hash over the hashes of two lines chooses chunk
-boundaries, so the same lines give the same chunks wherever they stand. Chunks that occur again anywhere in the corpus are
-counted by hash; consecutive ones that repeat the same place are merged to a run; each run is compared word for word with
-the bytes of its first occurrence, extended over further equal words on either side, and removed. The first occurrence (least doc_id,
-then least position) stays.
+Of each LEAST_WORDS neighbouring words, the k-gram with the least hash is an anchor (winnowing), so two copies of a passage of so many
+words have an anchor in common wherever they stand, however they are cut into lines, and whatever is beside them. Anchors that occur again
+anywhere in the corpus are counted by hash; consecutive ones that repeat the same place are merged to a run; each run is compared word for
+word with the bytes of its first occurrence, extended over further equal words on either side, and removed. The first occurrence
+(least doc_id, then least position) stays.
 
-Shuffles: chunk hashes with their places (two aggregations with map-side combination; the join back on the hash is a plain
+Shuffles: anchor hashes with their places (two aggregations with map-side combination; the join back on the hash is a plain
 equi-join whose skewed partitions Spark splits), runs by document, and the texts twice: as first occurrences, from which
 only the needed slices go on, and to rewrite them. No group of copies is ever held in one row or task.
 """
@@ -22,12 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, hash_strings, mix, slices
+from lodestone.llm.common import checkpoint, kgrams, mix, slices
 
-#: Lines of so many words are chunks of their own.
-LONG_LINE = 40
-DIVISOR = 2
-MOST_LINES = 16
+#: Repeated passages of so many words are removed.
+LEAST_WORDS = 20
 #: Characters beside a run that are looked at for further equal words, and words that must be equal there.
 BESIDE = 240
 LEAST_BESIDE = 3
@@ -36,63 +34,66 @@ EDGE = 60
 NULL_ID = -(1 << 63)
 WORD = re.compile(r"\S+\s*")
 CHUNK_SCHEMA = "doc_id long, pos int, len int, h long"
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+RADIX = np.uint64(0x9E3779B97F4A7C15)
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * RADIX)
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """text, pos, end (in code points) and hash of the words, which ASCII white space separates, from the bytes of all texts at once."""
+    at = np.frombuffer(texts.buffers()[1] or bytes(4), np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    solid = ~SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    first, last = cut[:-1].copy(), cut[1:].copy()
+    first[1:] |= ~solid[:-1]
+    last[:-1] |= ~solid[1:]
+    start, stop = np.flatnonzero(first & solid), np.flatnonzero(last & solid) + 1
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    size = stop - start
+    begin = np.cumsum(size) - size
+    power = np.cumprod(np.full(size.max(), RADIX))
+    h = np.add.reduceat(BYTES[data[solid]] * power[np.arange(begin[-1] + size[-1]) - np.repeat(begin, size)], begin)
+    text = np.searchsorted(at, start, "right") - 1
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = lead[at[text]]
+    return text, lead[start] - base, lead[stop] - base, mix(h)
+
+
+def farthest(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """of (minimum or maximum) over each n neighbours."""
+    width = 1
+    while 2 * width <= n:
+        x, width = of(x[:-width], x[width:]), 2 * width
+    return of(x[: len(x) - (n - width)], x[n - width :])
+
+
+def chunks_of(texts: pa.Array, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+    """text, pos, len, words and hash of the anchors: the k-grams with the least hash among those of some least_words words in a row.
+
+    Which ones these are follows from those words alone."""
+    text, pos, end, h = words_of(texts)
+    k = (least_words + 1) // 2
+    n = least_words - k + 1
+    if len(h) < least_words:
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+    key = kgrams(h, k)
+    low = farthest(key, n, np.minimum)
+    low[text[: len(low)] != text[least_words - 1 :]] = 0
+    # an anchor is the least of one of the n windows that it is in
+    none = np.zeros(n - 1, np.uint64)
+    at = np.flatnonzero((farthest(np.concatenate([none, low, none]), n, np.maximum) == key) & (text[: len(key)] == text[k - 1 :]))
+    return text[at], pos[at], end[at + k - 1] - pos[at], np.full(len(at), k), key[at]
 
 
-def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """text, pos, end (in code points, without white space behind) and content of the lines that aren't blank.
-
-    The space behind a sentence is made a newline first, which keeps all places."""
-    cut = pc.split_pattern(pc.replace_substring_regex(texts, r"([.!?]) ", "\\1\n"), "\n")
-    flat = cut.flatten()
-    size = np.asarray(pc.utf8_length(flat), dtype=np.int64)
-    text = np.asarray(pc.list_parent_indices(cut), dtype=np.int64)
-    ends = np.cumsum(size + 1)
-    counts = np.bincount(text, minlength=len(texts)).astype(np.int64)
-    start_of = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
-    content = pc.utf8_rtrim_whitespace(flat)
-    held = np.asarray(pc.utf8_length(content), dtype=np.int64)
-    pos = ends - size - 1 - start_of[text]
-    full = held > 0
-    return text[full], pos[full], (pos + held)[full], content.filter(pa.array(full))
-
-
-def chunks_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """text, pos, len, words and hash of the chunks with two lines at least, or one long line.
-
-    A shorter line between two boundaries takes along the line behind it, so that chunks may overlap by a line."""
-    text, pos, end, lines = lines_of(texts)
-    n = len(lines)
-    if not n:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    words = np.asarray(pc.count_substring(lines, " "), dtype=np.int64) + 1
-    h = hash_strings(lines)
-    fresh = np.concatenate([[True], text[1:] != text[:-1]])
-    before = np.where(fresh, np.uint64(0), np.concatenate([h[:1], h[:-1]]))
-    rolled = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
-    last = (rolled % np.uint64(DIVISOR) == 0) | (words >= LONG_LINE) | np.append(words[1:] >= LONG_LINE, True) | np.append(fresh[1:], True)
-    first = np.concatenate([[True], last[:-1]])
-    at = np.flatnonzero(first)
-    inside = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    first |= inside % MOST_LINES == 0
-    at = np.flatnonzero(first)
-    size = np.diff(np.append(at, n))
-    inside = np.arange(n) - np.repeat(at, size)
-    power = np.cumprod(np.full(MOST_LINES, 0x9E3779B97F4A7C15, np.uint64))
-    key = mix(np.add.reduceat(h * power[inside], at) + size.astype(np.uint64))
-    held = np.add.reduceat(words, at)
-    alone = np.flatnonzero((size == 1) & (held < LONG_LINE) & ~np.append(fresh[1:], True)[at])
-    key[alone] = mix(h[at[alone]] * power[0] + h[at[alone] + 1] * power[1] + np.uint64(2))
-    held[alone] += words[at[alone] + 1]
-    size[alone] = 2
-    ok = (size >= 2) | (held >= LONG_LINE)
-    return text[at][ok], pos[at][ok], (end[at + size - 1] - pos[at])[ok], held[ok], key[ok]
-
-
-def find_chunks(docs: DataFrame) -> DataFrame:
+def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                text, pos, size, _, key = chunks_of(pc.fill_null(b.column("text"), ""))
+                text, pos, size, _, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
                 columns = [b.column("doc_id").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(key.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "len", "h"])
 
@@ -148,9 +149,9 @@ def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[in
     return out
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, pos, len and the first occurrence's f_doc, f_pos, f_len of each run that repeats an earlier place."""
-    chunks = find_chunks(docs)
+    chunks = find_chunks(docs, least_words)
     place = F.struct("doc_id", "pos", "len")
     again = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
     found = chunks.join(checkpoint(again), "h").where("not (doc_id = f.doc_id and pos = f.pos)")
@@ -168,16 +169,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with repeated passages cut from text, and the column `removed`: array of (start, end) in the old text.
 
-    A passage is cut if it has two lines at least, or a line of 40 words, and least_words words. Nulls and texts
+    A passage is cut if it has least_words words, wherever they stand in lines. Nulls and texts
     without repeats stay as they are; rows with one doc_id count as copies of one document, and a run that doesn't
     fit such a row's own text is not cut there. n_chars, if there is such a column, follows the new text. Other
-    columns are kept. Equal lines of one text repeat each other too. A null doc_id is treated as an id of its own.
+    columns are kept. Equal passages of one text repeat each other too. A null doc_id is treated as an id of its own.
     """
     docs = docs.withColumn("__k", F.coalesce("doc_id", F.lit(NULL_ID)))
-    runs = repeated_runs(docs.select(F.col("__k").alias("doc_id"), "text")).toDF(*(f"r_{c}" for c in ("doc_id", "run", "pos", "len", "doc", "first", "size")))
+    runs = repeated_runs(docs.select(F.col("__k").alias("doc_id"), "text"), least_words).toDF(*(f"r_{c}" for c in ("doc_id", "run", "pos", "len", "doc", "first", "size")))
     names = docs.columns
     plain = [c for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
     head = F.greatest(F.col("r_first") - BESIDE, F.lit(0))
@@ -217,7 +218,7 @@ def remove_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
     return tagged.mapInArrow(run, fields).drop(f"c{len(names) - 1}").toDF(*names[:-1], "removed")
 
 
-def without_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """remove_repeats, with docs' columns alone and without the documents of which nothing is left."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     out = remove_repeats(docs, least_words).toDF(*names, "removed")

@@ -94,6 +94,24 @@ def test_chunks_do_not_depend_on_where_lines_stand():
     assert all(len(a[p : p + n].split()) for p, n in zip(pos, size, strict=True))
 
 
+def planted(spark, rng, passages, cut):
+    """How many of the passages are removed (but for two words at either end) from a second document, each put between texts of its own; cut: beside no ends of lines."""
+    rows = []
+    for i, passage in enumerate(passages):
+        for k in range(2):
+            beside = [prose(rng, 30, "mnopqrst") + ("" if cut else ".") for _ in range(2)]
+            rows.append((2 * i + k, f"{beside[0]} {passage} {beside[1]}", "en"))
+    out = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert all(out[d] == t for d, t, _ in rows if d % 2 == 0)
+    return sum(len(out[2 * i + 1].split()) <= 64 for i in range(len(passages)))
+
+
+def test_line_dedup_finds_short_passages_whatever_is_beside_them(spark):
+    rng = random.Random(21)
+    passages = [" ".join(prose(rng, w // n).capitalize() + "." for _ in range(n)) for n in (2, 3, 4, 5) for w in (50, 60, 80) for _ in range(5)]
+    assert planted(spark, rng, passages, False) == len(passages)
+
+
 def plain_tiles(doc, item, least):
     """Greedy string tiling as it is written: all longest unmarked matches, in each round."""
     md, mi, total = [False] * len(doc), [False] * len(item), 0
