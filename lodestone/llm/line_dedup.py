@@ -4,7 +4,7 @@ Of each LEAST_WORDS neighbouring words, the k-gram with the least hash is an anc
 words have an anchor in common wherever they stand, however they are cut into lines, and whatever is beside them. Anchors that occur again
 anywhere in the corpus are counted by hash; consecutive ones that repeat the same place are merged to a run; each run is compared word for
 word with the bytes of its first occurrence, extended over further equal words on either side, and removed. The first occurrence
-(least doc_id, then least position) stays.
+(least doc_id, then least position) stays. Equal words farther than LEAST_WORDS from a run hold anchors, and so runs, of their own.
 
 Shuffles: anchor hashes with their places (two aggregations with map-side combination; the join back on the hash is a plain
 equi-join whose skewed partitions Spark splits), runs by document, and the texts twice: as first occurrences, from which
@@ -26,14 +26,10 @@ from lodestone.llm.common import checkpoint, kgrams, mix, slices
 
 #: Repeated passages of so many words are removed.
 LEAST_WORDS = 20
-#: Characters beside a run that are looked at for further equal words, and words that must be equal there.
-BESIDE = 240
-LEAST_BESIDE = 3
-EDGE = 60
 #: Stands for a null doc_id.
 NULL_ID = -(1 << 63)
 WORD = re.compile(r"\S+\s*")
-CHUNK_SCHEMA = "doc_id long, pos int, len int, h long"
+CHUNK_SCHEMA = "doc_id long, pos int, len int, before int, after int, h long"
 SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * RADIX)
@@ -72,30 +68,32 @@ def farthest(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
 
 
 def chunks_of(texts: pa.Array, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
-    """text, pos, len, words and hash of the anchors: the k-grams with the least hash among those of some least_words words in a row.
+    """text, pos, len, room and hash of the anchors: the k-grams with the least hash among those of some least_words words in a row.
 
-    Which ones these are follows from those words alone."""
+    Which ones these are follows from those words alone. room: how far the least_words words before and behind reach."""
     text, pos, end, h = words_of(texts)
     k = (least_words + 1) // 2
     n = least_words - k + 1
     if len(h) < least_words:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros((2, 0), np.int64), np.zeros(0, np.uint64))
     key = kgrams(h, k)
     low = farthest(key, n, np.minimum)
     low[text[: len(low)] != text[least_words - 1 :]] = 0
     # an anchor is the least of one of the n windows that it is in
     none = np.zeros(n - 1, np.uint64)
     at = np.flatnonzero((farthest(np.concatenate([none, low, none]), n, np.maximum) == key) & (text[: len(key)] == text[k - 1 :]))
-    return text[at], pos[at], end[at + k - 1] - pos[at], np.full(len(at), k), key[at]
+    last, own = at + k - 1, text[at]
+    far = np.maximum(at - least_words, np.searchsorted(text, own)), np.minimum(last + least_words, np.searchsorted(text, own, "right") - 1)
+    return own, pos[at], end[last] - pos[at], np.stack([pos[at] - pos[far[0]], end[far[1]] - end[last]]), key[at]
 
 
 def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                text, pos, size, _, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
-                columns = [b.column("doc_id").take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(key.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "len", "h"])
+                text, pos, size, room, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
+                columns = [b.column("doc_id").take(pa.array(text)), *(pa.array(x, pa.int32()) for x in (pos, size, *room)), pa.array(key.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "len", "before", "after", "h"])
 
     return docs.select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA)
 
@@ -109,40 +107,36 @@ def equal_head(a: list[str], b: list[str]) -> int:
     return n
 
 
-def may_match(x: str, y: str, side: int) -> bool:
-    """False if the two words nearest to a run (side -1: at the ends of x and y, 1: at their starts) differ, cheaply."""
-    x, y = (x[-EDGE:].split(), y[-EDGE:].split()) if side < 0 else (x[:EDGE].split(), y[:EDGE].split())
-    if len(x) < LEAST_BESIDE or len(y) < LEAST_BESIDE:
-        return True
-    return x[-2:] == y[-2:] if side < 0 else x[:2] == y[:2]
-
-
 def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[int, int]]:
     """The places of text whose words are those of the runs' first occurrences, extended on either side; joined where they touch."""
     out: list[tuple[int, int]] = []
     for r in sorted(runs, key=lambda r: r["pos"]):
-        a, b, body = r["pos"], r["pos"] + r["len"], r["body"] or ""
-        own, held = text[a:b], body.split()
+        a, b, other = r["pos"], r["pos"] + r["len"], r["near"] or ""
+        edges = r["f_before"], r["f_before"] + r["f_len"]
+        own, body = text[a:b], other[slice(*edges)]
+        held = body.split()
         if not held or (own != body and own.split() != held):
             continue
         total = len(held)
-        # words cut at the far edge of the looked-at text don't count
-        near, other = text[max(0, a - BESIDE) : a], r["head"] or ""
-        if may_match(near, other, -1):
-            left = near.split()
-            n = min(equal_head(left[::-1], other.split()[::-1]), max(0, len(left) - (a > BESIDE)))
-            if n >= LEAST_BESIDE:
-                a = max(0, a - BESIDE) + [m.start() for m in WORD.finditer(near)][-n]
-                total += n
-        near, other = text[b : b + BESIDE], r["tail"] or ""
-        if may_match(near, other, 1):
-            right = near.split()
-            n = min(equal_head(right, other.split()), max(0, len(right) - (b + BESIDE < len(text))))
-            if n >= LEAST_BESIDE:
-                b += [m.end() for m in WORD.finditer(near)][n - 1]
-                total += n
+        # a row that shares its doc_id may have other words there: those cut at the far edge don't count
+        far = max(0, a - r["before"])
+        near = text[far:a]
+        n = equal_head(near.split()[::-1], other[: edges[0]].split()[::-1])
+        left = [m.start() for m in WORD.finditer(near)][-n:] if n else []
+        if left and left[0] == 0 and far and not text[far - 1].isspace():
+            left, n = left[1:], n - 1
+        if left:
+            a, total = far + left[0], total + n
+        far = b + r["after"]
+        near = text[b:far]
+        n = equal_head(near.split(), other[edges[1] :].split())
+        ends = [m.end() for m in WORD.finditer(near)]
+        if n and n == len(ends) and far < len(text) and not text[far].isspace():
+            n -= 1
+        if n:
+            b, total = b + ends[n - 1], total + n
         if total >= least_words:
-            if out and a <= out[-1][1]:
+            while out and a <= out[-1][1]:
                 last = out.pop()
                 a, b = min(a, last[0]), max(b, last[1])
             out.append((a, b))
@@ -150,12 +144,12 @@ def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[in
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, pos, len and the first occurrence's f_doc, f_pos, f_len of each run that repeats an earlier place."""
+    """doc_id, pos, len, before, after (how far to look beside) and the first occurrence's f_doc, f_pos, f_len, f_before, f_after of each run that repeats an earlier place."""
     chunks = find_chunks(docs, least_words)
-    place = F.struct("doc_id", "pos", "len")
+    place = F.struct("doc_id", "pos", "len", "before", "after")
     again = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
     found = chunks.join(checkpoint(again), "h").where("not (doc_id = f.doc_id and pos = f.pos)")
-    found = found.select("doc_id", "pos", "len", F.col("f.doc_id").alias("f_doc"), F.col("f.pos").alias("f_pos"), F.col("f.len").alias("f_len"))
+    found = found.select("doc_id", "pos", "len", "before", "after", F.col("f.doc_id").alias("f_doc"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("pos", "len", "before", "after")))
     order = Window.partitionBy("doc_id").orderBy("pos")
     joins = (F.lag(F.col("pos") + F.col("len")).over(order) >= F.col("pos")) & (F.lag("f_doc").over(order) == F.col("f_doc"))
     joins &= F.lag(F.col("pos") - F.col("f_pos")).over(order) == F.col("pos") - F.col("f_pos")
@@ -163,9 +157,13 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return found.groupBy("doc_id", "run").agg(
         F.min("pos").alias("pos"),
         (F.max(F.col("pos") + F.col("len")) - F.min("pos")).alias("len"),
+        F.min_by("before", "pos").alias("before"),
+        F.max_by("after", "pos").alias("after"),
         F.min("f_doc").alias("f_doc"),
         F.min("f_pos").alias("f_pos"),
         (F.max(F.col("f_pos") + F.col("f_len")) - F.min("f_pos")).alias("f_len"),
+        F.min_by("f_before", "pos").alias("f_before"),
+        F.max_by("f_after", "pos").alias("f_after"),
     )
 
 
@@ -178,19 +176,16 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     columns are kept. Equal passages of one text repeat each other too. A null doc_id is treated as an id of its own.
     """
     docs = docs.withColumn("__k", F.coalesce("doc_id", F.lit(NULL_ID)))
-    runs = repeated_runs(docs.select(F.col("__k").alias("doc_id"), "text"), least_words).toDF(*(f"r_{c}" for c in ("doc_id", "run", "pos", "len", "doc", "first", "size")))
+    runs = repeated_runs(docs.select(F.col("__k").alias("doc_id"), "text"), least_words)
+    runs = runs.toDF(*(f"r_{c}" for c in runs.columns))
     names = docs.columns
     plain = [c for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
-    head = F.greatest(F.col("r_first") - BESIDE, F.lit(0))
-    text = F.col("__f.text")
-    told = runs.join(docs.alias("__f"), F.col("r_doc") == F.col("__f.__k")).select(
-        "r_doc_id", F.col("r_pos").alias("pos"), F.col("r_len").alias("len"),
-        F.substring(text, head + 1, F.col("r_first") - head).alias("head"),
-        F.substring(text, F.col("r_first") + 1, F.col("r_size")).alias("body"),
-        F.substring(text, F.col("r_first") + F.col("r_size") + 1, F.lit(BESIDE)).alias("tail"),
+    told = runs.join(docs.alias("__f"), F.col("r_f_doc") == F.col("__f.__k")).select(
+        "r_doc_id", *(F.col(f"r_{c}").alias(c) for c in ("pos", "len", "before", "after", "f_before", "f_len")),
+        F.substring("__f.text", F.col("r_f_pos") - F.col("r_f_before") + 1, F.col("r_f_before") + F.col("r_f_len") + F.col("r_f_after")).alias("near"),
         F.hash(*(F.col(f"__f.`{c}`") for c in plain)).alias("all"),  # asks for all columns, so that both joins read one shuffle of docs
     )
-    told = told.groupBy(F.col("r_doc_id").alias("__id")).agg(F.collect_list(F.struct("pos", "len", "head", "body", "tail", "all")).alias("__runs"))
+    told = told.groupBy(F.col("r_doc_id").alias("__id")).agg(F.collect_list(F.struct(*told.columns[1:])).alias("__runs"))
     both = docs.join(told, F.col("__k") == F.col("__id"), "left").drop("__id")
     i, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     tagged = both.toDF(*(f"c{k}" for k in range(len(names))), "runs")

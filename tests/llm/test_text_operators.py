@@ -112,6 +112,15 @@ def test_line_dedup_finds_short_passages_whatever_is_beside_them(spark):
     assert planted(spark, rng, passages, False) == len(passages)
 
 
+def test_line_dedup_extends_to_the_first_word_that_differs(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(60)]
+    beside = [prose(rng, 30, "mnopqrst") for _ in range(4)]
+    rows = [(i, f"{beside[2 * i]} {' '.join(words)} {beside[2 * i + 1]}", "en") for i in range(2)]
+    out = {r.doc_id: r.text for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1] and out[1].split() == (beside[2] + " " + beside[3]).split()
+
+
 def plain_tiles(doc, item, least):
     """Greedy string tiling as it is written: all longest unmarked matches, in each round."""
     md, mi, total = [False] * len(doc), [False] * len(item), 0
