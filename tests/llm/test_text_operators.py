@@ -112,6 +112,13 @@ def test_line_dedup_finds_short_passages_whatever_is_beside_them(spark):
     assert planted(spark, rng, passages, False) == len(passages)
 
 
+def test_line_dedup_finds_passages_inside_lines(spark):
+    rng = random.Random(22)
+    plain = [prose(rng, w) for w in (24, 51, 120) for _ in range(8)]
+    one_sentence = [prose(rng, 18) + ". " + prose(rng, 30).capitalize() + ". " + prose(rng, 14) for _ in range(8)]
+    assert planted(spark, rng, plain + one_sentence, True) == 32
+
+
 def test_line_dedup_extends_to_the_first_word_that_differs(spark):
     rng = random.Random(23)
     words = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(60)]
