@@ -2,34 +2,35 @@
 
 Of each LEAST_WORDS neighbouring words, the k-gram with the least hash is an anchor (winnowing), so two copies of a passage of so many
 words have an anchor in common wherever they stand, however they are cut into lines, and whatever is beside them. Anchors that occur again
-anywhere in the corpus are counted by hash; consecutive ones that repeat the same place are merged to a run; each run is compared word for
-word with the bytes of its first occurrence, extended over further equal words on either side, and removed. The first occurrence
-(least doc_id, then least position) stays. Equal words farther than LEAST_WORDS from a run hold anchors, and so runs, of their own.
+anywhere in the corpus are counted by hash; those that repeat one other text at one distance are merged to a run; each run is compared with the bytes
+of its first occurrence, with LEAST_WORDS words more on either side, and what is equal in so many words is removed. The first occurrence
+(in the order in which the table is read) stays. Equal words farther than that from a run hold anchors, and so runs, of their own.
 
-Shuffles: anchor hashes with their places (two aggregations with map-side combination; the join back on the hash is a plain
-equi-join whose skewed partitions Spark splits), runs by document, and the texts twice: as first occurrences, from which
-only the needed slices go on, and to rewrite them. No group of copies is ever held in one row or task.
+Texts are written once to the shared folder with a number for each row, so that repeated and null ids are rows of their own; an anchor is four numbers.
+Shuffles: anchor hashes (added up where they are found), anchors by hash (a plain equi-join with a checkpointed table, whose skewed
+partitions Spark splits), runs (merged before they are shuffled), and texts by row. No group of copies is ever held in one row or task.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, kgrams, mix, slices
+from lodestone.llm.common import checkpoint, kgrams, mix, shared_dir, slices
 
 #: Repeated passages of so many words are removed.
 LEAST_WORDS = 20
-#: Stands for a null doc_id.
-NULL_ID = -(1 << 63)
-WORD = re.compile(r"\S+\s*")
-CHUNK_SCHEMA = "doc_id long, pos int, len int, before int, after int, h long"
+#: A place is a row's number and a position in its text; a longer text has further numbers.
+POS_BITS, ROW_BITS = 24, 21
+BLANK = " \t\n\v\f\r"
+ANCHOR_SCHEMA = "h long, place long, len long, rooms long"
 SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * RADIX)
@@ -70,7 +71,8 @@ def farthest(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
 def chunks_of(texts: pa.Array, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
     """text, pos, len, room and hash of the anchors: the k-grams with the least hash among those of some least_words words in a row.
 
-    Which ones these are follows from those words alone. room: how far the least_words words before and behind reach."""
+    Which ones these are follows from those words alone; of equal ones that follow each other, as in a text of one word, one in each stretch is
+    enough. room: how far the least_words words before and behind reach."""
     text, pos, end, h = words_of(texts)
     k = (least_words + 1) // 2
     n = least_words - k + 1
@@ -82,140 +84,191 @@ def chunks_of(texts: pa.Array, least_words: int = LEAST_WORDS) -> tuple[np.ndarr
     # an anchor is the least of one of the n windows that it is in
     none = np.zeros(n - 1, np.uint64)
     at = np.flatnonzero((farthest(np.concatenate([none, low, none]), n, np.maximum) == key) & (text[: len(key)] == text[k - 1 :]))
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (key[at[1:]] != key[at[:-1]]) | (np.diff(at) >= n) | (text[at[1:]] != text[at[:-1]])
+    since = at - at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(at) else at
+    fresh[1:] |= (since[1:] // n != since[:-1] // n) & ~fresh[1:]
+    at = at[fresh]
     last, own = at + k - 1, text[at]
     far = np.maximum(at - least_words, np.searchsorted(text, own)), np.minimum(last + least_words, np.searchsorted(text, own, "right") - 1)
     return own, pos[at], end[last] - pos[at], np.stack([pos[at] - pos[far[0]], end[far[1]] - end[last]]), key[at]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number `__row` for each row, in a table in the shared folder. A text takes one number for each 2 ** POS_BITS code points that it begins.
+
+    Numbers ascend in the order in which docs is read."""
+    names, i = docs.columns, docs.columns.index("text")
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    kind = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
+    size = plain.withColumn("__n", (F.coalesce(F.char_length(f"c{i}"), F.lit(0)) / (1 << POS_BITS)).cast("long") + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        number = task.partitionId() if task else 0
+        at, limit = number << ROW_BITS, (number + 1) << ROW_BITS
+        for b in batches:
+            n = np.asarray(b.column("__n"), dtype=np.int64)
+            rows = at + np.cumsum(n) - n
+            at += int(n.sum())
+            if at >= limit or number >= 1 << (63 - POS_BITS - ROW_BITS):
+                raise ValueError("more rows in a partition, or partitions, than numbers")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows)], [*b.schema.names[:-1], "__row"])
+
+    path = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4()}"
+    size.mapInArrow(run, kind + ", __row long").write.parquet(path)
+    return docs.sparkSession.read.parquet(path).toDF(*names, "__row")
+
+
 def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """ANCHOR_SCHEMA of docs(row, text): rooms are two numbers of 32 bits, before and behind."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
                 text, pos, size, room, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
-                columns = [b.column("doc_id").take(pa.array(text)), *(pa.array(x, pa.int32()) for x in (pos, size, *room)), pa.array(key.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "len", "before", "after", "h"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA)
-
-
-def equal_head(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def spans_to_cut(text: str, runs: list[dict], least_words: int) -> list[tuple[int, int]]:
-    """The places of text whose words are those of the runs' first occurrences, extended on either side; joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for r in sorted(runs, key=lambda r: r["pos"]):
-        a, b, other = r["pos"], r["pos"] + r["len"], r["near"] or ""
-        edges = r["f_before"], r["f_before"] + r["f_len"]
-        own, body = text[a:b], other[slice(*edges)]
-        held = body.split()
-        if not held or (own != body and own.split() != held):
-            continue
-        total = len(held)
-        # a row that shares its doc_id may have other words there: those cut at the far edge don't count
-        far = max(0, a - r["before"])
-        near = text[far:a]
-        n = equal_head(near.split()[::-1], other[: edges[0]].split()[::-1])
-        left = [m.start() for m in WORD.finditer(near)][-n:] if n else []
-        if left and left[0] == 0 and far and not text[far - 1].isspace():
-            left, n = left[1:], n - 1
-        if left:
-            a, total = far + left[0], total + n
-        far = b + r["after"]
-        near = text[b:far]
-        n = equal_head(near.split(), other[edges[1] :].split())
-        ends = [m.end() for m in WORD.finditer(near)]
-        if n and n == len(ends) and far < len(text) and not text[far].isspace():
-            n -= 1
-        if n:
-            b, total = b + ends[n - 1], total + n
-        if total >= least_words:
-            while out and a <= out[-1][1]:
-                last = out.pop()
-                a, b = min(a, last[0]), max(b, last[1])
-            out.append((a, b))
-    return out
+                place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array(size), pa.array((room[0] << 32) + room[1])], ["h", "place", "len", "rooms"])
+
+    return docs.select("row", "text").mapInArrow(run, ANCHOR_SCHEMA)
+
+
+def hash_counts(docs: DataFrame, least_words: int) -> DataFrame:
+    """h, n and f (the first place) of all anchors, added up by slices of text before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", 4 << 20):
+                text, pos, _, _, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
+                place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
+                h, first, n = np.unique(key, return_index=True, return_counts=True)  # places ascend, as rows do
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(place[first])], ["h", "n", "f"])
+
+    return docs.select("row", "text").mapInArrow(run, "h long, n long, f long").groupBy("h").agg(F.sum("n").alias("n"), F.min("f").alias("f"))
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, pos, len, before, after (how far to look beside) and the first occurrence's f_doc, f_pos, f_len, f_before, f_after of each run that repeats an earlier place."""
-    chunks = find_chunks(docs, least_words)
-    place = F.struct("doc_id", "pos", "len", "before", "after")
-    again = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
-    found = chunks.join(checkpoint(again), "h").where("not (doc_id = f.doc_id and pos = f.pos)")
-    found = found.select("doc_id", "pos", "len", "before", "after", F.col("f.doc_id").alias("f_doc"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("pos", "len", "before", "after")))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    joins = (F.lag(F.col("pos") + F.col("len")).over(order) >= F.col("pos")) & (F.lag("f_doc").over(order) == F.col("f_doc"))
-    joins &= F.lag(F.col("pos") - F.col("f_pos")).over(order) == F.col("pos") - F.col("f_pos")
-    found = found.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
-    return found.groupBy("doc_id", "run").agg(
-        F.min("pos").alias("pos"),
-        (F.max(F.col("pos") + F.col("len")) - F.min("pos")).alias("len"),
-        F.min_by("before", "pos").alias("before"),
-        F.max_by("after", "pos").alias("after"),
-        F.min("f_doc").alias("f_doc"),
-        F.min("f_pos").alias("f_pos"),
-        (F.max(F.col("f_pos") + F.col("f_len")) - F.min("f_pos")).alias("f_len"),
-        F.min_by("f_before", "pos").alias("f_before"),
-        F.max_by("f_after", "pos").alias("f_after"),
-    )
+    """row, f_row (a number of the first occurrence's text), shift (how much farther the run stands than it), and the run's a, z, before and behind."""
+    again = checkpoint(hash_counts(docs, least_words).where("n > 1").select("h", "f"))
+    found = find_chunks(docs, least_words).join(again, "h").where("place <> f")
+    pos, f_pos = (F.col(c).bitwiseAND(F.lit((1 << POS_BITS) - 1)) for c in ("place", "f"))
+    found = found.select(
+        F.shiftright("place", POS_BITS).alias("row"), F.shiftright("f", POS_BITS).alias("f_row"), pos.alias("pos"), (pos - f_pos).alias("shift"), (pos + F.col("len")).alias("end"), "rooms",
+    )
+    first = F.min(F.shiftleft("pos", 32) + F.shiftright("rooms", 32))
+    last = F.max(F.shiftleft("end", 32) + F.col("rooms").bitwiseAND(F.lit((1 << 32) - 1)))
+    runs = found.groupBy("row", "f_row", "shift").agg(first.alias("x"), last.alias("y"))
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    return runs.select("row", "f_row", "shift", F.shiftright("x", 32).alias("a"), F.shiftright("y", 32).alias("z"), low("x").alias("before"), low("y").alias("behind"))
+
+
+def equal_stretches(own: str, other: str, a: int, edge: bool, least_words: int) -> list[tuple[int, int]]:
+    """The stretches in which own (which begins at place a of its text) and other are equal, of whole words in both and least_words words or more.
+
+    One that is shorter ends where its text does. edge: whether they begin where a text does, or have a character more than is asked about."""
+    if own == other:
+        cuts = [(0, len(own))]
+    else:
+        n = min(len(own), len(other))
+        same = np.frombuffer(own[:n].encode("utf-32-le"), np.uint32) == np.frombuffer(other[:n].encode("utf-32-le"), np.uint32)
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        cuts = [(int(x), int(z)) for x, z in zip(turn[::2], turn[1::2], strict=True) if z - x >= 2 * least_words - 1]
+    out = []
+    for x, z in cuts:
+        if x or not edge:  # a word that began before is no whole one
+            x = next((p for p in range(x, z) if own[p] in BLANK), z)
+        while x < z and own[x] in BLANK:
+            x += 1
+        y = z
+        if not (own[z : z + 1] in BLANK and other[z : z + 1] in BLANK):
+            while y > x and own[y - 1] not in BLANK:
+                y -= 1
+        while y > x and own[y - 1] in BLANK:
+            y -= 1
+        if x < y and len(own[x:y].split()) >= least_words:
+            out.append((a + x, a + y))
+    return out
+
+
+def spans_to_cut(text: str, runs: list[dict], least_words: int) -> tuple[list[tuple[int, int]], int]:
+    """The places of text that equal the runs' first occurrences, joined where they touch, each with the white space behind it;
+    and how many code points equal other texts."""
+    found = [(x, z, r["inside"]) for r in runs for x, z in equal_stretches(text[r["a"] : r["z"]], r["near"], r["a"], r["edge"], least_words)]
+    merged = joined(text, [x[:2] for x in found])
+    return merged, sum(z - x for x, z in joined(text, [x[:2] for x in found if not x[2]]))
+
+
+def joined(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        while b < len(text) and text[b] in BLANK:
+            b += 1
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with repeated passages cut from text, and the column `removed`: array of (start, end) in the old text.
 
     A passage is cut if it has least_words words, wherever they stand in lines. Nulls and texts
-    without repeats stay as they are; rows with one doc_id count as copies of one document, and a run that doesn't
-    fit such a row's own text is not cut there. n_chars, if there is such a column, follows the new text. Other
-    columns are kept. Equal passages of one text repeat each other too. A null doc_id is treated as an id of its own.
+    without repeats stay as they are. Every row is a text of its own, also if ids repeat or are null: of equal rows, the
+    first stays. n_chars, if there is such a column, follows the new text. Other
+    columns are kept; one of the name `removed` is replaced. Equal passages of one text repeat each other too. An empty table gives no rows.
     """
-    docs = docs.withColumn("__k", F.coalesce("doc_id", F.lit(NULL_ID)))
-    runs = repeated_runs(docs.select(F.col("__k").alias("doc_id"), "text"), least_words)
-    runs = runs.toDF(*(f"r_{c}" for c in runs.columns))
-    names = docs.columns
-    plain = [c for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")]
-    told = runs.join(docs.alias("__f"), F.col("r_f_doc") == F.col("__f.__k")).select(
-        "r_doc_id", *(F.col(f"r_{c}").alias(c) for c in ("pos", "len", "before", "after", "f_before", "f_len")),
-        F.substring("__f.text", F.col("r_f_pos") - F.col("r_f_before") + 1, F.col("r_f_before") + F.col("r_f_len") + F.col("r_f_after")).alias("near"),
-        F.hash(*(F.col(f"__f.`{c}`") for c in plain)).alias("all"),  # asks for all columns, so that both joins read one shuffle of docs
-    )
-    told = told.groupBy(F.col("r_doc_id").alias("__id")).agg(F.collect_list(F.struct(*told.columns[1:])).alias("__runs"))
-    both = docs.join(told, F.col("__k") == F.col("__id"), "left").drop("__id")
-    i, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    tagged = both.toDF(*(f"c{k}" for k in range(len(names))), "runs")
-    fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", removed array<struct<start:int,end:int>>"
+    return cut_repeats(docs.drop("removed"), least_words).drop("copied")
+
+
+def cut_repeats(docs: DataFrame, least_words: int) -> DataFrame:
+    """remove_repeats, and the column `copied`: how many code points were cut because they equal other texts."""
+    docs = numbered(docs)
+    names, i = docs.columns[:-1], docs.columns.index("text")
+    tagged = docs.toDF(*(f"c{k}" for k in range(len(names))), "row")
+    runs = repeated_runs(tagged.select("row", F.col(f"c{i}").alias("text")), least_words)
+    # one number more than a text's first stands for its later places
+    slots = F.explode(F.sequence(F.lit(0).cast("long"), (F.char_length(f"c{i}") / (1 << POS_BITS)).cast("long")))
+    texts = tagged.select(F.col("row").alias("f_own"), F.col(f"c{i}").alias("f_text"), slots.alias("slot")).withColumn("f_row", F.col("f_own") + F.col("slot"))
+    told = runs.join(texts, "f_row")
+    shift = F.col("shift") - F.shiftleft("slot", POS_BITS)
+    told = told.withColumns({"shift": shift, "a": F.greatest(F.col("a") - F.col("before") - 1, F.lit(0), shift), "z": F.col("z") + F.col("behind") + 1})
+    near = F.expr("substring(f_text, cast(a - shift + 1 as int), cast(z - a as int))")
+    told = told.select("row", F.struct(F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"), ((F.col("a") == 0) | (F.col("a") == shift)).alias("edge"), near.alias("near"), (F.col("row") == F.col("f_own")).alias("inside")).alias("r"))
+    told = told.groupBy("row").agg(F.collect_list("r").alias("runs"))
+    both = tagged.join(told, "row", "left").select(*(f"c{k}" for k in range(len(names))), "runs")
+    n_at = names.index("n_chars") if "n_chars" in names else None
+    fields = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names)) + ", removed array<struct<start:int,end:int>>, copied long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             some = np.asarray(pc.is_valid(b.column("runs")))
-            mask, cuts, fresh = pa.array(some), [[]] * b.num_rows, []
-            for k, t, held in zip(np.flatnonzero(some).tolist(), b.column(f"c{i}").filter(mask).to_pylist(), b.column("runs").filter(mask).to_pylist(), strict=True):
-                spans = spans_to_cut(t, held, least_words) if t else []
+            mask, cuts, fresh, copied = pa.array(some), [[]] * b.num_rows, [], np.zeros(b.num_rows, np.int64)
+            for k in np.flatnonzero(some).tolist():
+                t = b.column(i)[k].as_py()
+                spans, copied[k] = spans_to_cut(t, b.column("runs")[k].as_py(), least_words) if t else ([], 0)
                 cuts[k] = [{"start": x, "end": y} for x, y in spans]
                 if spans:
                     edges = [0, *(p for s in spans for p in s), len(t)]
                     t = "".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 fresh.append(t)
-            columns = [b.column(k) for k in range(len(names))]  # with the key, which is last
+            columns = list(b.columns[: len(names)])
             columns[i] = pc.replace_with_mask(columns[i], mask, pa.array(fresh, columns[i].type))
             if n_at is not None:
                 size = pc.utf8_length(columns[i]).cast(columns[n_at].type)
                 columns[n_at] = pc.if_else(pa.array([bool(c) for c in cuts]), size, columns[n_at])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, kind)], [*(f"c{k}" for k in range(len(names))), "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, kind), pa.array(copied)], [*(f"c{k}" for k in range(len(names))), "removed", "copied"])
+
+    return both.mapInArrow(run, fields).toDF(*names, "removed", "copied")
 
-    return tagged.mapInArrow(run, fields).drop(f"c{len(names) - 1}").toDF(*names[:-1], "removed")
 
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float = 0.2) -> DataFrame:
+    """remove_repeats, with docs' columns alone and without the documents of which all but a share least_left of the code points equals other texts.
 
-def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """remove_repeats, with docs' columns alone and without the documents of which nothing is left."""
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    out = remove_repeats(docs, least_words).toDF(*names, "removed")
-    text = F.col(names[docs.columns.index("text")])
-    return out.where((F.size("removed") == 0) | text.rlike(r"\S")).drop("removed").toDF(*docs.columns)
+    Such documents are copies or near copies of earlier ones. Documents that repeat only themselves stay, and null and empty texts too."""
+    names = [c if c in ("doc_id", "text", "n_chars") else f"c{k}" for k, c in enumerate(docs.columns)]
+    kept = cut_repeats(docs.toDF(*names), least_words)
+    cut = F.aggregate("removed", F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    whole = F.char_length("text") + cut
+    return kept.where((F.size("removed") == 0) | (F.col("copied") < (1 - least_left) * whole)).drop("removed", "copied").toDF(*docs.columns)
