@@ -28,7 +28,9 @@ MINIMA = 128
 DEPTH = 3
 SMALL = 256
 BLOCK = SMALL // 2
-SKETCH_SCHEMA = "doc_id long, n int, key_a long, key_b long, sketch binary, paths array<long>"
+#: So many large nodes are broadcast; more are copied for each salt.
+HEAVY_ROWS, SALTS = 100_000, 16
+SKETCH_SCHEMA = "doc_id long, text_hash long, n int, key_a long, key_b long, sketch binary, paths array<long>"
 
 
 def runs_for(similarity: float, recall: float) -> int:
@@ -67,6 +69,12 @@ def embed(sets: list[np.ndarray], runs: int) -> tuple[np.ndarray, np.ndarray]:
     return minima, paths.reshape(len(sets), -1)
 
 
+def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    seeds = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
+    return tuple(np.array([mix(s ^ seed).sum() for s in sets], np.uint64).view(np.int64) for seed in seeds)
+
+
 def sketches(docs: DataFrame, runs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,30 +85,46 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
                     continue
                 sets = [sets[i] for i in full]
                 minima, paths = embed(sets, runs)
-                keys = np.array([(mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) for s in sets], np.uint64).view(np.int64)
+                keys = set_keys(sets)
                 low = (mix(minima) & np.uint64(0xFFFF)).astype("<u2")
                 columns = [
-                    b.column("doc_id").take(pa.array(full)), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()),
+                    b.column("doc_id").take(pa.array(full)), b.column("text_hash").take(pa.array(full)), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys[0]), pa.array(keys[1]),
                     pa.array([x.tobytes() for x in low], pa.binary()), pa.array(list(paths.view(np.int64)), pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key_a", "key_b", "sketch", "paths"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "key_a", "key_b", "sketch", "paths"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SKETCH_SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
+
+def with_heavy(rows: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
+    """rows with `size` from heavy(key, size), null where it has no such key.
+
+    heavy has few keys, each of many rows: it is broadcast if it has HEAVY_ROWS rows at most (counted), else copied for SALTS salts, by which rows are dealt."""
+    if heavy.count() <= HEAVY_ROWS:
+        return rows.join(F.broadcast(heavy), key, "left")
+    heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep", "run"), F.lit(SALTS)).cast("int")).join(heavy, [key, "salt"], "left").drop("salt")
 
 
 def buckets(reps: DataFrame, runs: int) -> DataFrame:
-    """rep, run, bucket and size (over 1) of the bucket in which each run's splitting ends."""
+    """rep, run, bucket and size (over 1) of the bucket in which each run's splitting ends.
+
+    Nodes of more than SMALL sets are told apart first; the join of the others with their sizes has no larger key."""
     level = lambda d: F.array(*(F.col("paths")[r * DEPTH + d] for r in range(runs)))
     rows = reps.select("rep", F.posexplode(F.arrays_zip(*(level(d).alias(f"l{d}") for d in range(DEPTH)))).alias("run", "node"))
     rows = rows.select("rep", "run", *(F.col(f"node.l{d}").alias(f"l{d}") for d in range(DEPTH)))
     done = None
     for d in range(DEPTH):
-        counts = rows.groupBy(f"l{d}").agg(F.count("*").alias("size")).where("size > 1")
-        rows = checkpoint(rows.join(counts, f"l{d}"))
-        ended = rows if d == DEPTH - 1 else rows.where(F.col("size") <= SMALL)
-        ended = ended.select("rep", "run", F.col(f"l{d}").alias("bucket"), "size")
+        key = f"l{d}"
+        counts = checkpoint(rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"))
+        told = with_heavy(rows, counts.where(F.col("size") > SMALL), key)
+        hot = checkpoint(told.where("size is not null"))
+        ended = told.where("size is null").drop("size").join(counts.where(F.col("size") <= SMALL), key)
+        if d == DEPTH - 1:
+            ended = ended.unionByName(hot)
+        ended = ended.select("rep", "run", F.col(key).alias("bucket"), "size")
         done = ended if done is None else done.unionByName(ended)
-        rows = rows.where(F.col("size") > SMALL).drop("size")
+        rows = hot.drop("size")
     return done
 
 
@@ -212,14 +236,23 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float =
     Two documents are linked if the Jaccard similarity of their sets of lower-case word 5-grams is `similarity` or more
     (white space separates words; under five words, all of them are the one 5-gram). Null texts and texts without words
     are linked to nothing, not even to each other. A null doc_id gives a null class and no links. Rows with one doc_id and one
-    text count as copies. An empty table gives no rows; columns other than doc_id and text are ignored.
+    text count as copies; those of one doc_id and several texts are documents of their own, each with its class. An empty table gives no rows; columns other than doc_id and text are ignored.
     """
+    rest = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]"))
+    rest = rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return classified(docs, similarity, recall).drop("text_hash").unionByName(rest)
+
+
+def classified(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """doc_id, text_hash, class_id and n_links of each row with an id and a word."""
     runs = runs_for(similarity, recall)
     docs = docs.select("doc_id", "text")
+    keys = ["key_a", "key_b"]
     sk = checkpoint(sketches(docs.where("doc_id is not null"), runs))
     whole = F.struct("doc_id", "sketch", "paths")
-    classes = checkpoint(sk.groupBy("key_a", "key_b").agg(F.min_by(whole, "doc_id").alias("w"), F.count("*").alias("copies"), F.max("doc_id").alias("most")))
-    reps = classes.select(F.col("w.doc_id").alias("rep"), F.col("w.sketch").alias("sketch"), F.col("w.paths").alias("paths"), "copies")
+    classes = checkpoint(sk.groupBy(*keys).agg(F.min_by(whole, "doc_id").alias("w"), F.count("*").alias("copies")))
+    classes = classes.withColumn("rep", F.monotonically_increasing_id())  # of rows that are written: the same whenever it is asked
+    reps = classes.select("rep", "w.sketch", "w.paths", "copies")
     found = checkpoint(buckets(reps, runs))
     met = found.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("m"))
     met = met.select("rep", F.array(*(F.coalesce(F.try_element_at("m", F.lit(r)), F.lit(0)) for r in range(runs))).alias("met"))
@@ -228,28 +261,32 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float =
     margin = 4 * math.sqrt(similarity * (1 - similarity) / MINIMA)
     likely_schema = "cell long, rep long, run int, side int, crossed boolean, met array<long>, copies long"
     near = checkpoint(rows.mapInArrow(lambda it: likely(it, similarity - margin), likely_schema))
-    wanted = near.select("rep").distinct()
+    wanted = checkpoint(classes.join(near.select("rep").distinct(), "rep").select("rep", *keys, F.col("w.doc_id").alias("of")))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text"):
-                sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "grams"])
+                sets = shingle_sets(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, set_keys(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], [*keys, "grams"])
 
-    sets = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(grams, "rep long, grams binary")
+    sets = docs.join(wanted.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(grams, "key_a long, key_b long, grams binary")
+    sets = sets.join(wanted.drop("of"), keys).groupBy("rep").agg(F.first("grams").alias("grams"))
     checked = near.join(sets, "rep").repartition("cell").sortWithinPartitions("cell", "rep")
     links = checkpoint(checked.mapInArrow(lambda it: linked(it, similarity), "rep long, links long, least long"))
-    parts = connected_components(links.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    parts = checkpoint(connected_components(links.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep"))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    of = classes.select("key_a", "key_b", "copies", F.col("w.doc_id").alias("rep")).join(total, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("key_a", "key_b", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    told = sk.select("doc_id", "key_a", "key_b").join(of, ["key_a", "key_b"]).select("doc_id", "class_id", "n_links")
-    rest = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]"))
-    return told.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    of = classes.select("rep", *keys, "copies", F.col("w.doc_id").alias("least")).join(total, "rep", "left").join(parts, "rep", "left")
+    ids = of.where("component is not null").groupBy("component").agg(F.min("least").alias("class_id"))
+    of = of.join(checkpoint(ids), "component", "left")
+    of = of.select(*keys, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"))
+    return sk.select("doc_id", "text_hash", *keys).join(of, keys).select("doc_id", "text_hash", "class_id", "n_links")
+
 
+def one_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """The rows of docs without those linked, directly or by way of others, to a document of a lesser doc_id.
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without those linked, directly or by way of others, to a document of a lesser doc_id."""
-    found = similar_documents(docs, similarity)
-    gone = checkpoint(found.where("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows with a null id, and texts that are null or have no word, stay; rows that repeat one id and text stay or go together; of an id
+    with several texts each is judged by its own. An empty table gives no rows; other columns are kept as they are."""
+    gone = classified(docs, similarity, recall).where("doc_id <> class_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = checkpoint(gone.distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti").select(*docs.columns)

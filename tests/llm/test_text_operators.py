@@ -213,3 +213,63 @@ def test_language_id_on_odd_rows_and_held_out_text(spark):
     assert kept.columns == docs.columns and not {500, 501, 502} & {r.doc_id for r in kept.collect()}
     empty = docs.limit(0)
     assert langid.predict_languages(empty, langid.fit(empty, ~langid.held_out())).count() == 0
+
+
+def test_ngram_join_of_one_id_with_several_texts(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, 60), prose(rng, 60)
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, "en"), (1, b, "en"), (2, near(a), "en"), (3, near(b), "en"), (3, near(b), "en")]
+    out = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(spark, rows)).collect())
+    assert out == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (3, 1, 2)]
+    assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each(frame(spark, rows)).collect()) == sorted([(1, a), (1, b)])
+
+
+def test_ngram_join_deals_many_large_nodes_by_salts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "HEAVY_ROWS", 0)
+    rng = random.Random(32)
+    base = prose(rng, 200).split()
+    rows = [(i, " ".join([*base[:40], f"new{i}", *base[41:]]), "en") for i in range(40)]
+    out = ngram_join.similar_documents(frame(spark, rows)).collect()
+    assert {(r.class_id, r.n_links) for r in out} == {(0, 39)}
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(33)
+    passage = prose(rng, 40)
+    texts = [f"{prose(rng, 30, 'mnopqrst')} {passage} {prose(rng, 30, 'mnopqrst')}" for _ in range(3)]
+    for ids in ((1, 2, 3), (None, None, None), (5, 5, 5)):
+        rows = [(d, t, "en") for d, t in zip(ids, texts, strict=True)]
+        out = [len(r.text.split()) for r in line_dedup.remove_repeats(frame(spark, rows).coalesce(1)).collect()]
+        assert sorted(out) == [60, 60, 100], ids
+    same = line_dedup.without_repeats(frame(spark, [(None, texts[0], "en")] * 30)).collect()
+    assert [r.text for r in same] == [texts[0]]
+
+
+def test_line_dedup_removes_what_all_pairs_of_words_would(spark):
+    """Against a plain search: every word of a run of 24 that an earlier text holds goes; no word goes that isn't in an earlier run of 20."""
+    rng = random.Random(34)
+    stock = [prose(rng, n) for n in (24, 30, 50, 90)]
+    rows = []
+    for i in range(30):
+        parts = [prose(rng, rng.randint(1, 40), "mnopqrst") + f" u{i}{k} " + (rng.choice(stock) if rng.random() < 0.6 else "") for k in range(4)]
+        rows.append((i, " ".join(parts) + f" end{i}", "en"))
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(frame(spark, rows).coalesce(1)).collect()}
+    seen: set = set()
+    for i, t, _ in rows:
+        w = t.split()
+        must, may = set(), set()
+        for n, hit in ((24, must), (20, may)):
+            for a in range(len(w) - n + 1):
+                if (n, tuple(w[a : a + n])) in seen:
+                    hit.update(range(a, a + n))
+        for n in (20, 24):
+            seen.update((n, tuple(w[a : a + n])) for a in range(len(w) - n + 1))
+            for a in range(len(w) - n + 1):  # repeats within the text itself
+                if any(w[a : a + n] == w[b : b + n] for b in range(a)):
+                    (must if n == 24 else may).update(range(a, a + n))
+        kept = got[i].text.split()
+        assert len(w) - len(may) <= len(kept) <= len(w) - len(must), i
+        assert [x for k, x in enumerate(w) if k not in may] == [x for x in kept if x not in {w[k] for k in may}] or set(kept) <= set(w)
