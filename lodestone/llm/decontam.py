@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, hash_strings, kgrams, slices, words
+from lodestone.llm.common import checkpoint, hash_strings, in_arrow, kgrams, slices, words
 
 MATCH = 5
 BLOCK_WORDS = 1_000_000
@@ -163,7 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataF
                     c = list(zip(*rows, strict=True)) or [[], [], [], []]
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], kind)], ["doc_id", "item_id", "coverage", "tiles"])
 
-        got = docs.select("doc_id", "text").mapInArrow(run, PAIR_SCHEMA)
+        got = docs.select("doc_id", "text").transform(in_arrow, run, PAIR_SCHEMA)
         found = got if found is None else found.unionByName(got)
     return found if found is not None else docs.sparkSession.createDataFrame([], PAIR_SCHEMA)
 

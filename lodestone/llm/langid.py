@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, slices
+from lodestone.llm.common import checkpoint, in_arrow, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -188,7 +188,7 @@ def predict_languages(docs: DataFrame, net: ByteCnn, others: tuple[str, ...] = (
                 columns += [b.column(f"__{c}") for c in others]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", *(f"__{c}" for c in others)])
 
-    out = kept.mapInArrow(run, fields)
+    out = kept.transform(in_arrow, run, fields)
     return out.select("doc_id", "held_out", "lang_pred", "score", *(F.col(f"__{c}").alias(c) for c in others))
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, kgrams, mix, shared_dir, slices
+from lodestone.llm.common import checkpoint, in_arrow, kgrams, mix, shared_dir, slices
 
 #: Repeated passages of so many words are removed.
 LEAST_WORDS = 20
@@ -116,7 +116,7 @@ def numbered(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows)], [*b.schema.names[:-1], "__row"])
 
     path = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4()}"
-    size.mapInArrow(run, kind + ", __row long").write.parquet(path)
+    size.transform(in_arrow, run, kind + ", __row long").write.parquet(path)
     return docs.sparkSession.read.parquet(path).toDF(*names, "__row")
 
 
@@ -130,7 +130,7 @@ def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array(size), pa.array((room[0] << 32) + room[1])], ["h", "place", "len", "rooms"])
 
-    return docs.select("row", "text").mapInArrow(run, ANCHOR_SCHEMA)
+    return docs.select("row", "text").transform(in_arrow, run, ANCHOR_SCHEMA)
 
 
 def hash_counts(docs: DataFrame, least_words: int) -> DataFrame:
@@ -144,7 +144,7 @@ def hash_counts(docs: DataFrame, least_words: int) -> DataFrame:
                 h, first, n = np.unique(key, return_index=True, return_counts=True)  # places ascend, as rows do
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(place[first])], ["h", "n", "f"])
 
-    return docs.select("row", "text").mapInArrow(run, "h long, n long, f long").groupBy("h").agg(F.sum("n").alias("n"), F.min("f").alias("f"))
+    return docs.select("row", "text").transform(in_arrow, run, "h long, n long, f long").groupBy("h").agg(F.sum("n").alias("n"), F.min("f").alias("f"))
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -260,7 +260,7 @@ def cut_repeats(docs: DataFrame, least_words: int) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, kind), pa.array(copied)], [*(f"c{k}" for k in range(len(names))), "removed", "copied"])
 
-    return both.mapInArrow(run, fields).toDF(*names, "removed", "copied")
+    return both.transform(in_arrow, run, fields).toDF(*names, "removed", "copied")
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float = 0.2) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, connected_components, kgrams, mix, slices, words
+from lodestone.llm.common import checkpoint, connected_components, in_arrow, kgrams, mix, slices, words
 
 SHINGLE = 5
 MINIMA = 128
@@ -93,7 +93,7 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "key_a", "key_b", "sketch", "paths"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).transform(in_arrow, run, SKETCH_SCHEMA)
 
 
 def with_heavy(rows: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
@@ -260,7 +260,7 @@ def classified(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     rows = rows.repartition("cell").sortWithinPartitions("cell", "rep")
     margin = 4 * math.sqrt(similarity * (1 - similarity) / MINIMA)
     likely_schema = "cell long, rep long, run int, side int, crossed boolean, met array<long>, copies long"
-    near = checkpoint(rows.mapInArrow(lambda it: likely(it, similarity - margin), likely_schema))
+    near = checkpoint(rows.transform(in_arrow, lambda it: likely(it, similarity - margin), likely_schema))
     wanted = checkpoint(classes.join(near.select("rep").distinct(), "rep").select("rep", *keys, F.col("w.doc_id").alias("of")))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +269,10 @@ def classified(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
                 sets = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, set_keys(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], [*keys, "grams"])
 
-    sets = docs.join(wanted.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(grams, "key_a long, key_b long, grams binary")
+    sets = docs.join(wanted.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").transform(in_arrow, grams, "key_a long, key_b long, grams binary")
     sets = sets.join(wanted.drop("of"), keys).groupBy("rep").agg(F.first("grams").alias("grams"))
     checked = near.join(sets, "rep").repartition("cell").sortWithinPartitions("cell", "rep")
-    links = checkpoint(checked.mapInArrow(lambda it: linked(it, similarity), "rep long, links long, least long"))
+    links = checkpoint(checked.transform(in_arrow, lambda it: linked(it, similarity), "rep long, links long, least long"))
     parts = checkpoint(connected_components(links.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep"))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
     of = classes.select("rep", *keys, "copies", F.col("w.doc_id").alias("least")).join(total, "rep", "left").join(parts, "rep", "left")

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import slices, words
+from lodestone.llm.common import in_arrow, slices, words
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 8 * TIERS[-1]
 END_ID = 1
+LONGEST = 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -40,7 +41,7 @@ def byte_letters() -> list[str]:
 
 
 class WordIds:
-    """Ids of words that stand between white space, remembered for frequent words.
+    """Ids of words that stand between white space, remembered for `most` words of LONGEST letters or less.
 
     The tokenizer drops white space and cuts there first, so a text's ids are those of its words in a row. A word of
     Latin-1 letters, with or without punctuation behind it, is one or two pre-tokens: these go to the model directly,
@@ -48,36 +49,35 @@ class WordIds:
     tokenizer lower-cases.
     """
 
-    def __init__(self, path: str, most: int = 600_000, lower: bool = True) -> None:
+    def __init__(self, path: str, most: int = 400_000, lower: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.whole, self.lower = Tokenizer.from_file(path), lower
         self.model = self.whole.model
-        self.most, self.known, self.cores = most, {}, {}
+        self.most, self.known = most, {}
         self.simple = re.compile(f"([{LATIN}]+)([.,!?;:]*)").fullmatch
         letters = byte_letters()
         self.map = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
 
-    def core(self, part: str) -> tuple[int, ...]:
-        got = self.cores.get(part)
-        if got is None:
-            got = tuple(t.id for t in self.model.tokenize(part.translate(self.map)))
-            if len(self.cores) >= self.most:
-                self.cores.clear()
-            self.cores[part] = got
+    def remember(self, part: str, got: tuple[int, ...]) -> tuple[int, ...]:
+        if len(part) <= LONGEST:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[part] = got
         return got
 
+    def core(self, part: str) -> tuple[int, ...]:
+        """Of letters, or of punctuation: one pre-token."""
+        got = self.known.get(part)
+        return self.remember(part, tuple(t.id for t in self.model.tokenize(part.translate(self.map)))) if got is None else got
+
     def ids(self, word: str) -> tuple[int, ...]:
         got = self.known.get(word)
-        if got is None:
-            if m := self.simple(word):
-                got = self.core(m[1].lower() if self.lower else m[1]) + (self.core(m[2]) if m[2] else ())
-            else:
-                got = tuple(self.whole.encode(word, add_special_tokens=False).ids)
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[word] = got
-        return got
+        if got is not None:
+            return got
+        if m := self.simple(word):
+            return self.core(m[1].lower() if self.lower else m[1]) + (self.core(m[2]) if m[2] else ())
+        return self.remember(word, tuple(self.whole.encode(word, add_special_tokens=False).ids))
 
     def batch(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by `end`, and where each text's ids start."""
@@ -202,4 +202,4 @@ def pack_documents(docs: DataFrame, path: str, buffer_tokens: int = 1 << 20, kee
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").transform(in_arrow, run, SCHEMA)

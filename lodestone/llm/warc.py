@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import in_arrow, shared_dir
 
 LEAST_BYTES = 1000
 END = "\r\n\r\n"
@@ -118,7 +118,7 @@ def read_archives(spark, folder: str) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    return files.mapInArrow(run, READ_SCHEMA)
+    return files.transform(in_arrow, run, READ_SCHEMA)
 
 
 def restore(found: DataFrame) -> DataFrame:
