@@ -6,7 +6,7 @@ anywhere in the corpus are counted by hash; those that repeat one other text at
 of its first occurrence, with LEAST_WORDS words more on either side, and what is equal in so many words is removed. The first occurrence
 (in the order in which the table is read) stays. Equal words farther than that from a run hold anchors, and so runs, of their own.
 
-Texts are written once to the shared folder with a number for each row, so that repeated and null ids are rows of their own; an anchor is four numbers.
+Texts are written once to the shared folder with a number for each row, so that repeated and null ids are rows of their own; an anchor is three numbers.
 Shuffles: anchor hashes (added up where they are found), anchors by hash (a plain equi-join with a checkpointed table, whose skewed
 partitions Spark splits), runs (merged before they are shuffled), and texts by row. No group of copies is ever held in one row or task.
 """
@@ -30,7 +30,8 @@ LEAST_WORDS = 20
 #: A place is a row's number and a position in its text; a longer text has further numbers.
 POS_BITS, ROW_BITS = 24, 21
 BLANK = " \t\n\v\f\r"
-ANCHOR_SCHEMA = "h long, place long, len long, rooms long"
+ANCHOR_SCHEMA = "h long, place long, rooms long"
+K = 6  # words of an anchor
 SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * RADIX)
@@ -69,15 +70,15 @@ def farthest(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
 
 
 def chunks_of(texts: pa.Array, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
-    """text, pos, len, room and hash of the anchors: the k-grams with the least hash among those of some least_words words in a row.
+    """text, pos, room and hash of the anchors: the k-grams with the least hash among those of some least_words words in a row.
 
     Which ones these are follows from those words alone; of equal ones that follow each other, as in a text of one word, one in each stretch is
-    enough. room: how far the least_words words before and behind reach."""
+    enough. room: how far from pos the least_words words before, and the anchor with as many behind, reach."""
     text, pos, end, h = words_of(texts)
-    k = (least_words + 1) // 2
+    k = min(K, least_words)
     n = least_words - k + 1
     if len(h) < least_words:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros((2, 0), np.int64), np.zeros(0, np.uint64))
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros((2, 0), np.int64), np.zeros(0, np.uint64))
     key = kgrams(h, k)
     low = farthest(key, n, np.minimum)
     low[text[: len(low)] != text[least_words - 1 :]] = 0
@@ -91,7 +92,7 @@ def chunks_of(texts: pa.Array, least_words: int = LEAST_WORDS) -> tuple[np.ndarr
     at = at[fresh]
     last, own = at + k - 1, text[at]
     far = np.maximum(at - least_words, np.searchsorted(text, own)), np.minimum(last + least_words, np.searchsorted(text, own, "right") - 1)
-    return own, pos[at], end[last] - pos[at], np.stack([pos[at] - pos[far[0]], end[far[1]] - end[last]]), key[at]
+    return own, pos[at], np.stack([pos[at] - pos[far[0]], end[far[1]] - pos[at]]), key[at]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -116,8 +117,8 @@ def numbered(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows)], [*b.schema.names[:-1], "__row"])
 
     path = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4()}"
-    size.transform(in_arrow, run, kind + ", __row long").write.parquet(path)
-    return docs.sparkSession.read.parquet(path).toDF(*names, "__row")
+    size.transform(in_arrow, run, kind + ", __row long").write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path).toDF(*names, "__row").where("__row is not null")  # as every join asks: one plan for all
 
 
 def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -126,9 +127,9 @@ def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                text, pos, size, room, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
+                text, pos, room, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
                 place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array(size), pa.array((room[0] << 32) + room[1])], ["h", "place", "len", "rooms"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array((room[0] << 32) + room[1])], ["h", "place", "rooms"])
 
     return docs.select("row", "text").transform(in_arrow, run, ANCHOR_SCHEMA)
 
@@ -139,7 +140,7 @@ def hash_counts(docs: DataFrame, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
-                text, pos, _, _, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
+                text, pos, _, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
                 place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
                 h, first, n = np.unique(key, return_index=True, return_counts=True)  # places ascend, as rows do
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(place[first])], ["h", "n", "f"])
@@ -148,18 +149,15 @@ def hash_counts(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """row, f_row (a number of the first occurrence's text), shift (how much farther the run stands than it), and the run's a, z, before and behind."""
+    """row, f_row (a number of the first occurrence's text), shift (how much farther the run stands than it), and from where (a) to where (z) to compare."""
     again = checkpoint(hash_counts(docs, least_words).where("n > 1").select("h", "f"))
     found = find_chunks(docs, least_words).join(again, "h").where("place <> f")
     pos, f_pos = (F.col(c).bitwiseAND(F.lit((1 << POS_BITS) - 1)) for c in ("place", "f"))
     found = found.select(
-        F.shiftright("place", POS_BITS).alias("row"), F.shiftright("f", POS_BITS).alias("f_row"), pos.alias("pos"), (pos - f_pos).alias("shift"), (pos + F.col("len")).alias("end"), "rooms",
+        F.shiftright("place", POS_BITS).alias("row"), F.shiftright("f", POS_BITS).alias("f_row"), (pos - f_pos).alias("shift"),
+        (pos - F.shiftright("rooms", 32)).alias("a"), (pos + F.col("rooms").bitwiseAND(F.lit((1 << 32) - 1))).alias("z"),
     )
-    first = F.min(F.shiftleft("pos", 32) + F.shiftright("rooms", 32))
-    last = F.max(F.shiftleft("end", 32) + F.col("rooms").bitwiseAND(F.lit((1 << 32) - 1)))
-    runs = found.groupBy("row", "f_row", "shift").agg(first.alias("x"), last.alias("y"))
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    return runs.select("row", "f_row", "shift", F.shiftright("x", 32).alias("a"), F.shiftright("y", 32).alias("z"), low("x").alias("before"), low("y").alias("behind"))
+    return found.groupBy("row", "f_row", "shift").agg(F.min("a").alias("a"), F.max("z").alias("z"))
 
 
 def equal_stretches(own: str, other: str, a: int, edge: bool, least_words: int) -> list[tuple[int, int]]:
@@ -227,16 +225,22 @@ def cut_repeats(docs: DataFrame, least_words: int) -> DataFrame:
     names, i = docs.columns[:-1], docs.columns.index("text")
     tagged = docs.toDF(*(f"c{k}" for k in range(len(names))), "row")
     runs = repeated_runs(tagged.select("row", F.col(f"c{i}").alias("text")), least_words)
-    # one number more than a text's first stands for its later places
-    slots = F.explode(F.sequence(F.lit(0).cast("long"), (F.char_length(f"c{i}") / (1 << POS_BITS)).cast("long")))
-    texts = tagged.select(F.col("row").alias("f_own"), F.col(f"c{i}").alias("f_text"), slots.alias("slot")).withColumn("f_row", F.col("f_own") + F.col("slot"))
-    told = runs.join(texts, "f_row")
-    shift = F.col("shift") - F.shiftleft("slot", POS_BITS)
-    told = told.withColumns({"shift": shift, "a": F.greatest(F.col("a") - F.col("before") - 1, F.lit(0), shift), "z": F.col("z") + F.col("behind") + 1})
-    near = F.expr("substring(f_text, cast(a - shift + 1 as int), cast(z - a as int))")
-    told = told.select("row", F.struct(F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"), ((F.col("a") == 0) | (F.col("a") == shift)).alias("edge"), near.alias("near"), (F.col("row") == F.col("f_own")).alias("inside")).alias("r"))
-    told = told.groupBy("row").agg(F.collect_list("r").alias("runs"))
-    both = tagged.join(told, "row", "left").select(*(f"c{k}" for k in range(len(names))), "runs")
+    # a number of a text's later places stands for its first one
+    long = tagged.where(F.char_length(f"c{i}") >= 1 << POS_BITS).select(F.col("row").alias("f_own"), (F.char_length(f"c{i}") / (1 << POS_BITS)).cast("long").alias("n"))
+    long = long.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select((F.col("f_own") + F.col("slot")).alias("f_row"), "slot")
+    runs = runs.join(long, "f_row", "left").withColumn("slot", F.coalesce("slot", F.lit(0)))
+    runs = runs.select(F.col("row").alias("r_row"), (F.col("f_row") - F.col("slot")).alias("f_own"), (F.col("shift") - F.shiftleft("slot", POS_BITS)).alias("shift"), "a", "z")
+    told = runs.join(tagged, F.col("f_own") == F.col("row"))
+    told = told.withColumns({"a": F.greatest(F.col("a") - 1, F.lit(0), "shift"), "z": F.col("z") + 1})
+    near = F.expr(f"substring(c{i}, cast(a - shift + 1 as int), cast(z - a as int))")
+    part = F.struct(
+        F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"), ((F.col("a") == 0) | (F.col("a") == F.col("shift"))).alias("edge"), near.alias("near"), (F.col("r_row") == F.col("row")).alias("inside"),
+    )
+    # asking for all columns lets both joins read one shuffle of the texts
+    plain = [f"c{k}" for k, c in enumerate(names) if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    told = told.select(F.col("r_row").alias("row"), part.alias("r"), F.hash(*plain).alias("all"))
+    told = told.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("r.*", "all")).alias("runs"))
+    both = tagged.join(told, F.col("row") == F.col("of"), "left").select(*(f"c{k}" for k in range(len(names))), "runs")
     n_at = names.index("n_chars") if "n_chars" in names else None
     fields = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names)) + ", removed array<struct<start:int,end:int>>, copied long"
 

@@ -88,10 +88,10 @@ def test_line_dedup_cuts_later_passages_only(spark):
 def test_chunks_do_not_depend_on_where_lines_stand():
     rng = random.Random(4)
     a = sentences(rng, 40)
-    _, pos, size, _, key = line_dedup.chunks_of(pa.array([a]))
-    _, _, _, _, key2 = line_dedup.chunks_of(pa.array([sentences(rng, 3) + " " + a]))
+    _, pos, room, key = line_dedup.chunks_of(pa.array([a]))
+    _, _, _, key2 = line_dedup.chunks_of(pa.array([sentences(rng, 3) + " " + a]))
     assert len(set(key.tolist()) & set(key2.tolist())) >= len(key) - 2
-    assert all(len(a[p : p + n].split()) for p, n in zip(pos, size, strict=True))
+    assert all(len(a[p - x : p + n].split()) >= line_dedup.LEAST_WORDS for p, x, n in zip(pos, *room, strict=True))
 
 
 def planted(spark, rng, passages, cut):
