@@ -82,7 +82,7 @@ WITH c AS (
     DATE '2020-01-01' + (page_id % 1461)::INT AS fetched FROM pages),
 l AS (
   SELECT host, k - least(2, len(p)) AS level, array_to_string(p[len(p) - k + 1:len(p)], '.') AS rule_host
-  FROM (SELECT host, p, unnest(generate_series(least(2, len(p)), greatest(least(2, len(p)), least(len(p), least(2, len(p)) + 4)))) AS k
+  FROM (SELECT host, p, unnest(generate_series(least(2, len(p)), len(p))) AS k
     FROM (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host IS NOT NULL))),
 e AS (
   SELECT 'list' || ((x // 4) % 3) AS list_name, host, ['block', 'allow', 'remove', 'block'][x % 4 + 1] AS action, DATE '2020-01-01' + ((x // 16) % 1461)::INT AS since

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpoint
 
-LEVELS = 5
 SALTS = 16
 BROADCAST_ROWS = 100_000
 
@@ -43,18 +42,16 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def levels(host: Column) -> Column:
-    """The host and its parent domains of two labels at least, at most LEVELS of them, the shortest first; one label alone counts as it is."""
+    """The host and its parent domains of two labels at least, the shortest first; one label alone counts as it is."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    low = F.least(F.lit(2), n)
-    return F.transform(F.sequence(low, F.greatest(low, F.least(n, low + LEVELS - 1))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    return F.transform(F.sequence(F.least(F.lit(2), n), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
 
 
 def judge(captures: DataFrame, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """capture_id, host, verdict (allow, block or none), rule_host and list_name of each row of captures(capture_id, url, fetched).
 
-    A capture without host or date, or without an active entry, has verdict none. Hosts with more labels than LEVELS + 1 are looked up by
-    their LEVELS shortest domains. Ties between lists of one level: block first, then the least list name. Rows that repeat give
+    A capture without host or date, or without an active entry, has verdict none. A host is looked up at all its levels. Ties between lists of one level: block first, then the least list name. Rows that repeat give
     their verdict each; a null capture_id is kept; an empty table gives no rows and an empty list gives none throughout.
     """
     spans = checkpoint(intervals(entries)).withColumnRenamed("host", "rule_host")
