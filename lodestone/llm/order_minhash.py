@@ -1,26 +1,28 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 A text's k-mers (pairs of neighbouring words; a lone word is one) are numbered by occurrence, so that repeats count. A hash
-of k-mer and number deals them to BINS bins; of each bin the two least hashes are selected, put back in the order of the text,
-and hashed as a tuple. A bin agrees between two texts only if the same k-mers are its least ones and stand in the same
-order, which follows the edit distance rather than the mere sets. The likeness is the share of agreeing bins among those
-that either text fills.
+of k-mer and number deals them to BINS bins; of each bin the two least hashes are selected. A bin of fewer takes what it lacks from the other bins,
+which it tries in an order of its own (densification), so that in short texts, too, every bin selects two of all k-mers, independently of the others.
+The two are put back in the order of the text and hashed as a tuple: a bin agrees between two texts only if the same k-mers are selected and stand in the
+same order, which follows the edit distance rather than the mere sets. The likeness is the share of agreeing bins.
 
 All of it happens within a row, by sorting packed longs: no k-mer is exploded and nothing is shuffled for a fingerprint.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN_BITS = 6
 BINS = 1 << BIN_BITS
-#: Bits of a packed long that hold a k-mer's place; places beyond share the last one.
-PLACE_BITS = 25
+#: Bits of a packed long that hold a k-mer's place: a string has fewer words than that.
+PLACE_BITS = 30
 HASH_BITS = 63 - PLACE_BITS
-#: Documents whose ids agree but for so many low bits find their successor in one task.
-BUCKET_BITS = 8
+#: About so many rows of neighbouring ids find their successor in one task, and so many of such groups theirs.
+GROUP_ROWS, TOP_BITS = 256, 12
 
 
 def low_bits(x: Column, bits: int) -> Column:
@@ -32,7 +34,7 @@ def kmer_hashes(words: Column) -> Column:
 
     def packed(x: Column, i: Column) -> Column:
         h = F.xxhash64(x, F.coalesce(F.get(words, i + 1), F.lit("")))
-        return F.shiftleft(low_bits(h, HASH_BITS), PLACE_BITS).bitwiseOR(F.least(i, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
+        return F.shiftleft(low_bits(h, HASH_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
 
     return F.sort_array(F.transform(words, packed))
 
@@ -66,19 +68,33 @@ def selected(rows: Column) -> Column:
     return F.filter(rows, lambda x, i: (i < 2) | (bin_of(F.get(rows, F.greatest(i - 2, F.lit(0)))) != bin_of(x)))
 
 
+def tuple_of(j: Column, x: Column, other: Column) -> Column:
+    """Packed (bin, hash of 32 bits) of two selected k-mers, in the order of the text; other may be null."""
+    swap = low_bits(x, PLACE_BITS) > low_bits(other, PLACE_BITS)
+    a, z = F.shiftright(x, PLACE_BITS), F.shiftright(other, PLACE_BITS)
+    both = F.when(swap, F.xxhash64(z, a)).otherwise(F.xxhash64(a, z))
+    return F.shiftleft(j.cast("long"), 32).bitwiseOR(low_bits(both, 32))
+
+
 def signature(least: Column) -> Column:
-    """Packed (bin, hash of 32 bits) of each bin that has k-mers: of its selected hashes, in the order of the text."""
+    """tuple_of each bin: of its own two k-mers, or, if it has fewer, filled up from the other bins in the bin's own order of them."""
 
-    def of(x: Column, i: Column) -> Column:
+    def whole(x: Column, i: Column) -> Column:
         after = F.get(least, i + 1)
-        other = F.when(bin_of(after) == bin_of(x), after)
-        swap = low_bits(x, PLACE_BITS) > low_bits(other, PLACE_BITS)
-        a, z = F.shiftright(x, PLACE_BITS), F.shiftright(other, PLACE_BITS)
-        both = F.when(swap, F.xxhash64(z, a)).otherwise(F.xxhash64(a, z))
         head = (i == 0) | (bin_of(F.get(least, F.greatest(i - 1, F.lit(0)))) != bin_of(x))
-        return F.when(head, F.shiftleft(bin_of(x), 32).bitwiseOR(low_bits(both, 32)))
+        return F.when(head & (bin_of(after) == bin_of(x)), tuple_of(bin_of(x), x, after))
+
+    full = F.array_compact(F.transform(least, whole))
+
+    def filled(j: Column) -> Column:
+        turn = lambda x: F.when(bin_of(x) == j, F.lit(0).cast("long")).otherwise(1 + low_bits(F.xxhash64(j, bin_of(x)), 40))
+        keys = F.array(F.transform(least, lambda x, i: F.shiftleft(turn(x), BIN_BITS + 1).bitwiseOR(i.cast("long"))))
+        two = F.transform(keys, lambda t: F.struct(F.array_min(t).alias("a"), F.array_min(F.filter(t, lambda v: v > F.array_min(t))).alias("b")))
+        at = lambda v: F.get(least, low_bits(v, BIN_BITS + 1).cast("int"))
+        return F.transform(two, lambda p: tuple_of(j, at(p["a"]), at(p["b"])))[0]
 
-    return F.array_compact(F.transform(least, of))
+    lacking = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), F.transform(full, lambda x: F.shiftright(x, 32)))
+    return F.when(F.size(least) == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.concat(full, F.transform(lacking, filled))))
 
 
 def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -96,31 +112,35 @@ def fingerprint(signature: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of bins that agree among those in which either side has k-mers; 1 if neither has any."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
-    either = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """The share of bins that agree; 1 if neither side has any k-mer, 0 if one has none."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, signature, and next_text and next_signature of the next row in descending doc_id (after the last: the first).
 
-    Rows are dealt to buckets of 2 ** BUCKET_BITS neighbouring ids, whose rows find their successor by a window; only each bucket's
-    last row needs the head of the bucket below, found over one row a bucket, in two levels. The three readers of the
-    windowed rows share one shuffle. Null ids come last; rows of one id are ordered by text.
+    Rows are dealt to groups of neighbouring ids, of about GROUP_ROWS rows by the range of ids, however dense they are; a group's rows find their successor
+    by a window. Only each group's last row needs the head of the group behind, found over one row a group, in two levels. The three readers of the
+    windowed rows share one shuffle. Null ids come last, in the order of a hash of their texts, which deals them to groups alike; rows of one id are ordered by text.
     """
-    docs = docs.select("doc_id", "text", "signature", F.shiftright(F.coalesce("doc_id", F.lit(-(1 << 62))), BUCKET_BITS).alias("g"))
-    within = Window.partitionBy("g").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    seen = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    bits = lambda span, n: max(0, math.floor(math.log2(max(1.0, span * GROUP_ROWS / max(1, n)))))
+    shift, null_shift = bits(float(seen.high or 0) - float(seen.low or 0), seen.n), min(63, bits(2.0**64, seen.nulls))
+    last = F.col("doc_id").isNull()
+    at = F.when(last, F.xxhash64("text")).otherwise(F.bitwise_not("doc_id"))
+    docs = docs.select("doc_id", "text", "signature", last.alias("last"), at.alias("at")).withColumn("g", F.when(F.col("last"), F.shiftright("at", null_shift)).otherwise(F.shiftright("at", min(63, shift))))
+    within = Window.partitionBy("last", "g").orderBy("at", F.col("text").asc_nulls_first())
     rows = docs.select("*", *(F.lead(c).over(within).alias(f"next_{c}") for c in ("text", "signature")), F.lag(F.lit(True)).over(within).isNull().alias("head"))
-    heads = rows.where("head").select(F.col("g").alias("to"), F.col("text").alias("head_text"), F.col("signature").alias("head_signature"))
-    groups = docs.select("g").distinct().withColumn("top", F.shiftright("g", 12))
-    tops = groups.groupBy("top").agg(F.max("g").alias("head"))
-    tops = tops.select("top", F.coalesce(F.lead("head").over(Window.orderBy(F.col("top").desc())), F.max("head").over(Window.partitionBy())).alias("below"))
-    down = F.lead("g").over(Window.partitionBy("top").orderBy(F.col("g").desc()))
-    groups = groups.withColumn("down", down).join(tops, "top").select("g", F.coalesce("down", "below").alias("to"))
-    last = rows.where("next_text is null").join(groups.join(heads, "to"), "g")
-    last = last.select("doc_id", "text", "signature", F.col("head_text").alias("next_text"), F.col("head_signature").alias("next_signature"))
-    return rows.where("next_text is not null").select(*last.columns).unionByName(last)
+    heads = rows.where("head").select(F.struct("last", "g").alias("to"), F.col("text").alias("head_text"), F.col("signature").alias("head_signature"))
+    groups = docs.select("last", "g").distinct().select(F.struct("last", "g").alias("k"), F.struct("last", F.shiftright("g", TOP_BITS).alias("t")).alias("top"))
+    tops = groups.groupBy("top").agg(F.min("k").alias("head"))
+    tops = tops.select("top", F.coalesce(F.lead("head").over(Window.orderBy("top")), F.min("head").over(Window.partitionBy())).alias("below"))
+    down = F.lead("k").over(Window.partitionBy("top").orderBy("k"))
+    groups = groups.withColumn("down", down).join(tops, "top").select("k", F.coalesce("down", "below").alias("to"))
+    ends = rows.where("next_text is null").withColumn("k", F.struct("last", "g")).join(groups.join(heads, "to"), "k")
+    ends = ends.select("doc_id", "text", "signature", F.col("head_text").alias("next_text"), F.col("head_signature").alias("next_signature"))
+    return rows.where("next_text is not null").select(*ends.columns).unionByName(ends)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import order_minhash, pii
 
@@ -66,21 +67,28 @@ def plain_signature(text):
     x = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
     long = lambda v: (v & (2**64 - 1)).to_bytes(8, "little")
     seen, rows = {}, []
-    kmers = [x((w[i + 1] if i + 1 < len(w) else "").encode(), x(a.encode(), 42)) & (2**38 - 1) for i, a in enumerate(w)]
+    kmers = [x((w[i + 1] if i + 1 < len(w) else "").encode(), x(a.encode(), 42)) & (2**33 - 1) for i, a in enumerate(w)]
     for i, h in enumerate(kmers):
         n = seen[h] = seen.get(h, -1) + 1
-        v = x(n.to_bytes(4, "little"), x(long(h), 42)) & (2**38 - 1)
-        rows.append((v >> 32, v, i))
-    out = []
+        v = x(n.to_bytes(4, "little"), x(long(h), 42)) & (2**33 - 1)
+        rows.append((v >> 27, v, i))
+    out, least = [], []
     for b in sorted({r[0] for r in rows}):
-        least = sorted(r[1:] for r in rows if r[0] == b)[:2]
+        least += sorted(r for r in rows if r[0] == b)[:2]
+    for j in range(64 if rows else 0):
+        turn = lambda r: 0 if r[0] == j else 1 + (x(long(r[0]), x(long(j), 42)) & (2**40 - 1))  # noqa: B023, E731
         h = 42
-        for v, _ in sorted(least, key=lambda r: r[1]):
+        for _, v, _ in sorted(sorted(least, key=lambda r: (turn(r), r))[:2], key=lambda r: r[2]):
             h = x(long(v), h)
-        out.append((b << 32) | (h & (2**32 - 1)))
+        out.append((j << 32) | (h & (2**32 - 1)))
     return "".join(f"{s:010x}" for s in out)
 
 
+def plain_likeness(a, b):
+    a, b = ([s[i : i + 10] for i in range(0, len(s), 10)] for s in (a, b))
+    return sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b)) if a or b else 1.0
+
+
 def test_fingerprints_equal_plain_order_minhash(spark):
     rng = random.Random(2)
     given = [None, "", " \n", "one", "a a a a a a a a", "lone" * 9000, "yes no " * 5000, "\U0001f600 é x"]
@@ -99,7 +107,32 @@ def test_fingerprints_equal_plain_order_minhash(spark):
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i].fingerprint == plain_signature(t), t[:40]
         assert got[i].edited_fingerprint == plain_signature(edited)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        assert got[i].near_edited == plain_likeness(plain_signature(t), plain_signature(edited))
+        assert got[i].near_next == plain_likeness(plain_signature(t), plain_signature(nxt))
+
+
+def test_likeness_follows_the_order_in_short_and_long_texts(spark):
+    rng = random.Random(3)
+    for n in (40, 400):
+        w = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+        blocks = [w[i : i + 5] for i in range(0, n, 5)]
+        turned = [x for b in reversed(blocks) for x in b]
+        swapped = w[: n // 2] + ["other"] + w[n // 2 + 1 :]
+        docs = spark.createDataFrame([(3, " ".join(w)), (2, " ".join(turned)), (1, " ".join(w)), (0, " ".join(swapped))], "doc_id long, text string")
+        got = {r.doc_id: r.near_next for r in order_minhash.fingerprints(docs).collect()}
+        assert got[3] == got[2] < 0.2 and got[1] > 0.75, (n, got)
+
+
+def test_successors_of_sparse_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    ids = [None] * 600 + [7] * 5 + [rng.randrange(-(2**63), 2**63) for _ in range(1500)] + list(range(100))
+    rows = [(i, f"t{k} {k % 7}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("signature", F.array(F.xxhash64("text")))
+    got = order_minhash.with_next(docs).collect()
+    text_hash = {r.text: r.signature[0] for r in got}
+    order = sorted((i is None, 0 if i is None else -i, text_hash[t] if i is None else 0, t) for i, t in rows)
+    order = [x[3] for x in order]
+    assert {(r.text, r.next_text) for r in got} == set(zip(order, [*order[1:], order[0]], strict=True)) and len(got) == len(rows)
 
 
 def test_fingerprints_of_odd_tables(spark):
