@@ -33,7 +33,7 @@ BASE = {
 #: What a text must hold, cheaply tested, to have a base match that counts.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": "+"}
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++\s?[(\[{]at[)\]}]\s?[A-Za-z0-9-]++(?:\s?(?:[(\[{]dot[)\]}]|\.)\s?[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\s?[(\[{]at[)\]}]\s?[A-Za-z0-9-]++(?:\s?(?:[(\[{]dot[)\]}]|\.)\s?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}([\x20./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+A-Za-z.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -54,22 +54,36 @@ WORDS_FOR = {
 WORDS_AGAINST = r"(?i)\b(?:isbn|version|order|invoice|page|serial|build|ticket|nr|no)\b"
 
 
+#: Sums along an array are made in blocks of so many entries, so that many matches in a text don't take quadratic time.
+BLOCK = 64
+
+
+def running(n: Column) -> Column:
+    """The sums of array<int> n up to each entry."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: F.slice(n, b * BLOCK + 1, BLOCK))
+    add = lambda a, x: a + x
+    total = lambda x: F.aggregate(x, F.lit(0), add)
+    before = lambda t: F.aggregate(t, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + total(x)))
+    told = F.transform(F.array(F.struct(blocks.alias("x"), before(blocks).alias("s"))), lambda t: F.transform(t["x"], lambda x, i: F.struct(x.alias("x"), t["s"][i].alias("s"))))[0]
+    return F.flatten(F.transform(told, lambda t: F.transform(t["x"], lambda _, i: t["s"] + total(F.slice(t["x"], F.lit(1), i + 1)))))
+
+
 def found(text: Column, pattern: str, kind: str, hint: Column) -> Column:
     """array<struct<kind, start, end, body, before>> of a pattern's leftmost matches; places count code points."""
-    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,body:string,before:string>>)")
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("part"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["part"])
-        end = start + F.char_length(x["hit"])
-        before = F.substring(x["part"], -CONTEXT, CONTEXT)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("body"), before.alias("before"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    def spans(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.char_length(x["part"]) + F.char_length(x["hit"])))
+        return F.transform(F.arrays_zip(p.alias("p"), ends.alias("end")), span)
 
-    pairs = F.arrays_zip(parts.alias("part"), hits.alias("hit"))
-    pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(hint, F.aggregate(pairs, zero, step, lambda acc: acc["spans"])).otherwise(empty)
+    def span(x: Column) -> Column:
+        start = x["end"] - F.char_length(x["p"]["hit"])
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), x["end"].alias("end"), x["p"]["hit"].alias("body"), F.substring(x["p"]["part"], -CONTEXT, CONTEXT).alias("before"))
+
+    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,body:string,before:string>>)")
+    once = F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, spans(p)).otherwise(empty))[0]  # the matches are looked for once
+    return F.when(hint, once).otherwise(empty)
 
 
 def digits(x: Column) -> Column:
