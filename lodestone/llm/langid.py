@@ -25,6 +25,8 @@ PER_WIDTH = 8
 DIM = 8
 #: So many languages are broadcast with their counts; more are joined.
 MOST_LANGS = 10_000
+#: Bytes of text that are laid out in windows at a time: whole windows.
+SEGMENT = 1 << 19
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -117,18 +119,25 @@ def train(windows: np.ndarray, label: np.ndarray, langs: list[str], epochs: int
 
 
 def apply(net: ByteCnn, tables: tuple[np.ndarray, np.ndarray], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The distribution over languages of each text; a text without bytes has zeros."""
+    """The distribution over languages of each text; a text without bytes has zeros. Long texts are laid out in segments."""
     out = np.zeros((len(starts), len(net.langs)))
-    windows, text, held = padded_windows(data, starts, ends)
-    for a in range(0, len(windows), 32):
-        x = windows[a : a + 32].astype(np.int32)
-        pair = x[:, :-1] * 256 + x[:, 1:]
-        z = tables[0][pair[:, :-2]]
-        z += tables[1][pair[:, 2:]]
-        logit = np.maximum(z.max(axis=1) + net.bias, 0) @ net.dense + net.out_bias
-        prob = np.exp(logit - logit.max(1, keepdims=True))
-        prob *= (held[a : a + 32] / prob.sum(1))[:, None]
-        np.add.at(out, text[a : a + 32], prob)
+    n = -(-(ends - starts) // SEGMENT)
+    of = np.repeat(np.arange(len(starts)), n)
+    low = starts[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * SEGMENT
+    high = np.minimum(ends[of], low + SEGMENT)
+    group = np.cumsum(high - low) // SEGMENT
+    for some in np.split(np.arange(len(of)), np.flatnonzero(np.diff(group)) + 1):
+        windows, text, held = padded_windows(data, low[some], high[some])
+        text = of[some][text]
+        for a in range(0, len(windows), 32):
+            x = windows[a : a + 32].astype(np.int32)
+            pair = x[:, :-1] * 256 + x[:, 1:]
+            z = tables[0][pair[:, :-2]]
+            z += tables[1][pair[:, 2:]]
+            logit = np.maximum(z.max(axis=1) + net.bias, 0) @ net.dense + net.out_bias
+            prob = np.exp(logit - logit.max(1, keepdims=True))
+            prob *= (held[a : a + 32] / prob.sum(1))[:, None]
+            np.add.at(out, text[a : a + 32], prob)
     total = out.sum(1, keepdims=True)
     return np.divide(out, total, out=out, where=total > 0)
 
@@ -137,18 +146,21 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, learn: Column, per_lang: int = 400, excerpt: int = 1024) -> ByteCnn:
-    """Trains on at most per_lang rows of each language, in the order of a hash, an excerpt of each from its midst.
+def fit(docs: DataFrame, learn: Column, per_lang: int = 400, excerpt: int = 1024, most: int = 40_000) -> ByteCnn:
+    """Trains on at most per_lang rows of each language, in the order of a hash, an excerpt of each from its midst; fewer where languages
+    are so many that these are over `most` rows, but one of each at least.
 
-    The bound holds what reaches the driver; only rows where `learn` holds and text and lang are not null count. All
-    languages of those rows can be predicted. Languages are counted first, and only rows with hashes under a bound that
-    about 4 * per_lang rows of a language pass are ranked, so that what is ranked doesn't grow with the table.
+    These bounds hold what reaches the driver; only rows where `learn` holds and text and lang are not null count. All
+    languages of those rows can be predicted, also of rows that all repeat one. Languages are counted first, and only rows with hashes under a bound that
+    about 4 * per_lang rows of a language pass, or with its least, are ranked, so that what is ranked doesn't grow with the table.
     """
-    sizes = checkpoint(docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("size")))
-    sizes = F.broadcast(sizes) if sizes.count() <= MOST_LANGS else sizes
-    rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).join(sizes, "lang")
-    rows = rows.where(F.pmod("h", F.lit(1 << 30)) * F.col("size") <= F.lit(float(4 * per_lang << 30)))
+    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", rank.alias("h"))
+    sizes = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("size"), F.min("h").alias("least")))
+    n = sizes.count()
+    per_lang = max(1, min(per_lang, most // max(1, n)))
+    sizes = F.broadcast(sizes) if n <= MOST_LANGS else sizes
+    rows = rows.join(sizes, "lang").where((F.col("h") * F.col("size") <= F.lit(float(4 * per_lang << 30))) | (F.col("h") == F.col("least")))
     at = F.floor(F.greatest(F.char_length("text") - excerpt, F.lit(0)) / 2).cast("int") + 1
     rows = rows.select("lang", "h", F.substring(F.col("text"), at, F.lit(excerpt)).alias("part"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))

@@ -195,6 +195,25 @@ def test_compiled_network_equals_the_plain_one():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_network_in_segments_equals_whole_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 9000).astype(np.uint8)
+    net = langid.train(data[:8192].reshape(-1, 256), rng.integers(0, 3, 32), ["a", "b", "c"], epochs=1)
+    at = np.array([0, 0, 300, 7000, 7001, 9000])
+    want = langid.apply(net, net.tables(), data, at[:-1], at[1:])
+    monkeypatch.setattr(langid, "SEGMENT", 512)
+    assert np.allclose(langid.apply(net, net.tables(), data, at[:-1], at[1:]), want, atol=1e-6)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(35)
+    rows = [(i, prose(rng, 30), "aa") for i in range(80)]
+    for k in range(6):
+        repeated = [(1000 + k, f"eins zwei {k} drei vier fuenf sechs", "de")] * 60
+        docs = frame(spark, rows + repeated + [(2000 + k, f"qq rr ss tt {k} uu vv ww", "zz")])
+        assert langid.fit(docs, ~langid.held_out() | (docs.doc_id >= 1000), per_lang=2).langs == ["aa", "de", "zz"]
+
+
 def test_language_id_on_odd_rows_and_held_out_text(spark):
     rng = random.Random(7)
     sets = {"aa": "abcde", "bb": "vwxyz"}
