@@ -1,6 +1,9 @@
 import datetime
+import glob
+import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,11 +36,35 @@ def test_archives_round_trip(spark):
     assert warc.archive_round_trip(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_archives_are_gzip_members_of_single_records(spark, tmp_path):
+    rows = [(i, f"http://a.org/{i}", "é" * 700 if i % 3 == 0 else f"page {i}") for i in range(30)]
+    folder = f"{tmp_path}/archives"
+    warc.write_archives(warc.resolve(pages_of(spark, rows)), folder)
+    kinds = []
+    for f in glob.glob(f"{folder}/part-*"):
+        data = open(f, "rb").read()
+        records = list(warc.parse(gzip.decompress(data)))
+        kinds += [head["WARC-Type"] for head, _ in records]
+        while data:  # a member holds one record or none
+            d = zlib.decompressobj(31)
+            assert len(list(warc.parse(d.decompress(data)))) <= 1
+            data = d.unused_data
+        assert len({head["WARC-Record-ID"] for head, _ in records}) == len(records)
+    assert kinds.count("response") == 21 and kinds.count("revisit") == 9 and "warcinfo" in kinds
+    got = {r.page_id: (r.url, r.record_type, r.refers_to, r.payload) for r in warc.read_archives(spark, folder).collect()}
+    assert got == {i: (u, "revisit", 27, None) if i % 3 == 0 and i < 27 else (u, "response", None, h) for i, u, h in rows}
+
+
 def test_broken_archives_are_refused(spark):
-    good = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: u\r\nWARC-Page-ID: 1\r\nWARC-Payload-Digest: sha1:00\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [r[6] for r in warc.parse(good * 2)] == ["abc", "abc"]
+    good = warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, False)
+    assert [warc.row_of(*r)[6] for r in warc.parse(good * 2)] == [b"abc", b"abc"]
     with pytest.raises(ValueError):
         list(warc.parse(good[:-6]))
+    with pytest.raises(ValueError):
+        [warc.row_of(*r) for r in warc.parse(good.replace(b"abc", b"abd"))]
+    lost = spark.createDataFrame([(1, "d", None, "revisit", 2)], "page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long")
+    with pytest.raises(Exception, match="no response"):
+        warc.restore(lost).collect()
 
 
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
