@@ -1,17 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
-Word 5-grams of the benchmark are seeds. Each document's rolling Karp-Rabin hashes are looked up among them; around
-shared seeds, tiles are laid greedily: the longest match not yet covered first, again and again, down to five words. The
+Word 5-grams are seeds. Those of the documents are looked up in a table of CELLS bits of the benchmark's, which rules most of them out where they are
+read; what is left is joined with the benchmark's seeds by hash. A text and an item that share seeds enough to reach the threshold are tiled: the longest common run
+of words that are not marked yet is found by running Karp-Rabin hashes, marked on both sides, and so on down to five words. The
 share of a benchmark item's words that tiles cover decides, so that passages whose parts were reordered are found too.
 
-The benchmark is a stated query set: it is sent to the executors in blocks of a checked size (BLOCK_WORDS words), each in a pass
-over the documents, which are never shuffled. Only the found pairs are aggregated.
+Documents are read once for the seeds, whatever the size of the benchmark, and never shuffled whole: only seeds, texts that are tiled, and found pairs.
+Equal texts are tiled once. The table of bits has a fixed size; a benchmark that fills it makes the join larger, not the result smaller.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import checkpoint, hash_strings, in_arrow, kgrams, slices, words
 
 MATCH = 5
-BLOCK_WORDS = 1_000_000
+CELLS = 1 << 22
 PAIR_SCHEMA = "doc_id long, item_id long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
+TILE = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
 edges = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -44,131 +45,146 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarr
     return kept[w.starts], codes, vocab, hash_strings(pa.array(vocab, pa.string()))[codes] if len(codes) else np.zeros(0, np.uint64)
 
 
-def tile(doc: list[str], item: list[str], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in doc, place in item, words) from the seeds (i, j) at which MATCH words may agree.
-
-    Seeds on one diagonal that follow each other make one match. The longest match goes first (ties: the least
-    place); what others share with it is cut off them, and what is left under MATCH words is dropped."""
-    runs: list[tuple[int, int, int]] = []
-    by: dict[int, list[int]] = defaultdict(list)
-    for i, j in seeds:
-        if doc[i : i + MATCH] == item[j : j + MATCH]:
-            by[i - j].append(i)
-    for diagonal, places in by.items():
-        places = sorted(set(places))
-        start = last = places[0]
-        for i in [*places[1:], None]:
-            if i is None or i != last + 1:
-                runs.append((start, start - diagonal, last - start + MATCH))
-                start = i
-            last = i
-    used_doc: set[int] = set()
-    used_item = [False] * len(item)
-    out, open_runs = [], sorted(runs, key=lambda r: (r[2], -r[0], -r[1]))
-    while open_runs:
-        i, j, n = open_runs.pop()
-        free = [not used_item[j + k] and i + k not in used_doc for k in range(n)]
-        if all(free):
-            out.append((i, j, n))
-            used_doc.update(range(i, i + n))
-            used_item[j : j + n] = [True] * n
-            continue
-        a = 0
-        parts = []
-        for k in range(n + 1):
-            if k == n or not free[k]:
-                if k - a >= MATCH:
-                    parts.append((i + a, j + a, k - a))
-                a = k + 1
-        if parts:
-            open_runs = sorted(open_runs + parts, key=lambda r: (r[2], -r[0], -r[1]))
+def windows(prefix: np.ndarray, power: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs of n words none of which is marked, and their rolling hashes."""
+    if len(free) <= n:
+        return np.zeros(0, int), np.zeros(0, np.uint64)
+    at = np.flatnonzero(free[n:] - free[:-n] == n)
+    return at, prefix[at + n] - prefix[at] * power[n]
+
+
+def longest(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, sums: tuple[np.ndarray, ...], most: int) -> tuple[int, int, int] | None:
+    """The longest common run (place in a, place in b, words) of unmarked words, of MATCH words at least and `most` at most; ties: the least place in a, then in b."""
+    ha, hb, power = sums
+    low, high, best = MATCH, most, None
+    while low <= high:  # a common run of n words holds one of n - 1
+        n = (low + high + 1) // 2 if best else low
+        at, x = windows(ha, power, free_a, n)
+        to, y = windows(hb, power, free_b, n)
+        order = np.argsort(y, kind="stable")
+        k = np.searchsorted(y[order], x)
+        hit = np.flatnonzero((k < len(y)) & (y[order][np.minimum(k, len(y) - 1)] == x)) if len(y) else np.zeros(0, int)
+        found = next(((int(at[i]), int(to[order[k[i]]]), n) for i in hit if (a[at[i] : at[i] + n] == b[to[order[k[i]]] : to[order[k[i]]] + n]).all()), None)
+        if found:
+            best, low = found, n + 1
+            if n == high:
+                break
+        else:
+            high = n - 1
+            if best is None:
+                return None
+    return best
+
+
+def tile(doc: list[str], item: list[str]) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in doc, place in item, words): the longest common run of unmarked words first, again and again, down to MATCH words."""
+    code = {w: k + 1 for k, w in enumerate(dict.fromkeys(item))}
+    a, b = (np.fromiter((code.get(w, 0) for w in x), np.int64, len(x)) for x in (doc, item))
+    seeds = kgrams(b.astype(np.uint64), MATCH)
+    kept = np.zeros(len(a) + 1, np.int64)  # only words within a run of MATCH that the item holds, too, can be matched
+    for i in np.flatnonzero(np.isin(kgrams(a.astype(np.uint64), MATCH), seeds)).tolist():
+        kept[i] += 1
+        kept[i + MATCH] -= 1
+    kept = np.cumsum(kept)[:-1] > 0
+    where = np.flatnonzero(kept)
+    gaps = np.flatnonzero(np.diff(where) > 1) + 1
+    place = np.insert(where, gaps, -1)  # runs apart are kept apart
+    a = np.where(place >= 0, a[np.maximum(place, 0)], 0) if len(a) else a
+    power = np.cumprod(np.append(np.ones(1, np.uint64), np.full(max(len(a), len(b)), 0x9E3779B97F4A7C15, np.uint64)))
+    sums = (*(prefix(x) for x in (a, b)), power)
+    open_a, open_b, out, most = place >= 0, np.ones(len(b), bool), [], len(b)
+    while found := longest(a, b, count(open_a), count(open_b), sums, most):
+        i, j, most = found
+        open_a[i : i + most] = open_b[j : j + most] = False
+        out.append((int(place[i]), j, most))
     return sorted(out)
 
 
-class Seeds:
-    """A block of the benchmark with its seeds sorted by hash, and a table of bits that rules most other hashes out."""
-
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        starts, codes, vocab, h = tokens(pa.array(texts, pa.string()))
-        self.ids = ids
-        self.items = [[vocab[c] for c in codes[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
-        keys, of, at = [], [], []
-        for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
-            g = kgrams(h[a:b], MATCH)
-            keys.append(g)
-            of.append(np.full(len(g), k))
-            at.append(np.arange(len(g)))
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.of, self.at = self.keys[order], (np.concatenate(of) if of else order)[order], (np.concatenate(at) if at else order)[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self.keys & np.uint64((1 << 22) - 1)] = True
-
-    def hits(self, g: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place in g, entry of keys) for each equal hash."""
-        maybe = np.flatnonzero(self.bits[g & np.uint64((1 << 22) - 1)])
-        left, right = np.searchsorted(self.keys, g[maybe], "left"), np.searchsorted(self.keys, g[maybe], "right")
-        for p, a, b in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
-            for k in range(a, b):
-                yield p, k
-
-
-def blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in blocks of at most BLOCK_WORDS words, or of one item, streamed to the driver one block at a time."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        n = len(r.text.split())
-        if ids and size + n > BLOCK_WORDS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += n
-    if ids:
-        yield ids, texts
+def count(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(x)])
+
+
+def prefix(x: np.ndarray) -> np.ndarray:
+    out, h = np.zeros(len(x) + 1, np.uint64), 0
+    for i, v in enumerate(x.tolist()):
+        h = (h * 0x9E3779B97F4A7C15 + v) & 0xFFFFFFFFFFFFFFFF
+        out[i + 1] = h
+    return out
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """item_row, h, m (how often the item holds this 5-gram) and n (the item's words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                starts, _, _, h = tokens(b.column("text"))
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for row, a, z in zip(b.column("item_row").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    g, m = np.unique(kgrams(h[a:z], MATCH), return_counts=True)
+                    for c, x in zip(out, (np.full(len(g), row), g.view(np.int64), m, np.full(len(g), z - a)), strict=True):
+                        c.append(x.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], ["item_row", "h", "m", "n"])
+
+    return items.select("item_row", "text").transform(in_arrow, run, "item_row long, h long, m long, n long")
+
+
+def shared_seeds(docs: DataFrame, cells: np.ndarray) -> DataFrame:
+    """text_hash and h of the 5-grams of texts that the table of bits doesn't rule out, each once a slice of texts."""
+    bits = np.zeros(CELLS, bool)
+    bits[cells] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
+        for whole in batches:
+            for b in slices(whole, "text"):
+                starts, _, _, h = tokens(b.column("text"))
+                g = kgrams(h, MATCH)
+                at = np.flatnonzero(bits[(g & np.uint64(CELLS - 1)).astype(np.int64)])
+                text = np.searchsorted(starts, at, "right") - 1
+                inside = at + MATCH <= starts[text + 1]
+                pairs = np.unique(np.stack([np.asarray(b.column("text_hash"), dtype=np.int64)[text[inside]], g[at[inside]].view(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["text_hash", "h"])
+
+    return docs.select("text", F.xxhash64("text").alias("text_hash")).transform(in_arrow, run, "text_hash long, h long").distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
     """doc_id, item_id, coverage and tiles of each pair in which tiles cover a share `least` of the item's words.
 
-    Whole texts are read. Null texts, items of under five words and nulls in other columns give no pairs; a row that
-    repeats gives its pairs again; the tiles' places count words. An empty table gives no rows.
+    Whole texts are read. Null texts, items of under five words and nulls in other columns give no pairs (an item_id that is null is kept); a row that
+    repeats gives its pairs again, and so do items that repeat; the tiles' places count words. An empty table gives no rows.
     """
-    found = None
-    for ids, texts in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(*shared.value)
-            for whole in batches:
-                for b in slices(whole, "text"):
-                    starts, codes, vocab, h = tokens(b.column("text"))
-                    pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                    for p, k in seeds.hits(kgrams(h, MATCH)):
-                        d = int(np.searchsorted(starts, p, "right")) - 1
-                        if p + MATCH <= starts[d + 1]:
-                            pairs[d, int(seeds.of[k])].append((p - int(starts[d]), int(seeds.at[k])))
-                    docs_at, rows, read = b.column("doc_id").to_pylist(), [], {}
-                    for (d, k), at in sorted(pairs.items()):
-                        item = seeds.items[k]
-                        if len({j for _, j in at}) * MATCH < least * len(item):
-                            continue  # tiles can't cover enough
-                        if d not in read:
-                            read = {d: [vocab[c] for c in codes[starts[d] : starts[d + 1]]]}
-                        laid = tile(read[d], item, at)
-                        share = sum(x[2] for x in laid) / len(item)
-                        if share >= least:
-                            rows.append((docs_at[d], seeds.ids[k], share, [dict(zip(("doc_start", "item_start", "length"), x, strict=True)) for x in laid]))
-                    kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
-                    c = list(zip(*rows, strict=True)) or [[], [], [], []]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], kind)], ["doc_id", "item_id", "coverage", "tiles"])
-
-        got = docs.select("doc_id", "text").transform(in_arrow, run, PAIR_SCHEMA)
-        found = got if found is None else found.unionByName(got)
-    return found if found is not None else docs.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    docs = docs.select("doc_id", "text").where("text is not null")
+    items = checkpoint(benchmark.select("item_id", "text").where("text is not null")).withColumn("item_row", F.monotonically_increasing_id())
+    seeds = checkpoint(seeds_of(items))
+    cells = np.asarray(seeds.select(F.col("h").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")).distinct().toArrow()["cell"], dtype=np.int64)
+    hits = shared_seeds(docs, cells).join(seeds, "h")
+    enough = F.sum("m") * MATCH >= F.lit(least) * F.first("n") - F.lit(1e-9)
+    pairs = checkpoint(hits.groupBy("text_hash", "item_row").agg(enough.alias("enough")).where("enough").drop("enough"))
+    wanted = pairs.select(F.col("text_hash").alias("wanted")).distinct()
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = hashed.join(wanted, F.col("text_hash") == F.col("wanted"), "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    both = pairs.join(texts, "text_hash").join(items.select("item_row", "item_id", F.col("text").alias("item")), "item_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                texts, held = ([[vocab[c] for c in codes[a:z]] for a, z in zip(starts, starts[1:], strict=False)] for starts, codes, vocab, _ in (tokens(b.column("text")), tokens(b.column("item"))))
+                tiles = [tile(a, z) for a, z in zip(texts, held, strict=True)]
+                share = np.array([sum(x[2] for x in t) / len(item) for t, item in zip(tiles, held, strict=True)])
+                some = np.flatnonzero(share >= least)
+                told = [[dict(zip(("doc_start", "item_start", "length"), x, strict=True)) for x in tiles[k]] for k in some.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column("text_hash").take(pa.array(some)), b.column("item_id").take(pa.array(some)), pa.array(share[some]), pa.array(told, TILE)], ["text_hash", "item_id", "coverage", "tiles"])
+
+    kinds = "text_hash long, item_id long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
+    found = checkpoint(both.select("text_hash", "text", "item_id", "item").transform(in_arrow, run, kinds))
+    return hashed.select("doc_id", "text_hash").join(found, "text_hash").select("doc_id", "item_id", "coverage", "tiles")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
-    """The rows of docs that overlap no benchmark item; a null doc_id or text never goes."""
-    marked = checkpoint(overlaps(docs, benchmark, least).select("doc_id").distinct())
-    return docs.join(marked, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose text overlaps no benchmark item; a null text never goes. Rows with null or repeated ids are judged by their own texts."""
+    found = overlaps(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, least)
+    marked = checkpoint(found.select(F.col("doc_id").alias("__hash")).distinct())
+    return docs.join(marked, docs["text"].isNotNull() & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti").select(*docs.columns)

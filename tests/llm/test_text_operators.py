@@ -169,17 +169,29 @@ def test_tiling_finds_reordered_items(spark):
     assert got == pytest.approx(want)
     assert {i % 5 for i, _ in got if i is not None} == {0, 1, 3}
     left = decontam.decontaminate(docs, bench)
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _, _ in rows if d is None or (d, d % 6) not in want)
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _, _ in rows if d is not None and (d, d % 6) not in want)
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.overlaps(docs.limit(0), bench).count() == 0
 
 
-def test_tiling_in_several_blocks(spark, monkeypatch):
+def test_tiling_when_the_table_of_bits_is_full(spark, monkeypatch):
     rng = random.Random(6)
     items = [prose(rng, 20) for _ in range(5)]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    docs = frame(spark, [(i, t, "en") for i, t in enumerate(items)])
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 45)
-    assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()) == [(i, i) for i in range(5)]
+    bench = spark.createDataFrame([*enumerate(items), (None, items[0])], "item_id long, text string")
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(items)] + [(9, prose(rng, 50), "en"), (1, items[1], "en")])
+    monkeypatch.setattr(decontam, "CELLS", 2)
+    found = sorted((r.doc_id, str(r.item_id)) for r in decontam.overlaps(docs, bench).collect())
+    assert found == sorted([(i, str(i)) for i in range(5)] + [(0, "None"), (1, "1")])
+
+
+def test_tiles_equal_plain_ones_of_few_words():
+    rng = random.Random(7)
+    for k in range(60):
+        item = [rng.choice("abc") for _ in range(rng.randint(5, 30))]
+        doc = [rng.choice("abcd") for _ in range(rng.randint(0, 60))] + item[3 : 3 + rng.randint(0, 20)]
+        got = decontam.tile(doc, item)
+        assert sum(x[2] for x in got) / len(item) == pytest.approx(plain_tiles(doc, item, 5))
+        assert all(doc[i : i + n] == item[j : j + n] for i, j, n in got)
+    assert sum(x[2] for x in decontam.tile(["x"] * 30000, ["x"] * 400)) == 400
 
 
 def test_compiled_network_equals_the_plain_one():
