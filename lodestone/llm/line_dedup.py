@@ -13,7 +13,6 @@ partitions Spark splits), runs (merged before they are shuffled), and texts by r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, in_arrow, kgrams, mix, shared_dir, slices
+from lodestone.llm.common import in_arrow, kgrams, mix, slices, written
 
 #: Repeated passages of so many words are removed.
 LEAST_WORDS = 20
@@ -34,7 +33,7 @@ ANCHOR_SCHEMA = "h long, place long, rooms long"
 K = 6  # words of an anchor
 SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 RADIX = np.uint64(0x9E3779B97F4A7C15)
-BYTES = mix(np.arange(1, 257, dtype=np.uint64) * RADIX)
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -51,14 +50,16 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     start, stop = np.flatnonzero(first & solid), np.flatnonzero(last & solid) + 1
     if not len(start):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    # of the first and the last eight bytes and the size: equal words have equal hashes, and what seems equal is compared later
     size = stop - start
-    begin = np.cumsum(size) - size
-    power = np.cumprod(np.full(size.max(), RADIX))
-    h = np.add.reduceat(BYTES[data[solid]] * power[np.arange(begin[-1] + size[-1]) - np.repeat(begin, size)], begin)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    head = eight[start] & LOW[np.minimum(size, 8)]
+    h = mix(head + size.astype(np.uint64) * RADIX) + np.where(size > 8, eight[np.maximum(stop - 8, 0)], head)
     text = np.searchsorted(at, start, "right") - 1
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
     base = lead[at[text]]
-    return text, lead[start] - base, lead[stop] - base, mix(h)
+    return text, (lead[start] - base).astype(np.int64), (lead[stop] - base).astype(np.int64), mix(h)
 
 
 def farthest(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
@@ -116,9 +117,8 @@ def numbered(docs: DataFrame) -> DataFrame:
                 raise ValueError("more rows in a partition, or partitions, than numbers")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows)], [*b.schema.names[:-1], "__row"])
 
-    path = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4()}"
-    size.transform(in_arrow, run, kind + ", __row long").write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path).toDF(*names, "__row").where("__row is not null")  # as every join asks: one plan for all
+    out = written(size.transform(in_arrow, run, kind + ", __row long")).toDF(*names, "__row")
+    return out.where("__row is not null")  # as every join asks: one plan for all
 
 
 def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -150,7 +150,7 @@ def hash_counts(docs: DataFrame, least_words: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """row, f_row (a number of the first occurrence's text), shift (how much farther the run stands than it), and from where (a) to where (z) to compare."""
-    again = checkpoint(hash_counts(docs, least_words).where("n > 1").select("h", "f"))
+    again = written(hash_counts(docs, least_words).where("n > 1").select("h", "f"))
     found = find_chunks(docs, least_words).join(again, "h").where("place <> f")
     pos, f_pos = (F.col(c).bitwiseAND(F.lit((1 << POS_BITS) - 1)) for c in ("place", "f"))
     found = found.select(
