@@ -285,14 +285,14 @@ def slug_collisions(spark, d):
 
 
 WIKI = (
-    ("en", "Violin", "'''Violin'''s{{sfn|A|1}} of {{convert|356|mm|in}}<ref>x</ref> ({{lang|it|violino}}, ).\n== Parts ==\n* one\n** two\n# first\n[[Cello|cellos]] and [[Spruce]]s\n{|a\n|}\n== References ==\nx\n=== y ===\nz\n== End ==\nOp.&nbsp;9 [http://x.org label]"),
-    ("it", "Violino", "Il ''violino''<!-- no --> [[File:a.jpg|thumb|[[x]] y]] {{music|breve}}[[Categoria:X]] {{cite web|url=x unclosed"),
+    ("en", "Oak tree", "The '''oak'''{{efn|a|b}} grows {{cvt|20|to|40|m|ft}} tall<ref name=p/> ({{lang|la|quercus}}; ) in {{siglo|XX||s}}.\n=== Bark ===\n# rough\n## grey\n* old\n[[Elm|elms]], [[Beech]]es\n{|\n| q\n|}\n== Further reading ==\np\n=== q ===\nr\n== Use ==\nNo.&nbsp;3 [//w.org wood]"),
+    ("es", "Roble", "Un ''árbol''<!-- ? --> [[Archivo:b.png|[[c]] d]]{{music|longa}}[[Categoría:Y]] {{ficha|nombre=z"),
 )
 
 
 def wikitext_markdown(spark, d):
     pages = spark.createDataFrame(list(WIKI), "lang string, title string, wikitext string")
-    targets = spark.createDataFrame([("en", "Cello", "cello"), ("it", "Violino", "violino-it")], "lang string, title string, slug string")
+    targets = spark.createDataFrame([("en", "Elm", "elm"), ("es", "Roble", "roble-es")], "lang string, title string, slug string")
     return wikitext.to_markdown(pages, targets).select("lang", "title", "markdown", F.to_json("dropped").alias("dropped"))
 
 
