@@ -67,35 +67,35 @@ def parse_notes(files: DataFrame) -> DataFrame:
 def sections(body: Column) -> Column:
     """array<struct<heading_path, text>>: a heading line opens a section; its path holds the headings above it by level.
 
-    One fold over the lines keeps the open section, the titles by level, and the closed sections."""
-    state = "struct<path:array<string>,stack:array<string>,held:array<string>,done:array<struct<heading_path:array<string>,text:string>>>"
-    zero = F.from_json(F.lit('{"path":[],"stack":["","","","","",""],"held":[],"done":[]}'), state)
+    The lines are joined again and cut before each heading, so that one fold over the parts, not the lines, keeps the titles by level and the sections."""
+    state = "struct<stack:array<string>,done:array<struct<heading_path:array<string>,text:string>>>"
+    zero = F.from_json(F.lit('{"stack":["","","","","",""],"done":[]}'), state)
 
-    def closed(acc: Column) -> Column:
-        text = strip(F.array_join(acc["held"], "\n"))
-        return F.when(text == "", acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["path"].alias("heading_path"), text.alias("text"))))
+    def step(acc: Column, part: Column) -> Column:
+        head = F.substring_index(part, "\n", 1)
+        level, title, text = F.char_length(F.regexp_extract(head, HEADING, 1)), strip(F.regexp_extract(head, HEADING, 2)), strip(part)
+        stack = F.transform(acc["stack"], lambda t, i: F.when(i + 1 < level, t).when(i + 1 == level, title).otherwise(F.when(level == 0, t).otherwise("")))
+        path = F.filter(stack, lambda t: t != "")
+        done = F.when(text == "", acc["done"]).otherwise(F.array_append(acc["done"], F.struct(path.alias("heading_path"), text.alias("text"))))
+        return F.struct(stack.alias("stack"), done.alias("done"))
 
-    def step(acc: Column, line: Column) -> Column:
-        level = F.char_length(F.regexp_extract(line, HEADING, 1))
-        title = strip(F.regexp_extract(line, HEADING, 2))
-        stack = F.transform(acc["stack"], lambda t, i: F.when(i + 1 < level, t).when(i + 1 == level, title).otherwise(""))
-        opened = F.struct(F.filter(stack, lambda t: t != "").alias("path"), stack.alias("stack"), F.array(line).alias("held"), closed(acc).alias("done"))
-        held = F.struct(acc["path"].alias("path"), acc["stack"].alias("stack"), F.array_append(acc["held"], line).alias("held"), acc["done"].alias("done"))
-        return F.when(level > 0, opened).otherwise(held)
-
-    return F.aggregate(lines(body), zero, lambda acc, x: step(acc, x).cast(state), closed)
+    parts = F.split(F.array_join(lines(body), "\n"), r"(?Ud)\n(?=#{1,6}(?!#)[^\S\n][^\n])", -1)
+    return F.aggregate(parts, zero, lambda acc, x: step(acc, x).cast(state), lambda acc: acc["done"])
 
 
 def pieces(text: Column, most: int) -> Column:
-    """text itself if it has at most `most` words, else windows of so many words, joined by spaces."""
-    w = words(text)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / most).cast("int")), lambda k: F.array_join(F.slice(w, k * most + 1, most), " "))
-    return F.when(F.size(w) <= most, F.array(text)).otherwise(cut)
+    """array<struct<text, token_count>>: text itself if it has at most `most` words, else windows of so many words, joined by spaces. The words are split once."""
+    one = lambda t, n: F.struct(t.alias("text"), n.alias("token_count"))
+
+    def cut(w: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / most).cast("int")), lambda k: F.slice(w, k * most + 1, most))
+        return F.when(F.size(w) <= most, F.array(one(text, F.size(w)))).otherwise(F.transform(windows, lambda x: one(F.array_join(x, " "), F.size(x))))
+
+    return F.transform(F.array(words(text)), cut)[0]
 
 
 def chunk_notes(notes: DataFrame, max_tokens: int = 512) -> DataFrame:
     """note_path, ordinal (from 0), heading_path, text and token_count of each chunk of notes(path, body)."""
-    rows = notes.select(F.col("path").alias("note_path"), sections(F.col("body")).alias("s"))
-    cut = F.flatten(F.transform("s", lambda s: F.transform(pieces(s["text"], max_tokens), lambda p: F.struct(s["heading_path"].alias("heading_path"), p.alias("text")))))
-    rows = rows.select("note_path", F.posexplode(cut).alias("ordinal", "c"))
-    return rows.select("note_path", "ordinal", F.col("c.heading_path").alias("heading_path"), F.col("c.text").alias("text"), F.size(words(F.col("c.text"))).alias("token_count"))
+    part = lambda s: F.transform(pieces(s["text"], max_tokens), lambda p: F.struct(s["heading_path"].alias("heading_path"), p["text"].alias("text"), p["token_count"].alias("token_count")))
+    rows = notes.select(F.col("path").alias("note_path"), F.posexplode(F.flatten(F.transform(sections(F.col("body")), part))).alias("ordinal", "c"))
+    return rows.select("note_path", "ordinal", *(F.col(f"c.{x}").alias(x) for x in ("heading_path", "text", "token_count")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 from urllib.parse import quote
@@ -15,9 +16,9 @@ RUN = r"(?U)[\s\x1c-\x1f]+"
 
 @cache
 def fold_table() -> tuple[str, str]:
-    """Accented Latin letters and the plain letters they decompose to; ligatures, ß and the like stay."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
-    pairs = [(a, d[0]) for a, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+    """Accented Latin letters, of all of Unicode, and the plain letters they decompose to; ligatures, ß and the like stay."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x10000)]
+    pairs = [(a, d[0]) for a, d in pairs if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -26,6 +27,15 @@ def fold(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), *fold_table())
 
 
+@cache
+def compatible_forms() -> dict[str, str]:
+    """What characters that fold leaves are written with, if ASCII letters or digits are part of it: ligatures, full-width and circled signs, and so on."""
+    plain = lambda c: "".join(x for x in unicodedata.normalize("NFKD", chr(c).lower()) if not unicodedata.combining(x))
+    known = set(fold_table()[0])
+    forms = {chr(c): plain(c) for c in (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)) if chr(c) not in known}
+    return {c: x for c, x in forms.items() if x != c and any(y.isascii() and y.isalnum() for y in x)}
+
+
 def tokens(text: Column) -> Column:
     """The index terms: lower-case, folded runs of letters and numbers; neither stemmed nor stopped."""
     return F.regexp_extract_all(fold(F.lower(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -67,8 +77,14 @@ def slug_of(title: str, lang: str = "en") -> str:
 
 
 def slug(title: Column, lang: Column) -> Column:
-    """slug_of for titles whose accents `fold` knows."""
-    bare = F.regexp_replace(F.regexp_replace(fold(F.lower(title)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """slug_of as a column. Only titles with compatibility forms are looked up character by character."""
+    forms = compatible_forms()
+    known = F.from_json(F.lit(json.dumps(forms)), "map<string,string>")
+    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in forms) + "]"
+    bare = fold(F.lower(title))
+    spelled = F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    bare = F.when(bare.rlike(rare), spelled).otherwise(bare)
+    bare = F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when((lang == "en") | (bare == ""), bare).otherwise(F.concat(bare, F.lit("-"), lang))
 
 

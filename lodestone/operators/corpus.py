@@ -11,6 +11,7 @@ import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import percent_encoded, permalink_of, slug, slug_of
 from lodestone.operators.wikitext import squeeze
+from lodestone.sources.shared import checkpoint
 
 RETRYABLE = (429, 503)
 SENTINEL = "--- articles ---"
@@ -247,3 +249,32 @@ def build_corpus(spark: SparkSession, rows: list[dict], get: Get = http_get, sle
     known = [(lang, title, s) for lang, own in link_targets(rows).items() for title, s in own.items()]
     done = to_markdown(pages, spark.createDataFrame(known, "lang string, title string, slug string"))
     return render_notes(done), Counter({r.name: r.n for r in dropped_tally(done).collect()}), got
+
+
+def unattributed(notes: DataFrame, notice: str, sentinel: str = SENTINEL) -> DataFrame:
+    """path of notes(path) that have no row in the notice behind its sentinel."""
+    rows = [(x.partition(" | ")[0],) for x in notice.partition(sentinel)[2].splitlines() if x.strip()]
+    return notes.select("path").join(notes.sparkSession.createDataFrame(rows, "path string"), "path", "left_anti")
+
+
+def build_report(notes: int, got: Build, dropped: Counter, most: int = 10) -> str:
+    """What a build did, for the console: notes, failures, and the templates that were dropped most."""
+    lines = [f"{notes} notes written, {len(got.failures)} failures" + (", given up" if got.aborted else ""), *(f"  failed: {x}" for x in got.failures)]
+    return "\n".join([*lines, *(f"  dropped {n:>6} {name}" for name, n in dropped.most_common(most))])
+
+
+def build(spark: SparkSession, manifest: str, notice: str, root: str, get: Get = http_get, sleep: Callable[[float], None] = time.sleep) -> str:
+    """Fetches what the manifest (a file) lists, writes the notes under root, brings manifest and notice up to date, and returns a report.
+
+    What could not be fetched keeps its entry if its note is there from before; else the entry goes, as in reconcile."""
+    from lodestone.sources.vault import write_notes
+
+    rows = load_manifest(Path(manifest).read_text(encoding="utf-8"))
+    notes, dropped, got = build_corpus(spark, rows, get, sleep)
+    notes = checkpoint(notes)
+    write_notes(notes, root)
+    built = [{k: p[k] for k in ("cluster", "title", "lang", "revid")} for p in got.pages]
+    kept = reconcile(rows, built, lambda path: (Path(root) / path).exists())
+    Path(manifest).write_text(save_manifest(kept), encoding="utf-8")
+    Path(notice).write_text(write_notice(Path(notice).read_text(encoding="utf-8"), notice_rows([r for r in kept if r["revid"] is not None])), encoding="utf-8")
+    return build_report(notes.count(), got, dropped)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_ws
-from lodestone.operators.retrieval import distinct_notes
+from lodestone.operators.retrieval import Channel, distinct_notes
+from lodestone.sources.shared import checkpoint
 
 TYPES = ("paraphrase", "exact_term", "buried", "cross_lingual")
 METRICS = ("recall", "mrr")
@@ -44,6 +45,34 @@ def span_case_scores(cases: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     return cases.join(by_span, "query_id", "left").join(notes, "query_id", "left").fillna(0.0, list(SPAN_METRICS))
 
 
+def asked(cases: DataFrame) -> DataFrame:
+    return cases.select("query_id", F.col("query").alias("text"))
+
+
+def evaluate(search: Channel, cases: DataFrame, k: int = 5, pool: int = 50) -> DataFrame:
+    """Recall at k and reciprocal rank within the pool, by scenario and overall, of a search by note on cases(query_id, query, expected, scenario)."""
+    return report(case_scores(cases, search(asked(cases), max(k, pool)), k), "scenario")
+
+
+def evaluate_spans(search: Channel, cases: DataFrame, k: int = 5, pool: int = 50) -> DataFrame:
+    """The four span metrics by type and overall of a search by chunk on cases(query_id, query, type, expected_notes, answer_spans)."""
+    return report(span_case_scores(cases, checkpoint(search(asked(cases), max(k, pool))), k), "type", SPAN_METRICS)
+
+
+def run_eval(channels: dict[tuple[str, str], Channel], cases: DataFrame, k: int = 5, pool: int = 50) -> DataFrame:
+    """evaluate of the dense, sparse and hybrid channels by note, with the column `channel`."""
+    parts = [evaluate(channels[kind, "note"], cases, k, pool).withColumn("channel", F.lit(kind)) for kind in ("dense", "sparse", "hybrid")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def run_contextual_eval(off: Channel, on: Channel, chunks_on: DataFrame, cases: DataFrame, k: int = 5, pool: int = 50) -> DataFrame:
+    """The delta of the span metrics from an index without context to one with it. Notes of the latter that lack a blurb raise, since they would blur the comparison."""
+    bare = [r.note_path for r in uncontextualized(chunks_on).limit(6).collect()]
+    if bare:
+        raise ValueError(f"notes without context: {', '.join(bare[:5])}{' ...' if len(bare) > 5 else ''}")
+    return delta(evaluate_spans(off, cases, k, pool), evaluate_spans(on, cases, k, pool), "type", SPAN_METRICS)
+
+
 def report(scored: DataFrame, group: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Means by group and over all cases (group 'overall'; a row of zeros if there are none)."""
     means = [F.count("*").alias("n"), *(F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import logging
 import urllib.request
@@ -93,6 +94,37 @@ class ModelEmbedder:
         return embed(text)
 
 
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """An embeddings endpoint in the common form, called in batches by the Python workers. post: as HttpChat's."""
+
+    base_url: str
+    model: str
+    dimension: int
+    api_key: str = ""
+    timeout: float = 30.0
+    batch: int = 64
+    post: Callable[[str, dict, bytes, float], str] | None = None
+
+    @property
+    def fingerprint(self) -> str:
+        return f"http:{self.model}:{self.dimension}"
+
+    def vectors(self, texts: list[str]) -> list[list[float]]:
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        out: list[list[float]] = []
+        for i in range(0, len(texts), self.batch):
+            body = json.dumps({"model": self.model, "input": texts[i : i + self.batch]}).encode()
+            data = json.loads((self.post or http_post)(f"{self.base_url.rstrip('/')}/embeddings", head, body, self.timeout))["data"]
+            out += [x["embedding"] for x in sorted(data, key=lambda x: x["index"])]
+        if any(len(v) != self.dimension for v in out):
+            raise ValueError(f"{self.model} gives vectors of another length than {self.dimension}")
+        return out
+
+    def column(self, text: Column) -> Column:
+        return ModelEmbedder(lambda: self.vectors, self.dimension, self.fingerprint).column(text)
+
+
 class PlainContext:
     """No context: blurbs stay null and chunks are embedded as they are."""
 
@@ -195,6 +227,24 @@ class ModelRerank:
         return candidates.join(asked, "query_id").withColumn("score", score("__asked", "text")).drop("__asked")
 
 
+def made(name: str, known: dict[str, Callable[..., object]], what: str, **options: object) -> object:
+    """What a configured name stands for: a built-in factory, or one that it names as module:function."""
+    if name in known:
+        return known[name](**options)
+    module, colon, function = name.partition(":")
+    if not colon:
+        raise ValueError(f"no {what} {name!r}; there are {', '.join(known)}, or module:function")
+    return getattr(importlib.import_module(module), function)(**options)
+
+
+def embedder_of(name: str, dimension: int, options: dict) -> Embedder:
+    return made(name, {"hash": HashEmbedder, "http": HttpEmbedder}, "embedder", dimension=dimension, **options)
+
+
+def reranker_of(name: str, options: dict) -> Reranker:
+    return made(name, {"overlap": OverlapRerank, "none": PlainRerank}, "reranker", **options)
+
+
 def or_plain(build: Callable[[], object] | None, plain: object, what: str) -> object:
     """build(), or the plain provider with a warning if it can't be built."""
     if build is None:

@@ -35,24 +35,33 @@ class Config:
     ignore: tuple[str, ...] = (".obsidian/",)
     index_path: str = ".lodestone"
     dimension: int = 64
+    embedder: str = "hash"
+    embedder_options: dict = field(default_factory=dict)
     max_tokens: int = 512
     k_dense: int = 50
     k_sparse: int = 50
     pool: int = 100
     rerank: bool = True
+    reranker: str = "overlap"
+    reranker_options: dict = field(default_factory=dict)
     contextualize: bool = False
     chat: dict = field(default_factory=dict)
 
 
 def load_config(path: str) -> Config:
-    """A TOML file with tables vault, index, embedding, chunk, search, rerank, context."""
+    """A TOML file with tables vault, index, embedding, chunk, search, rerank, context, chat.
+
+    embedding.provider and rerank.provider name a built-in provider (hash, http; overlap, none) or a factory as module:function, which
+    gets the table's other keys; paths and dimensions are as in Config."""
     data = tomllib.loads(Path(path).read_text(encoding="utf-8"))
     get = lambda t, k, d: data.get(t, {}).get(k, d)
     if not get("vault", "path", None):
         raise ValueError(f"{path}: vault.path is missing")
     base = Config("")
+    rest = lambda t, *known: {k: v for k, v in data.get(t, {}).items() if k not in known}
     return Config(
         data["vault"]["path"], tuple(get("vault", "ignore", base.ignore)), get("index", "path", base.index_path), get("embedding", "dimension", base.dimension),
-        get("chunk", "max_tokens", base.max_tokens), get("search", "k_dense", base.k_dense), get("search", "k_sparse", base.k_sparse), get("search", "pool", base.pool),
-        get("rerank", "enabled", base.rerank), get("context", "enabled", base.contextualize), dict(data.get("chat", {})),
+        get("embedding", "provider", base.embedder), rest("embedding", "provider", "dimension"), get("chunk", "max_tokens", base.max_tokens), get("search", "k_dense", base.k_dense),
+        get("search", "k_sparse", base.k_sparse), get("search", "pool", base.pool), get("rerank", "enabled", base.rerank), get("rerank", "provider", base.reranker),
+        rest("rerank", "provider", "enabled"), get("context", "enabled", base.contextualize), dict(data.get("chat", {})),
     )

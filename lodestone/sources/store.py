@@ -1,7 +1,9 @@
-"""The index as snapshots: each change writes a new folder of Parquet tables, then moves one small pointer file.
+"""The index as segments: each change writes a small new folder of Parquet tables, then moves one pointer file over the old one.
 
-Readers follow the pointer, so they see whole states only; a run that dies leaves the old one. The fingerprint is part of the
-pointer and so changes with the tables. Any file system that Hadoop knows will do.
+A segment holds the notes that a commit adds, their chunks and postings, and the paths whose rows in earlier segments are dead (replaced or gone).
+So a commit costs what it changes, not what the index holds; beyond MOST_SEGMENTS segments it writes them as one. Readers follow the pointer, so they see whole states
+only; a run that dies leaves the old one. The fingerprint and the corpus' sums are part of the pointer and so change with the tables. Any file
+system that Hadoop knows will do.
 """
 
 from __future__ import annotations
@@ -15,12 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.markdown import chunk_notes, parse_notes
+from lodestone.functions.text import tokens
 from lodestone.operators.providers import Contextualizer, Embedder, HashEmbedder, PlainContext
-from lodestone.operators.retrieval import corpus_stats, postings
+from lodestone.operators.retrieval import postings
+from lodestone.sources.shared import checkpoint
 
 NOTES = "path string, title string, frontmatter map<string,string>, tags array<string>, wikilinks array<string>, content_hash string, mtime double"
-CHUNKS = "note_path string, ordinal int, heading_path array<string>, text string, token_count int, context_blurb string, embedding_text string, embedding array<float>"
-TABLES = {"notes": NOTES, "chunks": CHUNKS}
+CHUNKS = "note_path string, ordinal int, heading_path array<string>, text string, token_count int, context_blurb string, embedding_text string, n_tokens long, embedding array<float>"
+POSTINGS = "term string, note_path string, ordinal int, dl int, tf long, positions array<int>"
+TABLES = {"notes": NOTES, "chunks": CHUNKS, "postings": POSTINGS}
+KEYS = {"notes": "path", "chunks": "note_path", "postings": "note_path"}
+MOST_SEGMENTS = 8
 
 
 class VaultIndex:
@@ -48,10 +55,18 @@ class VaultIndex:
         return self.pointer().get("fingerprint", "")
 
     def table(self, name: str) -> DataFrame:
-        now = self.pointer()
-        if not now:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{now['snapshot']}/{name}")
+        return self._live(name, self.pointer().get("segments", []))
+
+    def _live(self, name: str, segments: list[str]) -> DataFrame:
+        """The rows of these segments that no later one replaces."""
+        out, dead, key = None, None, KEYS[name]
+        for segment in reversed(segments):
+            rows = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{segment}/{name}")
+            rows = rows if dead is None else rows.join(dead, key, "left_anti").select(*rows.columns)
+            out = rows if out is None else out.unionByName(rows)
+            gone = self.spark.read.schema("path string").parquet(f"{self.root}/{segment}/dead").withColumnRenamed("path", key)
+            dead = gone if dead is None else dead.unionByName(gone)
+        return self.spark.createDataFrame([], TABLES[name]) if out is None else out
 
     def notes(self) -> DataFrame:
         return self.table("notes")
@@ -60,37 +75,57 @@ class VaultIndex:
         return self.table("chunks")
 
     def postings(self) -> DataFrame:
-        now = self.pointer()
-        return self.spark.read.parquet(f"{self.root}/{now['snapshot']}/postings") if now else postings(self.chunks())
+        return self.table("postings")
 
     def corpus_stats(self) -> DataFrame:
-        return corpus_stats(self.chunks())
+        """One row, from the pointer: the number of chunks and their average length in tokens."""
+        now = self.pointer()
+        n = now.get("chunks", 0)
+        return self.spark.createDataFrame([(n, now.get("tokens", 0) / n if n else None)], "n_chunks long, avgdl double")
 
     def known_hashes(self) -> DataFrame:
         return self.notes().select("path", "content_hash")
 
     def stats(self) -> dict:
         now = self.pointer()
-        row = self.notes().agg(F.count("*")).crossJoin(self.chunks().agg(F.count("*"))).first()
-        return {"notes": row[0], "chunks": row[1], "last_indexed": time.time(), "committed": now.get("committed"), "config_fingerprint": now.get("fingerprint", "")}
+        return {"notes": now.get("notes", 0), "chunks": now.get("chunks", 0), "last_indexed": time.time(), "committed": now.get("committed"), "config_fingerprint": now.get("fingerprint", "")}
+
+    def _commit(self, notes: DataFrame, chunks: DataFrame, dead: DataFrame, fingerprint: str, afresh: bool = False) -> None:
+        """A segment of these notes and chunks, in which dead(path) names what leaves earlier ones. afresh: nothing of earlier ones stays."""
+        before = self.pointer().get("segments", [])
+        old = [] if afresh else before
+        name = f"segment-{uuid.uuid4()}"
+        self._write(name, notes, chunks, dead)
+        segments = [*old, name]
+        if len(segments) > MOST_SEGMENTS:
+            whole = f"segment-{uuid.uuid4()}"
+            self._write(whole, self._live("notes", segments), self._live("chunks", segments), dead.limit(0))
+            segments = [whole]
+        text = self._live("chunks", segments).agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
+        now = {"segments": segments, "fingerprint": fingerprint, "committed": time.time(), "notes": self._live("notes", segments).count(), "chunks": text.n, "tokens": text.t}
+        self._point(now)
+        for s in self._fs.listStatus(self._path(self.root)):  # the segments before are kept for those who read them, until the next commit
+            if s.getPath().getName().startswith("segment-") and s.getPath().getName() not in (*segments, *before):
+                self._fs.delete(s.getPath(), True)
 
-    def _commit(self, notes: DataFrame, chunks: DataFrame, fingerprint: str) -> None:
-        old, name = self.pointer(), f"snapshot-{uuid.uuid4()}"
+    def _write(self, name: str, notes: DataFrame, chunks: DataFrame, dead: DataFrame) -> None:
         notes.select(*self._names("notes")).write.parquet(f"{self.root}/{name}/notes")
         chunks.select(*self._names("chunks")).write.parquet(f"{self.root}/{name}/chunks")
         written = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{name}/chunks")
-        postings(written).repartitionByRange("term").sortWithinPartitions("term", "note_path", "ordinal").write.parquet(f"{self.root}/{name}/postings")
-        data = json.dumps({"snapshot": name, "fingerprint": fingerprint, "committed": time.time()}).encode()
-        part, at = self._path(f"{self.root}/.CURRENT-{name}"), self._path(f"{self.root}/CURRENT")
+        postings(written).select(*self._names("postings")).repartitionByRange("term").sortWithinPartitions("term", "note_path", "ordinal").write.parquet(f"{self.root}/{name}/postings")
+        dead.select("path").distinct().write.parquet(f"{self.root}/{name}/dead")
+
+    def _point(self, now: dict) -> None:
+        """Moves a new pointer over the old one, in one step."""
+        part, at = self._path(f"{self.root}/.CURRENT-{uuid.uuid4()}"), self._path(f"{self.root}/CURRENT")
         stream = self._fs.create(part, True)
-        stream.write(bytearray(data))
+        stream.write(bytearray(json.dumps(now).encode()))
         stream.close()
-        self._fs.delete(at, False)
-        if not self._fs.rename(part, at):
-            raise OSError(f"can't move the pointer of {self.root}")
-        for s in self._fs.listStatus(self._path(self.root)):
-            if s.getPath().getName().startswith("snapshot-") and s.getPath().getName() not in (name, old.get("snapshot")):
-                self._fs.delete(s.getPath(), True)
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+        options[0] = getattr(jvm, "Options$Rename").OVERWRITE
+        context = jvm.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(part), self._fs.makeQualified(at), options)
 
     @staticmethod
     def _names(table: str) -> list[str]:
@@ -101,7 +136,7 @@ class VaultIndex:
         blurbs = self.contextualizer.blurbs(parsed)
         rows = rows.withColumn("context_blurb", F.lit(None).cast("string")) if blurbs is None else rows.join(blurbs, "note_path", "left")
         text = F.when(F.coalesce("context_blurb", F.lit("")) == "", F.col("text")).otherwise(F.concat("context_blurb", F.lit("\n\n"), "text"))
-        rows = rows.withColumn("embedding_text", text)
+        rows = rows.withColumn("embedding_text", text).withColumn("n_tokens", F.size(tokens(F.col("embedding_text"))).cast("long"))
         return rows.withColumn("embedding", self.embedder.column(F.col("embedding_text")))
 
     def diff(self, files: DataFrame) -> DataFrame:
@@ -111,32 +146,27 @@ class VaultIndex:
         return rows.withColumn("changed", F.lit(self.fingerprint() != self.config_fingerprint) | ~F.col("content_hash").eqNullSafe(F.col("known"))).drop("known")
 
     def reindex(self, files: DataFrame) -> dict:
-        """Brings the index to the state of files(path, raw, mtime, content_hash): only changed notes are parsed, chunked and embedded.
+        """Brings the index to the state of files(path, raw, mtime, content_hash): only changed notes are parsed, chunked and embedded, once.
 
         Notes that are gone, or have no chunk (any more), leave the index."""
-        marked = self.diff(files)
-        if self.pointer() and not marked.where("changed").limit(1).count():
-            gone = self.known_hashes().join(files.select("path"), "path", "left_anti").limit(1).count()
-            if not gone:
-                return self.stats()
-        parsed = parse_notes(marked.where("changed"))
-        fresh = self.build_chunks(parsed)
-        kept = marked.where("not changed").select("path")
-        notes = self.notes().join(kept, "path", "left_semi")
-        chunks = self.chunks().join(kept.withColumnRenamed("path", "note_path"), "note_path", "left_semi")
-        new_notes = parsed.join(fresh.select(F.col("note_path").alias("path")), "path", "left_semi")
-        self._commit(notes.select(*self._names("notes")).unionByName(new_notes.select(*self._names("notes"))), chunks.unionByName(fresh.select(*chunks.columns)), self.config_fingerprint)
+        afresh = self.fingerprint() != self.config_fingerprint
+        marked = checkpoint(self.diff(files))
+        gone = self.known_hashes().join(marked.select("path"), "path", "left_anti")
+        if not afresh and not marked.where("changed").limit(1).count() and not gone.limit(1).count():
+            return self.stats()
+        parsed = checkpoint(parse_notes(marked.where("changed")))
+        fresh = checkpoint(self.build_chunks(parsed))
+        notes = parsed.join(fresh.select(F.col("note_path").alias("path")), "path", "left_semi")
+        self._commit(notes, fresh, gone.select("path").unionByName(parsed.select("path")), self.config_fingerprint, afresh)
         return self.stats()
 
     def upsert(self, notes: DataFrame, chunks: DataFrame) -> None:
         """Replaces these notes and all their chunks. A chunk without an embedding is refused."""
         if chunks.where("embedding is null").limit(1).count():
             raise ValueError("every chunk needs an embedding")
-        ids = notes.select("path").distinct()
-        old = self.chunks().join(ids.withColumnRenamed("path", "note_path"), "note_path", "left_anti")
-        names, both = self._names("notes"), self._names("chunks")
-        self._commit(self.notes().join(ids, "path", "left_anti").select(*names).unionByName(notes.select(*names)), old.select(*both).unionByName(chunks.select(*both)), self.fingerprint())
+        notes, chunks = checkpoint(notes), checkpoint(chunks)
+        self._commit(notes, chunks, notes.select("path"), self.fingerprint())
 
     def delete(self, paths: Sequence[str] | DataFrame) -> None:
         gone = paths.select("path") if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
-        self._commit(self.notes().join(gone, "path", "left_anti"), self.chunks().join(gone.withColumnRenamed("path", "note_path"), "note_path", "left_anti"), self.fingerprint())
+        self._commit(self.notes().limit(0), self.chunks().limit(0), gone, self.fingerprint())

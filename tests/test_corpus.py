@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import slug, slug_of
 from lodestone.operators import corpus, wikitext
 from lodestone.operators.wikitext import resolve_templates
 
@@ -112,6 +113,27 @@ def test_build(spark):
     assert corpus.fetch_articles(art, lambda u: (404, "")).where("error is not null").count() == 2
 
 
+def test_build_from_end_to_end(spark, tmp_path):
+    manifest, notice, root = tmp_path / "m.json", tmp_path / "NOTICE", tmp_path / "notes"
+    manifest.write_text('{"clusters": [{"name": "trees", "articles": [{"title": "Tiếng", "lang": "en"}, {"title": "ﬁr ½", "lang": "de", "revid": 7}, {"title": "Gone", "lang": "en"}]}]}')
+    notice.write_text("head\n" + corpus.SENTINEL + "\nold | x\n")
+    get = lambda url: (404, "") if "Gone" in url else (200, page("p {{odd}}"))
+    told = corpus.build(spark, str(manifest), str(notice), str(root), get, lambda s: None)
+    assert told.splitlines()[0] == "2 notes written, 1 failures" and "odd" in told and "Gone" in told
+    paths = sorted(str(p.relative_to(root)) for p in root.rglob("*.md"))
+    assert paths == ["trees/fir-1-2-de.md", "trees/tieng.md"]
+    rows = corpus.load_manifest(manifest.read_text())
+    assert sorted(corpus.note_path(r["cluster"], r["title"], r["lang"]) for r in rows) == paths and {r["revid"] for r in rows} == {7}
+    have = spark.createDataFrame([(p,) for p in [*paths, "trees/other.md"]], "path string")
+    assert [r.path for r in corpus.unattributed(have, notice.read_text()).collect()] == ["trees/other.md"]
+
+
+def test_slugs_of_rows_and_strings_agree(spark):
+    titles = ["Tiếng Việt", "ﬁn ② ½", "İstanbul", "Ⅷ x²", "Ｆｕｌｌ", "straße", "𝐁old", "a\u0301b", "--", "Ω 5 µm", "№ 3"]
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").select("t", slug(F.col("t"), F.lit("it")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == {t: slug_of(t, "it") for t in titles}
+
+
 def test_manifest_validation(spark):
     bad = '{"clusters": [{"name": "a/b", "articles": [{"title": "??", "lang": "EN", "revid": 0}, {"title": "Á", "lang": "en"}, {"title": "a", "lang": "en", "revid": true}]}]}'
     with pytest.raises(ValueError) as e:

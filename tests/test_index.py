@@ -1,12 +1,15 @@
 import io
 import json
+import random
 from threading import Event
 
 import pytest
 
 from lodestone.__main__ import main, serve
-from lodestone.operators.providers import ChatContext, HashEmbedder
+from lodestone.operators.providers import ChatContext, HashEmbedder, PlainRerank
+from lodestone.operators.retrieval import corpus_stats
 from lodestone.service import Service
+from lodestone.sources import store
 from lodestone.sources.files import Config, load_config, load_gold, load_span_gold
 from lodestone.sources.store import VaultIndex
 from lodestone.sources.vault import scan_vault
@@ -28,9 +31,9 @@ def test_incremental_index(spark, vault, tmp_path):
     assert index.stats()["notes"] == 0 and index.fingerprint() == ""
     s = index.reindex(scan())
     assert (s["notes"], s["chunks"]) == (2, 3)
-    first = index.pointer()["snapshot"]
+    first = index.pointer()["segments"]
     (vault / "e.md").unlink()
-    assert index.reindex(scan())["chunks"] == 3 and index.pointer()["snapshot"] == first
+    assert index.reindex(scan())["chunks"] == 3 and index.pointer()["segments"] == first
     (vault / "b.md").write_text("# Cello\nchanged\n## New\nx")
     assert [r.path for r in index.diff(scan()).where("changed").collect()] == ["b.md"]
     assert index.reindex(scan())["chunks"] == 4
@@ -49,6 +52,42 @@ def test_incremental_index(spark, vault, tmp_path):
     assert other.stats()["notes"] == 0 and other.postings().count() == 0
 
 
+def test_segments_equal_one_index_and_are_merged(spark, vault, tmp_path, monkeypatch):
+    """After every change, the live rows and sums are those of an index that is made afresh; old segments stay small in number."""
+    index, rng = VaultIndex(spark, str(tmp_path / "many")), random.Random(5)
+    monkeypatch.setattr(store, "MOST_SEGMENTS", 3)
+    for step in range(6):
+        for name in "abcd":
+            if rng.random() < 0.5:
+                (vault / f"{name}.md").write_text(f"# {name}\nword{step} " + "tone " * rng.randint(0, 4) if rng.random() < 0.8 else "")
+            elif rng.random() < 0.3:
+                (vault / f"{name}.md").unlink(missing_ok=True)
+        told = index.reindex(scan_vault(spark, str(vault)))
+        assert len(index.pointer()["segments"]) <= 3
+        one = VaultIndex(spark, str(tmp_path / f"one{step}"))
+        want = one.reindex(scan_vault(spark, str(vault)))
+        assert (told["notes"], told["chunks"]) == (want["notes"], want["chunks"])
+        for name in ("notes", "chunks", "postings"):
+            rows = lambda x, name=name: sorted(map(str, (r.asDict() | {"mtime": 0} for r in x.table(name).collect())))
+            assert rows(index) == rows(one), (step, name)
+        assert index.corpus_stats().collect() == corpus_stats(index.chunks()).collect() or not want["chunks"]
+
+
+def test_a_note_is_told_to_the_chat_once(spark, vault, tmp_path):
+    class Counting:
+        def __init__(self, path):
+            self.path = path
+
+        def complete(self, system, user):
+            with open(self.path, "a") as f:
+                f.write("x")
+            return "about it"
+
+    index = VaultIndex(spark, str(tmp_path / "once"), contextualizer=ChatContext(Counting(str(tmp_path / "calls")), "m"))
+    index.reindex(scan_vault(spark, str(vault)))
+    assert (tmp_path / "calls").read_text() == "x" * 3
+
+
 def test_context_makes_a_note_findable(spark, vault, tmp_path):
     class Echo:  # local, so that it travels to the workers by value
         def complete(self, system, user):
@@ -70,6 +109,7 @@ def test_service_and_command_line(spark, vault, tmp_path, capsys):
     got = service.search_knowledge("zyxw", 1)["results"][0]
     assert (got["note_path"], got["heading_path"]) == ("a.md", ["Violin", "More"])
     assert service.search_sources("strings", 5)["sources"][0]["hit_count"] >= 1
+    assert {x["note_path"] for x in service.search_knowledge("strings", 5, paths=["b*"])["results"]} == {"b.md"} and service.search_sources("strings", tags=["none"]) == {"sources": []}
     assert service.get_note("a.md")["title"] == "Violin" and service.get_note("no") == {"found": False}
     out = io.StringIO()
     serve(service, ['{"tool": "status"}', "bad", '{"tool": "drop"}'], out)
@@ -77,6 +117,10 @@ def test_service_and_command_line(spark, vault, tmp_path, capsys):
     assert lines[0]["notes"] == 2 and "error" in lines[1] and "error" in lines[2]
     toml = tmp_path / "c.toml"
     toml.write_text(f'[vault]\npath = "{vault}"\n[index]\npath = "{tmp_path}/s"\n')
+    models = tmp_path / "m.toml"
+    models.write_text(f'[vault]\npath = "{vault}"\n[embedding]\nprovider = "http"\ndimension = 3\nbase_url = "http://x"\nmodel = "e"\n[rerank]\nprovider = "no_such:thing"\n')
+    other = Service(spark, load_config(str(models)))
+    assert other.index.config_fingerprint.startswith("http:e:3|") and isinstance(other.reranker, PlainRerank)
     assert load_config(str(toml)).pool == 100 and main(["nothing"]) == 2
     assert main(["status", str(toml)]) == 0 and '"notes": 2' in capsys.readouterr().out
 

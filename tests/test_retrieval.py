@@ -1,3 +1,4 @@
+import json
 import random
 import sqlite3
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import evaluate, retrieval
-from lodestone.operators.providers import ChatContext, ChatError, Contextualizer, Embedder, HashEmbedder, HttpChat, ModelEmbedder, ModelRerank, OverlapRerank, PlainContext, PlainRerank, Reranker, or_plain
+from lodestone.operators.providers import ChatContext, ChatError, Contextualizer, Embedder, HashEmbedder, HttpChat, HttpEmbedder, ModelEmbedder, ModelRerank, OverlapRerank, PlainContext, PlainRerank, Reranker, embedder_of, or_plain, reranker_of
 
 CHUNK = "note_path string, ordinal int, text string, embedding_text string"
 
@@ -43,9 +44,9 @@ def test_bm25_equals_sqlite(spark):
 
 
 def test_accents_fold_both_ways(spark):
-    texts = ["perche citta", "mañana", "straße", "coração"]
-    got = {(r.query_id, r.note_path) for r in bm25(spark, texts, ["perché", "manana", "strasse", "coracao"])}
-    assert got == {(0, "n000"), (1, "n001"), (3, "n003")}
+    texts = ["perche citta", "mañana", "straße", "coração", "tiếng Việt", "e\u0302\u0301 ḍ"]
+    got = {(r.query_id, r.note_path) for r in bm25(spark, texts, ["perché", "manana", "strasse", "coracao", "tieng", "VIỆT", "ế d"])}
+    assert got == {(0, "n000"), (1, "n001"), (3, "n003"), (4, "n004"), (5, "n004"), (6, "n005")}
 
 
 def test_dense_nearest_first(spark):
@@ -95,6 +96,45 @@ def test_filters(spark):
     assert names(retrieval.with_filters(c, notes)) == ["n000", "n001", "n002"]
 
 
+def test_filters_narrow_a_search_down_but_not_its_statistics(spark):
+    texts = ["oak oak", "oak elm", "elm", "ash"]
+    c = chunks_of(spark, texts).withColumn("embedding", HashEmbedder(16).column(F.col("embedding_text")))
+    notes = spark.createDataFrame([("n001", ["x"]), ("n003", ["y"])], "path string, tags array<string>")
+    args = (retrieval.postings(c), retrieval.corpus_stats(c), queries_of(spark, ["oak elm"]))
+    whole = {r.note_path: r.score for r in retrieval.sparse(*args, 9).collect()}
+    some = retrieval.sparse(*args, 9, retrieval.filtered_notes(notes, tags=["x"])).collect()
+    assert {r.note_path: r.score for r in some} == {"n001": whole["n001"]}
+    got = retrieval.search_knowledge(c, *args, HashEmbedder(16), 9, notes=retrieval.filtered_notes(notes, globs=["n*"]))
+    assert {r.note_path for r in got.collect()} == {"n001", "n003"}
+
+
+def test_channels_and_runners(spark):
+    texts = ["oak bark and leaves", "elm wood", "ash tree", "beech nut"]
+    c = chunks_of(spark, texts)
+    c = c.unionByName(c.withColumn("ordinal", F.lit(1)).withColumn("embedding_text", F.concat("text", F.lit(" more")))).withColumn("embedding", HashEmbedder(64).column(F.col("embedding_text")))
+    all_of = retrieval.channels(c, retrieval.postings(c), retrieval.corpus_stats(c), HashEmbedder(64))
+    assert len(all_of) == 6
+    q = queries_of(spark, ["elm wood", "beech"])
+    for kind in ("dense", "sparse", "hybrid"):
+        notes = all_of[kind, "note"](q, 2).where("rank = 0").orderBy("query_id").collect()
+        assert [r.note_path for r in notes] == ["n001", "n003"] and set(notes[0].asDict()) == {"query_id", "note_path", "rank"}
+        first = all_of[kind, "chunk"](q, 2).where("rank = 0 and query_id = 1").first()
+        assert (first.note_path, first.text) == ("n003", "beech nut")
+    with pytest.raises(ValueError):
+        retrieval.channel("odd", "note", c, c, c, HashEmbedder())
+    cases = spark.createDataFrame([(0, "elm wood", ["n001"], "same"), (1, "beech", ["n000"], "other")], "query_id long, query string, expected array<string>, scenario string")
+    got = {(r.channel, r.scenario): (r.n, r.recall) for r in evaluate.run_eval(all_of, cases, 1, 10).collect()}
+    assert got["sparse", "same"] == (1, 1.0) and got["dense", "other"] == (1, 0.0) and got["hybrid", "overall"] == (2, 0.5)
+    spans = "query_id long, query string, type string, expected_notes array<string>, answer_spans array<struct<note:string,text:string>>"
+    cases = spark.createDataFrame([(0, "elm wood", "buried", ["n001"], [("n001", "ELM  wood")]), (1, "ash", "buried", ["n002"], [("n002", "none")])], spans)
+    row = evaluate.evaluate_spans(all_of["sparse", "chunk"], cases, 1, 10).where("type = 'overall'").first()
+    assert (row.n, row.span_recall, row.note_recall) == (2, 0.5, 1.0)
+    on, search = c.withColumn("context_blurb", F.lit("about")), all_of["sparse", "chunk"]
+    assert evaluate.run_contextual_eval(search, search, on, cases, 1, 10).where("type = 'buried'").first().span_recall_delta == 0.0
+    with pytest.raises(ValueError, match="n000"):
+        evaluate.run_contextual_eval(search, search, on.withColumn("context_blurb", F.lit(None)), cases)
+
+
 def test_case_scores_and_report(spark):
     cases = spark.createDataFrame([(0, ["a"], "same"), (1, ["b", "z"], "same"), (2, ["q"], "it→en")], "query_id long, expected array<string>, scenario string")
     got = spark.createDataFrame([(0, "x", 0), (0, "y", 1), (0, "a", 2), (1, "b", 0)], "query_id long, note_path string, rank int")
@@ -134,6 +174,13 @@ def test_providers(spark):
     assert [r.v for r in rows.select(own.column(F.col("t")).alias("v")).collect()] == [[3.0], [0.0], [0.0]]
     answers = {"good": '{"choices": [{"message": {"content": " hi "}}]}', "bad": "{}"}
     assert HttpChat("http://x/v1", "m", post=lambda *a: answers["good"]).complete("s", "u") == "hi"
+    seen = []
+    http = HttpEmbedder("http://x/v1", "m", 2, batch=2, post=lambda url, head, body, wait: seen.append(url) or json.dumps({"data": [{"index": 1 - i, "embedding": [float(i), 0.0]} for i in range(len(json.loads(body)["input"]))]}))
+    assert http.vectors(["a", "b"]) == [[1.0, 0.0], [0.0, 0.0]] and seen == ["http://x/v1/embeddings"]
+    assert embedder_of("http", 2, {"base_url": "u", "model": "m"}).fingerprint == "http:m:2" and embedder_of("hash", 8, {}) == HashEmbedder(8)
+    assert isinstance(reranker_of("none", {}), PlainRerank) and reranker_of("builtins:dict", {"a": 1}) == {"a": 1}
+    with pytest.raises(ValueError, match="no reranker"):
+        reranker_of("odd", {})
     with pytest.raises(ChatError):
         HttpChat("http://x/v1", "m", post=lambda *a: answers["bad"]).complete("s", "u")
     assert isinstance(or_plain(lambda: 1 / 0, PlainRerank(), "it"), PlainRerank)
