@@ -122,13 +122,14 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """ANCHOR_SCHEMA of docs(row, text): rooms are two numbers of 32 bits, before and behind."""
+    """ANCHOR_SCHEMA of docs(row, text): rooms are two numbers of 32 bits, how far to look before and behind, rounded up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
                 text, pos, room, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
                 place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
+                room = -(-room // 32) * 32  # few different numbers take less space
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array((room[0] << 32) + room[1])], ["h", "place", "rooms"])
 
     return docs.select("row", "text").transform(in_arrow, run, ANCHOR_SCHEMA)
@@ -160,10 +161,10 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return found.groupBy("row", "f_row", "shift").agg(F.min("a").alias("a"), F.max("z").alias("z"))
 
 
-def equal_stretches(own: str, other: str, a: int, edge: bool, least_words: int) -> list[tuple[int, int]]:
+def equal_stretches(own: str, other: str, a: int, edge: bool, more: bool, least_words: int) -> list[tuple[int, int]]:
     """The stretches in which own (which begins at place a of its text) and other are equal, of whole words in both and least_words words or more.
 
-    One that is shorter ends where its text does. edge: whether they begin where a text does, or have a character more than is asked about."""
+    One that is shorter ends where its text does. edge: whether they begin where a text does; more: whether own's text goes on behind it."""
     if own == other:
         cuts = [(0, len(own))]
     else:
@@ -178,7 +179,7 @@ def equal_stretches(own: str, other: str, a: int, edge: bool, least_words: int)
         while x < z and own[x] in BLANK:
             x += 1
         y = z
-        if not (own[z : z + 1] in BLANK and other[z : z + 1] in BLANK):
+        if (more and z == len(own)) or not (own[z : z + 1] in BLANK and other[z : z + 1] in BLANK):
             while y > x and own[y - 1] not in BLANK:
                 y -= 1
         while y > x and own[y - 1] in BLANK:
@@ -191,7 +192,7 @@ def equal_stretches(own: str, other: str, a: int, edge: bool, least_words: int)
 def spans_to_cut(text: str, runs: list[dict], least_words: int) -> tuple[list[tuple[int, int]], int]:
     """The places of text that equal the runs' first occurrences, joined where they touch, each with the white space behind it;
     and how many code points equal other texts."""
-    found = [(x, z, r["inside"]) for r in runs for x, z in equal_stretches(text[r["a"] : r["z"]], r["near"], r["a"], r["edge"], least_words)]
+    found = [(x, z, r["inside"]) for r in runs for x, z in equal_stretches(text[r["a"] : r["z"]], r["near"], r["a"], r["edge"], r["z"] < len(text), least_words)]
     merged = joined(text, [x[:2] for x in found])
     return merged, sum(z - x for x, z in joined(text, [x[:2] for x in found if not x[2]]))
 
