@@ -77,13 +77,11 @@ def slug_of(title: str, lang: str = "en") -> str:
 
 
 def slug(title: Column, lang: Column) -> Column:
-    """slug_of as a column. Only titles with compatibility forms are looked up character by character."""
-    forms = compatible_forms()
-    known = F.from_json(F.lit(json.dumps(forms)), "map<string,string>")
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in forms) + "]"
+    """slug_of as a column. Only in titles that folding leaves with other signs than ASCII are these looked up."""
+    known = F.from_json(F.lit(json.dumps(compatible_forms())), "map<string,string>")
     bare = fold(F.lower(title))
-    spelled = F.array_join(F.transform(F.regexp_extract_all(bare, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
-    bare = F.when(bare.rlike(rare), spelled).otherwise(bare)
+    spelled = F.transform(F.regexp_extract_all(bare, F.lit("(?s)."), F.lit(0)), lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.try_element_at(known, c), c)))
+    bare = F.when(bare.rlike(r"[^\x00-\x7F]"), F.array_join(spelled, "")).otherwise(bare)
     bare = F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when((lang == "en") | (bare == ""), bare).otherwise(F.concat(bare, F.lit("-"), lang))
 

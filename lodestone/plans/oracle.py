@@ -17,24 +17,34 @@ chunks AS (
 
 ASKED = "asked(query_id, qtext) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUERIES) + ")"
 
-#: BM25 with the phrases of a query as lists of index tokens.
-BM25 = rf"""
-ct AS (SELECT note_path, ordinal, {TOKENS.format("text")} AS t FROM chunks),
-cs AS (SELECT count(*) AS n_chunks, sum(len(t)) / count(*) AS avgdl FROM ct),
+#: The phrases of a query as lists of index tokens.
+PHRASES = rf"""
 ph AS (
   SELECT query_id, phrase, list_transform(x, lambda y: y) AS x FROM (
     SELECT query_id, unnest(generate_series(1, len(p))) AS phrase, unnest(list_transform(p, lambda y: {TOKENS.format("y")})) AS x
-    FROM (SELECT query_id, regexp_extract_all(qtext, '[\p{{L}}\p{{N}}_]+') AS p FROM asked)) WHERE len(x) > 0),
-ps AS (SELECT note_path, ordinal, len(t) AS dl, unnest(t) AS term, unnest(generate_series(1, len(t))) AS pos FROM ct),
-hit AS (
+    FROM (SELECT query_id, regexp_extract_all(qtext, '[\p{{L}}\p{{N}}_]+') AS p FROM asked)) WHERE len(x) > 0)"""
+
+
+def bm25(indexed: str, x: str = "") -> str:
+    """CTEs that end in sparse{{x}}: BM25 of the phrases over this expression of the chunks."""
+    return rf"""
+ct{x} AS (SELECT note_path, ordinal, {TOKENS.format(indexed)} AS t FROM chunks),
+cs{x} AS (SELECT count(*) AS n_chunks, sum(len(t)) / count(*) AS avgdl FROM ct{x}),
+ps{x} AS (SELECT note_path, ordinal, len(t) AS dl, unnest(t) AS term, unnest(generate_series(1, len(t))) AS pos FROM ct{x}),
+hit{x} AS (
   SELECT query_id, phrase, note_path, ordinal, dl, count(*) AS f FROM (
     SELECT q.query_id, q.phrase, p.note_path, p.ordinal, p.dl, p.pos - q.at AS start
-    FROM (SELECT query_id, phrase, len(x) AS m, unnest(x) AS term, unnest(generate_series(0, len(x) - 1)) AS at FROM ph) q JOIN ps p ON p.term = q.term
+    FROM (SELECT query_id, phrase, len(x) AS m, unnest(x) AS term, unnest(generate_series(0, len(x) - 1)) AS at FROM ph) q JOIN ps{x} p ON p.term = q.term
     GROUP BY ALL HAVING count(DISTINCT q.at) = any_value(q.m)) GROUP BY ALL),
-idf AS (SELECT query_id, phrase, greatest(ln((n_chunks - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf, avgdl FROM hit, cs GROUP BY query_id, phrase, n_chunks, avgdl),
-bm AS (
-  SELECT query_id, note_path, ordinal, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM hit JOIN idf USING (query_id, phrase) GROUP BY ALL),
-sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, note_path, ordinal) - 1 AS rank FROM bm)"""
+idf{x} AS (SELECT query_id, phrase, greatest(ln((n_chunks - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf, avgdl FROM hit{x}, cs{x} GROUP BY query_id, phrase, n_chunks, avgdl),
+bm{x} AS (
+  SELECT query_id, note_path, ordinal, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM hit{x} JOIN idf{x} USING (query_id, phrase) GROUP BY ALL),
+sparse{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, note_path, ordinal) - 1 AS rank FROM bm{x})"""
+
+
+BM25 = PHRASES + "," + bm25("text")
+#: The same over chunks whose note's source and language go before the text.
+BM25_ON = bm25("('From ' || string_split(note_path, '/')[2] || ' in ' || string_split(note_path, '/')[1] || chr(10) || chr(10) || text)", "_on")
 
 
 def vector(tokens: str) -> str:
@@ -66,7 +76,7 @@ md AS (SELECT {PATH} AS path, doc_id, lang, source,
 
 VECTORS = """
 v AS (SELECT vec_id, vec_id::VARCHAR AS note_path, embedding::DOUBLE[] AS e, label FROM embeddings),
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe, label AS wanted FROM embeddings WHERE vec_id % 50 = 7),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe, label AS wanted FROM embeddings WHERE vec_id % 20 = 0),
 dn AS (SELECT query_id, wanted, note_path, vec_id, label, list_distance(e, qe) AS d FROM v, q),
 kn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), note_path) - 1 AS rank FROM dn)"""
 
@@ -74,7 +84,26 @@ VERSIONS = f"""
 o AS (SELECT {PATH} AS path, sha256(text) AS known FROM documents WHERE doc_id % 11 <> 0),
 w AS (SELECT {PATH} AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0)"""
 
-LABELLED = "l AS (SELECT d.lang, l.quality, l.toxic, d.doc_id FROM labels l JOIN documents d USING (doc_id))"
+#: The benchmark's items as cases: the documents that hold them are expected.
+CASES = rf"""
+asked AS (SELECT item_id AS query_id, text AS qtext, {SQUEEZE.format("text")} AS span, 'set ' || item_id % 3 AS scenario, ['paraphrase', 'exact_term', 'buried', 'cross_lingual'][item_id % 4 + 1] AS type FROM benchmark),
+gold AS MATERIALIZED (SELECT a.query_id, d.path, a.span FROM asked a JOIN (SELECT {PATH} AS path, {SQUEEZE.format("text")} AS t FROM documents) d ON contains(d.t, a.span))"""
+
+
+def scored(ranked: str, name: str) -> str:
+    """CTEs that end in NAME: the four span metrics and the two note metrics of each case from a ranked list of chunks."""
+    return rf"""
+{name}_r AS MATERIALIZED (SELECT query_id, note_path, ordinal, rank FROM {ranked} WHERE rank < 50),
+{name}_s AS (SELECT r.query_id, min(r.rank) AS first FROM {name}_r r JOIN gold g ON g.query_id = r.query_id AND g.path = r.note_path JOIN chunks c ON c.note_path = r.note_path AND c.ordinal = r.ordinal
+  WHERE contains({SQUEEZE.format("c.text")}, g.span) GROUP BY r.query_id),
+{name}_d AS (SELECT query_id, note_path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) - 1 AS rank FROM {name}_r GROUP BY query_id, note_path),
+{name}_n AS (SELECT d.query_id, min(d.rank) AS first FROM {name}_d d JOIN gold g ON g.query_id = d.query_id AND g.path = d.note_path GROUP BY d.query_id),
+{name} AS (SELECT a.query_id, a.scenario, a.type, CASE WHEN s.first < 5 THEN 1.0::DOUBLE ELSE 0 END AS span_recall, coalesce(1.0::DOUBLE / (s.first + 1), 0) AS span_mrr,
+  CASE WHEN n.first < 5 THEN 1.0::DOUBLE ELSE 0 END AS note_recall, coalesce(1.0::DOUBLE / (n.first + 1), 0) AS note_mrr
+  FROM asked a LEFT JOIN {name}_s s USING (query_id) LEFT JOIN {name}_n n USING (query_id))"""
+
+
+SPAN = ("span_recall", "span_mrr", "note_recall", "note_mrr")
 
 SQL = {
     "scan_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
@@ -84,7 +113,7 @@ SQL = {
     "normalize_ws": f"SELECT doc_id, md5({SQUEEZE.format('text')}) AS h FROM documents",
     "accent_fold": "SELECT doc_id, md5(strip_accents(lower(text))) AS h FROM documents",
     "snippets": "SELECT doc_id, substr(text, 1, 160) AS snippet FROM documents",
-    "slugify": "SELECT doc_id, CASE WHEN lang = 'en' OR s = '' THEN s ELSE s || '-' || lang END AS slug FROM (SELECT doc_id, lang, trim(regexp_replace(strip_accents(lower(substr(text, 1, 40))), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)",
+    "slugify": "SELECT doc_id, CASE WHEN lang = 'en' OR s = '' THEN s ELSE s || '-' || lang END AS slug FROM (SELECT doc_id, lang, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)",
     "parsed_notes": rf"""WITH {MD} SELECT path, CASE WHEN doc_id % 3 > 0 THEN 'Note  ' || doc_id ELSE 'Last' END AS title0,
       array_to_string(list_sort(list_distinct(regexp_extract_all(body, '(?:^|\s)#([A-Za-z0-9_\-/]+)', 1))), ',') AS tags,
       array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(body, '\[\[([^\]|#]+)', 1), lambda x: trim(x)))), ',') AS wikilinks,
@@ -108,7 +137,7 @@ SQL = {
     "index_stats": f"WITH {CHUNKS} SELECT (SELECT count(*) FROM documents) AS notes, count(*) AS chunks, sum(token_count)::BIGINT AS words FROM chunks",
     "bm25_topk": f"WITH {CHUNKS}, {ASKED}, {BM25} SELECT query_id, rank, note_path, ordinal, round(score, 6) AS score FROM sparse WHERE query_id = 0 AND rank < 10",
     "bm25_multi_query": f"WITH {CHUNKS}, {ASKED}, {BM25} SELECT query_id, rank, note_path, ordinal, round(score, 6) AS score FROM sparse WHERE rank < 50",
-    "knn_topk": f"WITH {VECTORS} SELECT query_id, rank, note_path, round(1 / (1 + d), 6) AS score FROM kn WHERE query_id = 7 AND rank < 50",
+    "knn_topk": f"WITH {VECTORS} SELECT query_id, rank, note_path, round(1 / (1 + d), 6) AS score FROM kn WHERE rank < 50",
     "knn_multi_query": f"WITH {VECTORS} SELECT query_id, rank, note_path, round(1 / (1 + d), 6) AS score FROM kn WHERE rank < 10",
     "knn_report": f"""WITH {VECTORS},
       g AS (SELECT query_id, wanted, CASE WHEN label = wanted THEN rank END AS hit FROM kn WHERE rank < 11 AND vec_id <> query_id),
@@ -116,7 +145,8 @@ SQL = {
       SELECT coalesce(scenario, 'overall') AS scenario, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr FROM s GROUP BY GROUPING SETS ((scenario), ())""",
     "rrf_fuse": f"""WITH {VECTORS},
       a AS (SELECT query_id, note_path, rank FROM kn WHERE rank < 20),
-      b AS (SELECT * FROM (SELECT query_id, note_path, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), note_path) - 1 AS rank FROM dn WHERE vec_id % 2 = 0) WHERE rank < 20),
+      sg AS (SELECT query_id, note_path, list_distance(list_transform(e, lambda x: sign(x)::DOUBLE), list_transform(qe, lambda x: sign(x)::DOUBLE)) AS d FROM v, q),
+      b AS (SELECT * FROM (SELECT query_id, note_path, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), note_path) - 1 AS rank FROM sg) WHERE rank < 20),
       f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.note_path, b.note_path) AS note_path, a.rank AS dense_rank, b.rank AS sparse_rank,
         coalesce(1 / (61 + a.rank), 0) + coalesce(1 / (61 + b.rank), 0) AS score FROM a FULL JOIN b USING (query_id, note_path)),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, note_path) - 1 AS rank FROM f)
@@ -126,19 +156,22 @@ SQL = {
       s AS (SELECT f.query_id, f.note_path, any_value(c.title) AS title, count(*) AS hit_count, max(score) AS best_score, min(rank) AS first, array_to_string(list(substr(c.text, 1, 160) ORDER BY rank)[1:3], '|') AS snippets
         FROM fused f JOIN chunks c USING (note_path, ordinal) WHERE rank < 50 GROUP BY ALL)
       SELECT * EXCLUDE (first, best_score), round(best_score, 6) AS best_score FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, first) - 1 AS rank, * EXCLUDE (query_id) FROM s) WHERE rank < 10""",
-    "span_recall": f"""WITH h AS (SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc
-        FROM (SELECT item_id, {SQUEEZE.format("text")} AS s FROM benchmark) b JOIN (SELECT doc_id, {SQUEEZE.format("text")} AS t FROM documents) d ON contains(d.t, b.s) GROUP BY ALL)
-      SELECT item_id, coalesce(n_docs, 0) AS n_docs, first_doc, coalesce(1.0 / (first_doc + 1), 0.0) AS rr FROM benchmark LEFT JOIN h USING (item_id)""",
-    "eval_report": f"""WITH {LABELLED} SELECT coalesce(lang, 'overall') AS scenario, count(*) AS n, round(avg(quality), 6) AS recall, round(avg(1.0::DOUBLE / (1 + doc_id % 5)), 6) AS mrr FROM l GROUP BY GROUPING SETS ((lang), ())""",
-    "eval_delta": f"""WITH {LABELLED} SELECT coalesce(lang, 'overall') AS scenario, count(*) AS n, round(avg(quality), 6) AS recall_off, round(avg(toxic), 6) AS recall_on, round(avg(toxic) - avg(quality), 6) AS recall_delta,
-      0.5::DOUBLE AS mrr_off, 0.75::DOUBLE AS mrr_on, 0.25::DOUBLE AS mrr_delta FROM l GROUP BY GROUPING SETS ((lang), ())""",
+    "span_recall": f"WITH {CHUNKS}, {CASES}, {BM25}, {scored('sparse', 'sc')} SELECT query_id, {', '.join(f'round({m}, 6) AS {m}' for m in SPAN)} FROM sc",
+    "eval_report": f"WITH {CHUNKS}, {CASES}, {BM25}, {HYBRID}, {scored('dense', 'd1')}, {scored('sparse', 's1')}, {scored('fused', 'h1')} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS channel, coalesce(scenario, 'overall') AS scenario, count(*) AS n, round(avg(note_recall), 6) AS recall, round(avg(note_mrr), 6) AS mrr FROM {t} GROUP BY GROUPING SETS ((scenario), ())"
+        for c, t in (("dense", "d1"), ("sparse", "s1"), ("hybrid", "h1"))
+    ),
+    "eval_delta": f"WITH {CHUNKS}, {CASES}, {BM25}, {BM25_ON}, {scored('sparse', 'x')}, {scored('sparse_on', 'y')} SELECT coalesce(x.type, 'overall') AS type, count(*) AS n, "
+    + ", ".join(f"round(avg(x.{m}), 6) AS {m}_off, round(avg(y.{m}), 6) AS {m}_on, round(avg(y.{m}) - avg(x.{m}), 6) AS {m}_delta" for m in SPAN)
+    + " FROM x JOIN y USING (query_id) GROUP BY GROUPING SETS ((x.type), ())",
     "strip_html_tags": "SELECT page_id, md5(regexp_replace(html, '</?[a-zA-Z][a-zA-Z0-9]*[^>\\n]*>', '', 'g')) AS h FROM pages",
     "strip_comments": "SELECT page_id, md5(regexp_replace(html || '<!-- a' || chr(10) || '--> b <!-- c', '(?s)<!--.*?-->', '', 'g')) AS h FROM pages",
-    "manifest_errors": r"""WITH m AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'a/b' ELSE 'music' END AS cluster, CASE WHEN doc_id % 60 = 0 THEN '??' ELSE substr(text, 1, 20) END AS title, CASE WHEN doc_id % 70 = 0 THEN 'EN' ELSE lang END AS lang, doc_id % 80 AS revid FROM documents)
+    "manifest_errors": r"""WITH m AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'a/b' ELSE 'music' END AS cluster, CASE WHEN doc_id % 60 = 0 THEN '??' ELSE text END AS title, CASE WHEN doc_id % 70 = 0 THEN 'EN' ELSE lang END AS lang, doc_id % 80 AS revid FROM documents)
       SELECT cluster, title, 'bad cluster name' AS error FROM m WHERE cluster = 'a/b' UNION ALL SELECT cluster, title, 'bad language' FROM m WHERE lang = 'EN'
       UNION ALL SELECT cluster, title, 'empty slug' FROM m WHERE trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-') = '' UNION ALL SELECT cluster, title, 'bad revision' FROM m WHERE revid < 1""",
     "slug_collisions": r"""SELECT path, count(*) AS n FROM (SELECT lower(source || '/' || CASE WHEN lang = 'en' OR s = '' THEN s ELSE s || '-' || lang END || '.md') AS path
-      FROM (SELECT source, lang, trim(regexp_replace(strip_accents(lower(substr(text, 1, 12))), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)) GROUP BY path HAVING count(*) > 1""",
+      FROM (SELECT source, lang, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)) GROUP BY path HAVING count(*) > 1""",
     "watch_events": "SELECT date_trunc('hour', ts) AS batch, count(DISTINCT user_id) AS n_changed, count(*) AS n_events FROM events GROUP BY 1",
 }
 SQL["parsed_notes"] = SQL["parsed_notes"].replace("title0", "title")

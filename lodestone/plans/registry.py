@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import markdown, text
 from lodestone.operators import corpus, evaluate, retrieval, wikitext
 from lodestone.operators.providers import HashEmbedder
+from lodestone.sources.shared import checkpoint
 
 QUERIES = ((0, "The tion of the and"), (1, "der und enschein"), (2, "ción mente que"), (3, "êaux léau entre?!"), (4, "?? -- ::"), (5, "foo_bar under_the"))
 EMBEDDER = HashEmbedder(64)
@@ -36,6 +37,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return markdown.chunk_notes(notes(spark, d)).withColumn("embedding_text", F.col("text"))
 
 
+def kept_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks, made once for all parts of a search, as a stored index has them."""
+    return checkpoint(chunks(spark, d))
+
+
 def markdown_view(spark: SparkSession, d: str) -> DataFrame:
     """Notes with front matter, headings, tags and links."""
     n = F.col("doc_id").cast("string")
@@ -88,7 +94,7 @@ def snippets(spark, d):
 
 
 def slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.slug(F.substring("text", 1, 40), F.col("lang")).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", text.slug(F.col("text"), F.col("lang")).alias("slug"))
 
 
 # --- notes and chunks -----------------------------------------------------------------------------------------------------
@@ -158,7 +164,7 @@ def index_stats(spark, d):
 
 
 def _sparse(spark, d, queries, k):
-    c = chunks(spark, d)
+    c = kept_chunks(spark, d)
     return retrieval.sparse(retrieval.postings(c), retrieval.corpus_stats(c), queries, k)
 
 
@@ -173,12 +179,12 @@ def bm25_multi_query(spark, d):
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")
     v = e.select(F.col("vec_id").cast("string").alias("note_path"), F.lit(0).alias("ordinal"), "embedding", "label")
-    return v, e.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
+    return v, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
 
 
 def knn_topk(spark, d):
     v, q = _vectors(spark, d)
-    return retrieval.dense(v, q.where("query_id = 7"), 50).select("query_id", "rank", "note_path", r6("score"))
+    return retrieval.dense(v, q, 50).select("query_id", "rank", "note_path", r6("score"))
 
 
 def knn_multi_query(spark, d):
@@ -198,15 +204,20 @@ def knn_report(spark, d):
 
 
 def rrf_fuse(spark, d):
+    """Two embeddings of all rows are searched: the vectors, and their signs."""
     v, q = _vectors(spark, d)
+    signs = lambda c: F.transform(c, lambda x: F.signum(x).cast("float"))
     near = retrieval.dense(v, q, 20)
-    far = retrieval.dense(v.where("cast(note_path as bigint) % 2 = 0"), q, 20)
+    far = retrieval.dense(v.withColumn("embedding", signs("embedding")), q.withColumn("vector", signs("vector")), 20)
     return retrieval.fuse(near, far, 30).select("query_id", "rank", "note_path", r6("score"), "dense_rank", "sparse_rank")
 
 
+def _embedded(spark, d):
+    return checkpoint(chunks(spark, d).withColumn("embedding", EMBEDDER.column(F.col("embedding_text"))))
+
+
 def _hybrid(spark, d, k):
-    c = chunks(spark, d)
-    embedded = c.withColumn("embedding", EMBEDDER.column(F.col("embedding_text")))
+    c = embedded = _embedded(spark, d)
     return retrieval.search_knowledge(embedded, retrieval.postings(c), retrieval.corpus_stats(c), asked(spark), EMBEDDER, k)
 
 
@@ -222,36 +233,52 @@ def search_sources(spark, d):
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 
 
-def _span_hits(spark, d):
-    """Documents that hold a benchmark item, white space and case aside. Item words are looked up first, so that not every pair is compared."""
-    items = table(spark, d, "benchmark").select("item_id", text.normalize_ws(F.col("text")).alias("span"))
-    docs = table(spark, d, "documents").select("doc_id", text.normalize_ws(F.col("text")).alias("body"))
-    key = F.slice(F.split("span", " "), 2, 3)
-    items = items.withColumn("seed", F.array_join(key, " "))
-    w = F.split("body", " ")
-    rows = docs.select("doc_id", "body", w.alias("w"))
-    rows = rows.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("seed"))
-    return retrieval.small(items).join(rows, "seed").where(F.contains("body", "span")).select("item_id", "doc_id").distinct()
+def _cases(spark, d):
+    """Span cases made of the benchmark: an item asks for the documents that hold it, white space and case aside, with itself as the answer.
+
+    Three words of an item are looked up first, so that not every pair is compared; items of under five words are compared with every document."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), text.normalize_ws(F.col("text")).alias("span"))
+    docs = notes(spark, d).select("path", text.normalize_ws(F.col("body")).alias("body"))
+    w = F.split("span", " ")
+    long = items.where(F.size(w) >= 5).withColumn("seed", F.array_join(F.slice(w, 2, 3), " "))
+    three = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 2, F.lit(1))), lambda i: F.array_join(F.slice(x, i, 3), " ")))
+    seeds = docs.select("path", "body", F.explode(F.transform(F.array(F.split("body", " ")), three)[0]).alias("seed"))
+    found = seeds.join(retrieval.small(long), "seed").where(F.contains("body", "span")).select("item_id", "path")
+    short = docs.crossJoin(retrieval.small(items.where(F.size(w) < 5))).where(F.contains("body", "span")).select("item_id", "path")
+    hits = found.unionByName(short).distinct().join(items, "item_id").groupBy("item_id").agg(F.collect_set("path").alias("expected"), F.collect_list(F.struct(F.col("path").alias("note"), F.col("query").alias("text"))).alias("answer_spans"))
+    none = F.array().cast("array<string>")
+    kind = F.element_at(F.array(*map(F.lit, evaluate.TYPES)), (F.col("item_id") % 4 + 1).cast("int"))
+    rows = items.join(hits, "item_id", "left").select(
+        F.col("item_id").alias("query_id"), "query", kind.alias("type"), F.concat(F.lit("set "), (F.col("item_id") % 3).cast("string")).alias("scenario"), F.coalesce("expected", none).alias("expected"),
+        F.coalesce("expected", none).alias("expected_notes"), F.coalesce("answer_spans", F.array().cast("array<struct<note:string,text:string>>")).alias("answer_spans"),
+    )
+    return checkpoint(rows)
+
+
+def _channels(c):
+    return retrieval.channels(c, checkpoint(retrieval.postings(c)), retrieval.corpus_stats(c), EMBEDDER)
 
 
 def span_recall(spark, d):
-    hits = _span_hits(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    return table(spark, d, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc", F.coalesce(1.0 / (F.col("first_doc") + 1), F.lit(0.0)).alias("rr"))
+    """The four span metrics of each case, by sparse search."""
+    cases = _cases(spark, d)
+    got = evaluate.span_case_scores(cases, checkpoint(_channels(_embedded(spark, d))["sparse", "chunk"](evaluate.asked(cases), 50)), 5)
+    return got.select("query_id", *(r6(m) for m in evaluate.SPAN_METRICS))
 
 
 def eval_report(spark, d):
-    """Scores of a quality gold set by language and overall."""
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    scored = rows.select(F.col("lang").alias("scenario"), F.col("quality").cast("double").alias("recall"), (1.0 / (1 + F.col("doc_id") % 5)).alias("mrr"))
-    return evaluate.report(scored, "scenario").select("scenario", "n", r6("recall"), r6("mrr"))
+    """Recall and reciprocal rank of the dense, sparse and hybrid channels by scenario and overall."""
+    return evaluate.run_eval(_channels(_embedded(spark, d)), _cases(spark, d)).select("channel", "scenario", "n", r6("recall"), r6("mrr"))
 
 
 def eval_delta(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    off = rows.select(F.col("lang").alias("scenario"), F.col("quality").cast("double").alias("recall"), F.lit(0.5).alias("mrr"))
-    on = rows.select(F.col("lang").alias("scenario"), F.col("toxic").cast("double").alias("recall"), F.lit(0.75).alias("mrr"))
-    out = evaluate.delta(evaluate.report(off, "scenario"), evaluate.report(on, "scenario"), "scenario")
-    return out.select("scenario", "n", *(r6(f"{m}_{x}") for m in evaluate.METRICS for x in ("off", "on", "delta")))
+    """What context (here the source and language of a note) changes in the span metrics of sparse search."""
+    bare = _embedded(spark, d)
+    parts = F.split("note_path", "/")
+    told = bare.withColumn("context_blurb", F.concat(F.lit("From "), parts[1], F.lit(" in "), parts[0])).withColumn("embedding_text", F.concat("context_blurb", F.lit("\n\n"), "text"))
+    off, on = (_channels(c)["sparse", "chunk"] for c in (bare, told))
+    out = evaluate.run_contextual_eval(off, on, told, _cases(spark, d))
+    return out.select("type", "n", *(r6(f"{m}_{x}") for m in evaluate.SPAN_METRICS for x in ("off", "on", "delta")))
 
 
 def gold_validation_errors(spark, d):
@@ -276,12 +303,12 @@ def strip_comments(spark, d):
 
 
 def manifest_errors(spark, d):
-    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 50 == 0, "a/b").otherwise("music").alias("cluster"), F.when(F.col("doc_id") % 60 == 0, "??").otherwise(F.substring("text", 1, 20)).alias("title"), F.when(F.col("doc_id") % 70 == 0, "EN").otherwise(F.col("lang")).alias("lang"), (F.col("doc_id") % 80).alias("revid"))
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 50 == 0, "a/b").otherwise("music").alias("cluster"), F.when(F.col("doc_id") % 60 == 0, "??").otherwise(F.col("text")).alias("title"), F.when(F.col("doc_id") % 70 == 0, "EN").otherwise(F.col("lang")).alias("lang"), (F.col("doc_id") % 80).alias("revid"))
     return corpus.manifest_errors(rows)
 
 
 def slug_collisions(spark, d):
-    return corpus.slug_collisions(table(spark, d, "documents").select(F.col("source").alias("cluster"), F.substring("text", 1, 12).alias("title"), "lang"))
+    return corpus.slug_collisions(table(spark, d, "documents").select(F.col("source").alias("cluster"), F.col("text").alias("title"), "lang"))
 
 
 WIKI = (
