@@ -1,8 +1,7 @@
-"""Helpers that the training-data operators share: tables, checkpoints, batched words, components."""
+"""Helpers that the training-data operators share: tables, batched words, components. checkpoint and shared_dir are the engine's."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -14,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import checkpoint, shared_dir
+
+__all__ = ["checkpoint", "shared_dir", "table", "written", "in_arrow", "slices", "Words", "words", "hash_strings", "mix", "kgrams", "connected_components"]
+
 #: Bytes of text that a Python worker expands into arrays at a time, and bytes of the batches that it is sent.
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
@@ -23,25 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """df, written to a compressed table in the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4()}"

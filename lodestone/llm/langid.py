@@ -205,7 +205,9 @@ def predict_languages(docs: DataFrame, net: ByteCnn, others: tuple[str, ...] = (
 
 
 def keep_identified(docs: DataFrame, net: ByteCnn, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text has a language: not `und`, and a score of `least` or more; docs' own columns."""
+    """The rows of docs whose text has a language: not `und`, and a score of `least` or more; docs' own columns.
+
+    Null texts and texts without a letter go; rows that repeat, null ids and columns named as the results are kept as they are; an empty table stays empty."""
     others = [c for c in docs.columns if c != "doc_id"]
     out = predict_languages(docs, net, tuple(others)).toDF("doc_id", "held_out", "lang_pred", "score", *(f"__{c}" for c in others))
     out = out.where((F.col("lang_pred") != "und") & (F.col("score") >= least))

@@ -52,3 +52,34 @@ def test_stages_keep_the_columns_of_documents(spark):
 
     assert decontam.decontaminate(docs, benchmark).columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "packing"]
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def write(spark, folder, docs, items):
+    spark.createDataFrame(docs, FIELDS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, write(spark, tmp_path / "a", [], [])).count() == 0
+    one = [(1, "some words of one language and no other", "aa", None, None)]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, write(spark, tmp_path / "b", one, [])).collect()} == {1}
+
+
+def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(10)
+    sets = {"aa": "abcdefgh", "bb": "stuvwxyz"}
+    clean = [(i, sentences(rng, 6, sets[lang]), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    item, own = prose(rng, 24, "abcdefgh"), [sentences(rng, 6) for _ in range(5)]
+    rows = clean + [(None, own[0], "aa"), (None, own[0], "aa"), (None, own[1], None), (500, own[2], "aa"), (500, own[3], "aa"), (500, own[3], "aa"), (None, item, "aa"), (501, own[4] + " " + item, "aa"), (None, None, None)]
+    d = write(spark, tmp_path / "c", [(i, t, lang, "s", len(t or "")) for i, t, lang in rows], [(0, item), (None, None)])
+    out = corpus_pipeline.run(spark, d).collect()
+    enc = WordIds(P.path("word_bpe_49k.json"))
+    want = [(i, t) for i, t, _ in clean] + [(None, own[0]), (None, own[1]), (500, own[2]), (500, own[3]), (501, own[4])]  # the item is cut from the last as a repeat
+    size = lambda t: sum(len(enc.ids(w)) for w in t.split()) + 1
+    assert sum(r.length for r in out) == sum(size(t) for _, t in want)
+    for i in {i for i, _ in want}:
+        assert sum(r.length for r in out if r.doc_id == i) == sum(size(t) for k, t in want if k == i), i
