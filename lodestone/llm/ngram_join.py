@@ -3,8 +3,9 @@
 Documents with one set of 5-grams form a class, and only a representative of each class is joined. Its set is embedded as
 128 minima (sampled tokens of the set, one for each hash function). A run is a random tree: at each node one of the minima, chosen by the
 node, sends a set to the child named by that token, so that similar sets part at a level with probability 1 - J. Buckets are
-split until they have SMALL sets, or to DEPTH levels; what is still larger then (many near copies) is dealt to pairs of blocks. Each small
-bucket or pair of blocks is compared by brute force. RUNS independent runs bring the recall of a pair at J = 0.8 in the deepest
+split until they have SMALL sets, or to DEPTH levels. What is still larger then holds many near copies: sets of a similarity of (1 + s) / 2 or more to the bucket's
+least one form a core, whose members are all linked, since the Jaccard distance is a metric; their links are counted, not compared. The rest of such a bucket is dealt to blocks, and
+all pairs of blocks, but for those of one core, are compared. Each small bucket or pair of blocks is compared by brute force. RUNS independent runs bring the recall of a pair at J = 0.8 in the deepest
 buckets to the target; pairs are counted in the first bucket that they share. A first pass over sketches finds the buckets
 in which a document has a likely partner; the second compares whole sets there, exactly.
 
@@ -128,15 +129,60 @@ def buckets(reps: DataFrame, runs: int) -> DataFrame:
     return done
 
 
-def cells(found: DataFrame) -> DataFrame:
-    """rep, run and cell: a small bucket is a cell; a larger one gives a cell for each pair of its blocks."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    small = F.col("size") <= SMALL
-    own = F.pmod(F.xxhash64("rep", "bucket"), n).cast("int")
-    rows = found.withColumn("n", F.when(small, 1).otherwise(n)).withColumn("own", F.when(small, 0).otherwise(own))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in slices(b, "text"):
+            sets = shingle_sets(part.column("text"))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, set_keys(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key_a", "key_b", "grams"])
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and grams (its sorted 5-gram hashes) of each of reps(rep)."""
+    wanted = checkpoint(classes.join(reps.distinct(), "rep").select("rep", "key_a", "key_b", F.col("w.doc_id").alias("of")))
+    texts = docs.join(wanted.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = texts.transform(in_arrow, grams, "key_a long, key_b long, grams binary")
+    return sets.join(wanted.drop("of"), ["key_a", "key_b"]).groupBy("rep").agg(F.first("grams").alias("grams"))
+
+
+def cores(found: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """rep and core (the least set of a large bucket that it is close to) of each set that is in a core; no rows without large buckets."""
+    big = found.where(F.col("size") > SMALL).select("rep", "bucket")
+    least = checkpoint(big.groupBy("bucket").agg(F.min("rep").alias("core")))
+    pairs = checkpoint(big.join(least, "bucket").groupBy("rep").agg(F.min("core").alias("core")))
+    if pairs.isEmpty():
+        return pairs
+    sets = checkpoint(sets_of(docs, classes, pairs.select("rep").union(pairs.select("core"))))
+    both = pairs.join(sets, "rep").join(sets.toDF("core", "center"), "core")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("grams"), b.column("center"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= (1 + similarity) / 2 * (len(x) + len(y) - common) + 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("core")], ["rep", "core"]).filter(pa.array(ok, pa.bool_()))
+
+    return checkpoint(both.select("rep", "core", "grams", "center").transform(in_arrow, close, "rep long, core long"))
+
+
+def cells(found: DataFrame, core: DataFrame) -> DataFrame:
+    """rep, run, cell, core (-1: none), side and crossed: a small bucket is a cell; a larger one gives a cell for each two of its blocks that aren't of one core."""
+    rows = found.join(core, "rep", "left").withColumn("core", F.coalesce("core", F.lit(-1)))
+    small = rows.where(F.col("size") <= SMALL).select("rep", "run", F.xxhash64("bucket", F.lit(0)).alias("cell"), "core", F.lit(0).alias("side"), F.lit(False).alias("crossed"))
+    rows = rows.where(F.col("size") > SMALL)
+    n = rows.groupBy("bucket", "core").agg(F.count("*").alias("n")).withColumn("part", F.when(F.col("n") >= BLOCK, F.col("core")).otherwise(-1))
+    blocks = n.groupBy("bucket", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n"))
+    blocks = blocks.select("bucket", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), "n")
+    layout = checkpoint(blocks.groupBy("bucket").agg(F.collect_list(F.struct("part", "k")).alias("blocks"), F.map_from_entries(F.collect_set(F.struct("part", "n"))).alias("n")))
+    rows = rows.join(layout, "bucket")
+    part = F.when(F.map_contains_key("n", F.col("core")), F.col("core")).otherwise(-1)
+    rows = rows.withColumn("part", part).withColumn("k", F.pmod(F.xxhash64("rep", "bucket"), F.col("n")[F.col("part")]).cast("int"))
+    others = F.filter("blocks", lambda x: (x["part"] != F.col("part")) | (F.col("part") == -1))
+    rows = rows.select("rep", "run", "bucket", "core", F.xxhash64("part", "k").alias("own"), F.explode(F.transform(others, lambda x: F.xxhash64(x["part"], x["k"]))).alias("other"))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select("rep", "run", cell.alias("cell"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") != F.col("other")).alias("crossed"))
+    rows = rows.select("rep", "run", cell.alias("cell"), "core", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") != F.col("other")).alias("crossed"))
+    return small.unionByName(rows)
 
 
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -158,10 +204,11 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def first_met(t: pa.Table) -> np.ndarray:
-    """Which pairs of a cell's rows meet here and in no earlier run."""
+    """Which pairs of a cell's rows meet here and in no earlier run, and aren't of one core."""
     run = t.column("run")[0].as_py()
-    met = np.array(t.column("met").to_pylist(), np.int64)
+    met, core = np.array(t.column("met").to_pylist(), np.int64), np.asarray(t.column("core"))
     ok = np.triu(np.ones((len(met), len(met)), bool), 1)
+    ok &= (core[:, None] != core[None]) | (core[:, None] < 0)
     if t.column("crossed")[0].as_py():
         side = np.asarray(t.column("side"))
         ok &= side[:, None] != side[None]
@@ -182,7 +229,7 @@ def likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         ok &= same >= least * x.shape[1]
         some = np.flatnonzero(ok.any(0) | ok.any(1))
         if len(some):
-            yield from t.select(["cell", "rep", "run", "side", "crossed", "met", "copies"]).take(pa.array(some)).combine_chunks().to_batches()
+            yield from t.select(["cell", "rep", "run", "core", "side", "crossed", "met", "copies"]).take(pa.array(some)).combine_chunks().to_batches()
 
 
 def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -256,25 +303,20 @@ def classified(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     found = checkpoint(buckets(reps, runs))
     met = found.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("m"))
     met = met.select("rep", F.array(*(F.coalesce(F.try_element_at("m", F.lit(r)), F.lit(0)) for r in range(runs))).alias("met"))
-    rows = cells(found).join(reps.select("rep", "sketch", "copies").join(met, "rep"), "rep")
+    core = cores(found, docs.where("doc_id is not null"), classes, similarity)
+    rows = cells(found, core).join(reps.select("rep", "sketch", "copies").join(met, "rep"), "rep")
     rows = rows.repartition("cell").sortWithinPartitions("cell", "rep")
     margin = 4 * math.sqrt(similarity * (1 - similarity) / MINIMA)
-    likely_schema = "cell long, rep long, run int, side int, crossed boolean, met array<long>, copies long"
+    likely_schema = "cell long, rep long, run int, core long, side int, crossed boolean, met array<long>, copies long"
     near = checkpoint(rows.transform(in_arrow, lambda it: likely(it, similarity - margin), likely_schema))
-    wanted = checkpoint(classes.join(near.select("rep").distinct(), "rep").select("rep", *keys, F.col("w.doc_id").alias("of")))
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, "text"):
-                sets = shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, set_keys(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], [*keys, "grams"])
-
-    sets = docs.join(wanted.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").transform(in_arrow, grams, "key_a long, key_b long, grams binary")
-    sets = sets.join(wanted.drop("of"), keys).groupBy("rep").agg(F.first("grams").alias("grams"))
+    sets = sets_of(docs, classes, near.select("rep"))
     checked = near.join(sets, "rep").repartition("cell").sortWithinPartitions("cell", "rep")
     links = checkpoint(checked.transform(in_arrow, lambda it: linked(it, similarity), "rep long, links long, least long"))
-    parts = checkpoint(connected_components(links.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep"))
-    total = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    edges = links.select(F.col("rep").alias("a"), F.col("least").alias("b")).union(core.select("rep", "core"))
+    parts = checkpoint(connected_components(edges).withColumnRenamed("node", "rep"))
+    inner = core.join(classes.select("rep", "copies"), "rep")
+    inner = inner.join(checkpoint(inner.groupBy("core").agg(F.sum("copies").alias("all"))), "core").select("rep", (F.col("all") - F.col("copies")).alias("links"))
+    total = links.select("rep", "links").union(inner).groupBy("rep").agg(F.sum("links").alias("links"))
     of = classes.select("rep", *keys, "copies", F.col("w.doc_id").alias("least")).join(total, "rep", "left").join(parts, "rep", "left")
     ids = of.where("component is not null").groupBy("component").agg(F.min("least").alias("class_id"))
     of = of.join(checkpoint(ids), "component", "left")

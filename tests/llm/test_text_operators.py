@@ -56,6 +56,27 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert [r.doc_id for r in ngram_join.one_of_each(frame(spark, rows)).collect()] == [0]
 
 
+def test_ngram_join_of_large_buckets_equals_all_pairs(spark, monkeypatch):
+    """Groups of near, less near and exact copies, with two centers, so that cores, blocks of the rest and pairs between them all occur."""
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(12)
+    base = prose(rng, 200).split()
+    second = list(base)
+    for k in (20, 90, 150):
+        second[k] = f"second{k}"
+    rows = []
+    for i in range(110):
+        w = list(base if i % 3 else second)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            w[rng.randrange(200)] = f"new{rng.randrange(1000)}"
+        rows.append((i, " ".join(w), "en"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(spark, rows)).collect()}
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})  # noqa: F841
+    want = {d: (c, n) for d, c, n in duckdb.sql(NGRAM_SQL).fetchall()}
+    assert got == want and len({n for _, n in want.values()}) > 10
+
+
 def test_ngram_join_of_odd_rows(spark):
     out = ngram_join.similar_documents(frame(spark, [(None, "a b c d e f", "en"), (7, "a b c d e f", None), (7, "a b c d e f", None)])).collect()
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in out) == [("7", "7", 1), ("7", "7", 1), ("None", "None", 0)]
