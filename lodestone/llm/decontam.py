@@ -5,7 +5,8 @@ read; what is left is joined with the benchmark's seeds by hash. A text and an i
 of words that are not marked yet is found by running Karp-Rabin hashes, marked on both sides, and so on down to five words. The
 share of a benchmark item's words that tiles cover decides, so that passages whose parts were reordered are found too.
 
-Documents are read once for the seeds, whatever the size of the benchmark, and never shuffled whole: only seeds, texts that are tiled, and found pairs.
+Documents are read once for the seeds, whatever the size of the benchmark. Shuffled are seeds, texts that are tiled, and found pairs; documents are told
+from those that share enough by a broadcast of hashes, if these are few (counted), else by a join.
 Equal texts are tiled once. The table of bits has a fixed size; a benchmark that fills it makes the join larger, not the result smaller.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpoint, hash_strings, in_arrow, kgrams, slices, words
+from lodestone.operators.retrieval import small
 
 MATCH = 5
 CELLS = 1 << 22
@@ -163,7 +165,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataF
     hits = shared_seeds(docs, cells).join(seeds, "h")
     enough = F.sum("m") * MATCH >= F.lit(least) * F.first("n") - F.lit(1e-9)
     pairs = checkpoint(hits.groupBy("text_hash", "item_row").agg(enough.alias("enough")).where("enough").drop("enough"))
-    wanted = pairs.select(F.col("text_hash").alias("wanted")).distinct()
+    wanted = small(checkpoint(pairs.select(F.col("text_hash").alias("wanted")).distinct()))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = hashed.join(wanted, F.col("text_hash") == F.col("wanted"), "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     both = pairs.join(texts, "text_hash").join(items.select("item_row", "item_id", F.col("text").alias("item")), "item_row")
@@ -180,11 +182,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataF
 
     kinds = "text_hash long, item_id long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
     found = checkpoint(both.select("text_hash", "text", "item_id", "item").transform(in_arrow, run, kinds))
-    return hashed.select("doc_id", "text_hash").join(found, "text_hash").select("doc_id", "item_id", "coverage", "tiles")
+    return hashed.select("doc_id", "text_hash").join(small(found), "text_hash").select("doc_id", "item_id", "coverage", "tiles")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
     """The rows of docs whose text overlaps no benchmark item; a null text never goes. Rows with null or repeated ids are judged by their own texts."""
     found = overlaps(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, least)
-    marked = checkpoint(found.select(F.col("doc_id").alias("__hash")).distinct())
+    marked = small(checkpoint(found.select(F.col("doc_id").alias("__hash")).distinct()))
     return docs.join(marked, docs["text"].isNotNull() & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti").select(*docs.columns)
