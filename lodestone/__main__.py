@@ -1,4 +1,4 @@
-"""python -m lodestone serve|reindex|watch|status CONFIG.toml"""
+"""python -m lodestone serve|http|reindex|watch|status CONFIG.toml"""
 
 from __future__ import annotations
 
@@ -7,30 +7,22 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from lodestone.server import http_server, serve_lines
 from lodestone.service import Service
 from lodestone.sources.files import load_config
 from lodestone.streaming.watch import watch_vault
 
 
-def serve(service: Service, lines, out) -> None:
-    """One JSON request a line, {"tool": ..., "arguments": {...}}, and one JSON answer a line."""
-    for line in lines:
-        if line.strip():
-            try:
-                ask = json.loads(line)
-                print(service.call(ask["tool"], ask.get("arguments", {})), file=out, flush=True)
-            except Exception as error:  # noqa: BLE001 - a bad request must not end the server
-                print(json.dumps({"error": str(error)}), file=out, flush=True)
-
-
 def main(args: list[str]) -> int:
-    if len(args) != 2 or args[0] not in ("serve", "reindex", "watch", "status"):
+    if len(args) != 2 or args[0] not in ("serve", "http", "reindex", "watch", "status"):
         print(__doc__)
         return 2
     config = load_config(args[1])
     service = Service(SparkSession.builder.appName("lodestone").getOrCreate(), config)
     if args[0] == "serve":
-        serve(service, sys.stdin, sys.stdout)
+        serve_lines(service, sys.stdin, sys.stdout)
+    elif args[0] == "http":
+        http_server(service).serve_forever()
     elif args[0] == "watch":
         watch_vault(service.spark, service.index, config.vault_path, f"{config.index_path}/watch", config.ignore).awaitTermination()
     else:

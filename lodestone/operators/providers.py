@@ -40,6 +40,13 @@ class Reranker(Protocol):
     def rerank(self, candidates: DataFrame, queries: DataFrame) -> DataFrame: ...
 
 
+#: files(path, raw, mtime) -> notes as parse_notes gives them; notes and a chunk's most words -> chunks as chunk_notes gives them.
+Parser = Callable[[DataFrame], DataFrame]
+Chunker = Callable[[DataFrame, int], DataFrame]
+#: Two ranked lists and how many rows of each query to keep -> one ranked list as fuse gives it.
+Fuser = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
 @runtime_checkable
 class ChatProvider(Protocol):
     def complete(self, system: str, user: str) -> str: ...

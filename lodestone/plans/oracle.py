@@ -167,6 +167,14 @@ SQL = {
     + " FROM x JOIN y USING (query_id) GROUP BY GROUPING SETS ((x.type), ())",
     "strip_html_tags": "SELECT page_id, md5(regexp_replace(html, '</?[a-zA-Z][a-zA-Z0-9]*[^>\\n]*>', '', 'g')) AS h FROM pages",
     "strip_comments": "SELECT page_id, md5(regexp_replace(html || '<!-- a' || chr(10) || '--> b <!-- c', '(?s)<!--.*?-->', '', 'g')) AS h FROM pages",
+    "wikitext_rows": """SELECT doc_id, '# Note ' || doc_id || E'\\n\\n**' || lang || '** in *' || source || '* weighs ' || doc_id || ' to ' || doc_id || ' kg and 2 ' || (doc_id % 7 + 1) || '/8 [[' || source || '-x|parts]] of ' || lang || ', ' || lang ||
+      ' link ' || doc_id || E'\\n\\n### ' || source || E'\\n- a\\n  - ' || doc_id || E'\\n1. b\\nc\\n## Last\\nNo. ' || doc_id || E' end\\n' AS markdown, 1 AS efn FROM documents""",
+    "gold_validation_errors": f"""WITH n AS (SELECT {PATH} AS path, {SQUEEZE.format("text")} AS t FROM documents),
+      e(case_no, check_no, item_no, path, span, error) AS (VALUES (0, 3, 0, 'en/src1/1.md', NULL, 'expected note not in corpus: '), (1, 3, 0, 'nowhere.md', NULL, 'expected note not in corpus: '),
+        (0, 4, 0, 'en/src1/1.md', 'is and retitioning', 'span note not in corpus: '), (1, 4, 0, 'en/src1/1.md', 'not in it', 'span note not in corpus: '), (1, 4, 1, 'gone.md', 'x', 'span note not in corpus: '))
+      SELECT case_no, check_no, item_no, 'case ' || case_no || ': ' || error || path AS error FROM e WHERE path NOT IN (SELECT path FROM n)
+      UNION ALL SELECT case_no, 5, item_no, 'case ' || case_no || ': span not found in ' || path FROM e JOIN n USING (path) WHERE span IS NOT NULL AND NOT contains(t, span)
+      UNION ALL VALUES (1, 1, -1, 'case 1: unknown type guess'), (2, 0, -1, 'case 2: no expected notes'), (2, 2, -1, 'case 2: no answer spans'), (1, 6, 0, 'case 1: span note not expected: en/src1/1.md'), (1, 6, 1, 'case 1: span note not expected: gone.md')""",
     "manifest_errors": r"""WITH m AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'a/b' ELSE 'music' END AS cluster, CASE WHEN doc_id % 60 = 0 THEN '??' ELSE text END AS title, CASE WHEN doc_id % 70 = 0 THEN 'EN' ELSE lang END AS lang, doc_id % 80 AS revid FROM documents)
       SELECT cluster, title, 'bad cluster name' AS error FROM m WHERE cluster = 'a/b' UNION ALL SELECT cluster, title, 'bad language' FROM m WHERE lang = 'EN'
       UNION ALL SELECT cluster, title, 'empty slug' FROM m WHERE trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-') = '' UNION ALL SELECT cluster, title, 'bad revision' FROM m WHERE revid < 1""",

@@ -323,6 +323,20 @@ def wikitext_markdown(spark, d):
     return wikitext.to_markdown(pages, targets).select("lang", "title", "markdown", F.to_json("dropped").alias("dropped"))
 
 
+def wikitext_rows(spark, d):
+    """The whole conversion over a page made of each document, which says what must come out."""
+    n, eight = F.col("doc_id").cast("string"), (F.col("doc_id") % 7 + 1).cast("string")
+    raw = F.concat(
+        F.lit("<!-- c\n-->'''"), "lang", F.lit("'''<ref name=a>r</ref> in ''"), "source", F.lit("''{{efn|x{{y}}}} weighs {{cvt|"), n, F.lit("|to|"), n, F.lit("|kg|lb}} and 2{{frac|"), eight, F.lit("|8}}<math>q</math>"),
+        F.lit(" [[File:p.png|[[q]] r]][["), "source", F.lit("|part]]s of [["), "lang", F.lit("]]{{lang|it|, "), "lang", F.lit("}} [http://x.org/"), n, F.lit(" link "), n, F.lit("] ( , )\n{|\n| t\n|}\n=== "), "source", F.lit(" ===\n* a\n** "), n,
+        F.lit("\n# b\n: c\n== See also ==\nx\n=== y ===\nz\n== Last ==\nNo.&nbsp;"), n, F.lit(" <b>end</b>\n\n\n\n[[Category:X]]"),
+    )
+    docs = table(spark, d, "documents")
+    pages = docs.select("doc_id", "lang", F.concat(F.lit("Note "), n).alias("title"), raw.alias("wikitext"))
+    targets = docs.select("lang", F.upper("source").alias("title"), F.concat("source", F.lit("-x")).alias("slug")).distinct()
+    return wikitext.to_markdown(pages, targets).select("doc_id", "markdown", F.col("dropped")["efn"].alias("efn"))
+
+
 def wikitext_pages(spark, d):
     """The pattern stages over whole web pages, as a load for the pipeline."""
     pages = table(spark, d, "pages").select("page_id", F.lit("en").alias("lang"), F.col("url").alias("title"), F.col("html").alias("wikitext"))
@@ -338,7 +352,7 @@ def watch_events(spark, d):
 NAMES = (
     scan_hash, token_count, doc_freq, term_freq_top, normalize_ws, accent_fold, snippets, slugify, parsed_notes, sections_heading_path, chunk_windows, read_note, note_titles, turns_by_conversation,
     uncontextualized_notes, index_diff_upsert, index_deletes, index_stats, bm25_topk, bm25_multi_query, knn_topk, knn_multi_query, knn_report, rrf_fuse, hybrid_search, search_sources, span_recall, eval_report,
-    eval_delta, gold_validation_errors, strip_html_tags, strip_comments, manifest_errors, slug_collisions, wikitext_markdown, wikitext_pages, watch_events,
+    eval_delta, gold_validation_errors, strip_html_tags, strip_comments, manifest_errors, slug_collisions, wikitext_markdown, wikitext_rows, wikitext_pages, watch_events,
 )
 
 

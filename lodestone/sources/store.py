@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.markdown import chunk_notes, parse_notes
 from lodestone.functions.text import tokens
-from lodestone.operators.providers import Contextualizer, Embedder, HashEmbedder, PlainContext
+from lodestone.operators.providers import Chunker, Contextualizer, Embedder, HashEmbedder, Parser, PlainContext
 from lodestone.operators.retrieval import postings
 from lodestone.sources.shared import checkpoint
 
@@ -31,8 +31,9 @@ MOST_SEGMENTS = 8
 
 
 class VaultIndex:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, max_tokens: int = 512) -> None:
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, max_tokens: int = 512, parser: Parser = parse_notes, chunker: Chunker = chunk_notes) -> None:
         self.spark, self.root, self.max_tokens = spark, root.rstrip("/"), max_tokens
+        self.parser, self.chunker = parser, chunker
         self.embedder, self.contextualizer = embedder or HashEmbedder(), contextualizer or PlainContext()
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -132,7 +133,7 @@ class VaultIndex:
         return [x.split()[0] for x in TABLES[table].split(", ")]
 
     def build_chunks(self, parsed: DataFrame) -> DataFrame:
-        rows = chunk_notes(parsed, self.max_tokens)
+        rows = self.chunker(parsed, self.max_tokens)
         blurbs = self.contextualizer.blurbs(parsed)
         rows = rows.withColumn("context_blurb", F.lit(None).cast("string")) if blurbs is None else rows.join(blurbs, "note_path", "left")
         text = F.when(F.coalesce("context_blurb", F.lit("")) == "", F.col("text")).otherwise(F.concat("context_blurb", F.lit("\n\n"), "text"))
@@ -154,7 +155,7 @@ class VaultIndex:
         gone = self.known_hashes().join(marked.select("path"), "path", "left_anti")
         if not afresh and not marked.where("changed").limit(1).count() and not gone.limit(1).count():
             return self.stats()
-        parsed = checkpoint(parse_notes(marked.where("changed")))
+        parsed = checkpoint(self.parser(marked.where("changed")))
         fresh = checkpoint(self.build_chunks(parsed))
         notes = parsed.join(fresh.select(F.col("note_path").alias("path")), "path", "left_semi")
         self._commit(notes, fresh, gone.select("path").unionByName(parsed.select("path")), self.config_fingerprint, afresh)

@@ -55,7 +55,7 @@ STAGES = [
     (wikitext.convert_lists, "* p\n*** q\n## r\n; s\n:: t\n:** u\n# *v\nw * x\n" + "*" * 15 + "y", "- p\n    - q\n  1. r\ns\nt\n  - u\n1. *v\nw * x\n" + "  " * 14 + "- y"),
     (wikitext.convert_headings, "==Up==\n==== Low ====  \n=== Odd ==\n= no =", "## Up\n#### Low\n## = Odd\n= no ="),
     (wikitext.convert_emphasis, "'''p''' q ''r'' '''''s''''' ''t\nu''", "**p** q *r* ***s*** ''t\nu''"),
-    (wikitext.strip_external_links, "[https://p.org/q?r=1 the page] [//p.org] [ftp:x y z] [note] [a: b]", "the page  y z [note] [a: b]"),
+    (wikitext.strip_external_links, "[https://p.org/q?r=1 the page] [//p.org] [ftp:x y z] [note] [a: b] [[Category:Q]] [[File:r s]]", "the page  y z [note] [a: b] [[Category:Q]] [[File:r s]]"),
     (wikitext.tidy_punctuation, "p ( ; ) q (r, ) (, s) t , u", "p  q (r) (s) t, u"),
     (wikitext.drop_sections, "p\n## Notes\nq\n### Deeper\nr\n## Kept\ns\n### *Further reading*\nt\n#### u\nv\n### Also kept\nw\n# See also\nx", "p\n## Kept\ns\n### Also kept\nw"),
     (wikitext.drop_sections, "## Gallery\np", ""), (wikitext.drop_sections, "no heading\n#tag\n", "no heading\n#tag\n"),

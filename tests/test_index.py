@@ -1,13 +1,18 @@
 import io
 import json
 import random
-from threading import Event
+import urllib.error
+import urllib.request
+from threading import Event, Thread
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.__main__ import main, serve
+from lodestone.__main__ import main
+from lodestone.functions.markdown import parse_notes
 from lodestone.operators.providers import ChatContext, HashEmbedder, PlainRerank
-from lodestone.operators.retrieval import corpus_stats
+from lodestone.operators.retrieval import corpus_stats, fuse, search_knowledge
+from lodestone.server import http_server, serve_lines
 from lodestone.service import Service
 from lodestone.sources import store
 from lodestone.sources.files import Config, load_config, load_gold, load_span_gold
@@ -112,9 +117,23 @@ def test_service_and_command_line(spark, vault, tmp_path, capsys):
     assert {x["note_path"] for x in service.search_knowledge("strings", 5, paths=["b*"])["results"]} == {"b.md"} and service.search_sources("strings", tags=["none"]) == {"sources": []}
     assert service.get_note("a.md")["title"] == "Violin" and service.get_note("no") == {"found": False}
     out = io.StringIO()
-    serve(service, ['{"tool": "status"}', "bad", '{"tool": "drop"}'], out)
-    lines = [json.loads(x) for x in out.getvalue().splitlines()]
-    assert lines[0]["notes"] == 2 and "error" in lines[1] and "error" in lines[2]
+    ask = lambda n, method, **params: json.dumps({"jsonrpc": "2.0", "id": n, "method": method, "params": params})
+    lines = [ask(1, "initialize", protocolVersion="2025-03-26"), '{"jsonrpc": "2.0", "method": "notifications/initialized"}', ask(2, "tools/list"), ask(3, "tools/call", name="status"), "bad", ask(4, "tools/call", name="drop")]
+    serve_lines(service, [*lines, ask(5, "odd"), ask(6, "tools/call", name="get_note", arguments={"path": 1, "x": 2}), ask(7, "tools/call", name="search_sources", arguments={"query": "strings", "k": "many"}), "[]"], out)
+    got = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines()) if r["id"]}
+    assert got[1]["result"]["protocolVersion"] == "2025-03-26" and [t["name"] for t in got[2]["result"]["tools"]] == ["status", "reindex", "search_knowledge", "search_sources", "get_note"]
+    assert got[3]["result"]["structuredContent"]["notes"] == 2 and not got[3]["result"]["isError"] and got[7]["result"]["isError"]
+    assert [got[k]["error"]["code"] for k in (4, 5, 6)] == [-32602, -32601, -32602] and len(out.getvalue().splitlines()) == 9
+    server = http_server(service, port=0)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        post = lambda path, text: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}", text.encode(), timeout=60)
+        assert json.loads(post("/mcp", ask(8, "ping")).read()) == {"jsonrpc": "2.0", "id": 8, "result": {}} and post("/mcp", lines[1]).status == 202
+        with pytest.raises(urllib.error.HTTPError):
+            post("/other", lines[0])
+    finally:
+        server.shutdown()
+        server.server_close()
     toml = tmp_path / "c.toml"
     toml.write_text(f'[vault]\npath = "{vault}"\n[index]\npath = "{tmp_path}/s"\n')
     models = tmp_path / "m.toml"
@@ -125,6 +144,20 @@ def test_service_and_command_line(spark, vault, tmp_path, capsys):
     assert main(["status", str(toml)]) == 0 and '"notes": 2' in capsys.readouterr().out
 
 
+def test_own_parser_chunker_and_fuser(spark, vault, tmp_path):
+    upper = lambda files: parse_notes(files.withColumn("raw", F.upper("raw")))
+    one = lambda notes, most: notes.select(F.col("path").alias("note_path"), F.lit(0).alias("ordinal"), F.array().cast("array<string>").alias("heading_path"), F.col("body").alias("text"), F.lit(most).alias("token_count"))
+    index = VaultIndex(spark, str(tmp_path / "own"), max_tokens=9, parser=upper, chunker=one)
+    index.reindex(scan_vault(spark, str(vault)))
+    rows = {r.note_path: r for r in index.chunks().collect()}
+    assert len(rows) == 3 and rows["a.md"].text.startswith("# VIOLIN") and rows["a.md"].token_count == 9
+    seen = []
+    fuser = lambda near, matched, k: seen.append(k) or fuse(near, matched, k)
+    asked = spark.createDataFrame([(0, "cello")], "query_id long, text string")
+    got = search_knowledge(index.chunks(), index.postings(), index.corpus_stats(), asked, index.embedder, 1, pool=7, fuser=fuser).first()
+    assert got.note_path == "b.md" and seen == [7]
+
+
 def test_watch(spark, vault, tmp_path):
     index = VaultIndex(spark, str(tmp_path / "w"))
     ticks = tmp_path / "ticks"
