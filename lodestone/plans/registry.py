@@ -15,6 +15,7 @@ from lodestone.functions import markdown, text
 from lodestone.operators import corpus, evaluate, retrieval, wikitext
 from lodestone.operators.providers import HashEmbedder
 from lodestone.sources.shared import checkpoint
+from lodestone.sources.store import changes, deletions
 
 QUERIES = ((0, "The tion of the and"), (1, "der und enschein"), (2, "ción mente que"), (3, "êaux léau entre?!"), (4, "?? -- ::"), (5, "foo_bar under_the"))
 EMBEDDER = HashEmbedder(64)
@@ -140,20 +141,19 @@ def uncontextualized_notes(spark, d):
 
 def _versions(spark, d):
     docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 11 <> 0").select(path().alias("path"), F.sha2("text", 256).alias("known"))
+    old = docs.where("doc_id % 11 <> 0").select(path().alias("path"), F.sha2("text", 256).alias("content_hash"))
     edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
     return old, docs.where("doc_id % 13 <> 0").select(path().alias("path"), F.sha2(edited, 256).alias("content_hash"))
 
 
 def index_diff_upsert(spark, d):
     old, new = _versions(spark, d)
-    rows = new.join(old, "path", "left").where(~F.col("content_hash").eqNullSafe(F.col("known")))
-    return rows.select("path", F.when(F.col("known").isNull(), "new").otherwise("changed").alias("kind"))
+    return changes(new, old).where("changed").select("path", F.when(F.col("known").isNull(), "new").otherwise("changed").alias("kind"))
 
 
 def index_deletes(spark, d):
     old, new = _versions(spark, d)
-    return old.join(new, "path", "left_anti").select("path")
+    return deletions(new, old)
 
 
 def index_stats(spark, d):

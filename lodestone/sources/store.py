@@ -30,6 +30,17 @@ KEYS = {"notes": "path", "chunks": "note_path", "postings": "note_path"}
 MOST_SEGMENTS = 8
 
 
+def changes(files: DataFrame, known: DataFrame, afresh: bool = False) -> DataFrame:
+    """files(path, content_hash, ...) with `known`, the hash that is indexed (null: none), and `changed`: whether a note must be indexed again."""
+    rows = files.join(known.select("path", F.col("content_hash").alias("known")), "path", "left")
+    return rows.withColumn("changed", F.lit(afresh) | ~F.col("content_hash").eqNullSafe(F.col("known")))
+
+
+def deletions(files: DataFrame, known: DataFrame) -> DataFrame:
+    """path of what is indexed and no file any more."""
+    return known.join(files.select("path"), "path", "left_anti").select("path")
+
+
 class VaultIndex:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, contextualizer: Contextualizer | None = None, max_tokens: int = 512, parser: Parser = parse_notes, chunker: Chunker = chunk_notes) -> None:
         self.spark, self.root, self.max_tokens = spark, root.rstrip("/"), max_tokens
@@ -142,9 +153,7 @@ class VaultIndex:
 
     def diff(self, files: DataFrame) -> DataFrame:
         """files with `changed`: whether a note must be indexed again."""
-        known = self.known_hashes().withColumnRenamed("content_hash", "known")
-        rows = files.join(known, "path", "left")
-        return rows.withColumn("changed", F.lit(self.fingerprint() != self.config_fingerprint) | ~F.col("content_hash").eqNullSafe(F.col("known"))).drop("known")
+        return changes(files, self.known_hashes(), self.fingerprint() != self.config_fingerprint).drop("known")
 
     def reindex(self, files: DataFrame) -> dict:
         """Brings the index to the state of files(path, raw, mtime, content_hash): only changed notes are parsed, chunked and embedded, once.
@@ -152,13 +161,13 @@ class VaultIndex:
         Notes that are gone, or have no chunk (any more), leave the index."""
         afresh = self.fingerprint() != self.config_fingerprint
         marked = checkpoint(self.diff(files))
-        gone = self.known_hashes().join(marked.select("path"), "path", "left_anti")
+        gone = deletions(marked, self.known_hashes())
         if not afresh and not marked.where("changed").limit(1).count() and not gone.limit(1).count():
             return self.stats()
         parsed = checkpoint(self.parser(marked.where("changed")))
         fresh = checkpoint(self.build_chunks(parsed))
         notes = parsed.join(fresh.select(F.col("note_path").alias("path")), "path", "left_semi")
-        self._commit(notes, fresh, gone.select("path").unionByName(parsed.select("path")), self.config_fingerprint, afresh)
+        self._commit(notes, fresh, gone.unionByName(parsed.select("path")), self.config_fingerprint, afresh)
         return self.stats()
 
     def upsert(self, notes: DataFrame, chunks: DataFrame) -> None:
