@@ -40,7 +40,7 @@ def kmer_hashes(words: Column) -> Column:
 
 
 def numbered(kmers: Column) -> Column:
-    """Packed (bin, hash, place) of each k-mer with its occurrence number, sorted.
+    """Packed (bin, hash, place) of each k-mer with its occurrence number, sorted. The first occurrence keeps the k-mer's own hash.
 
     kmers is sorted, so the number is how far back the same hash reaches: none for most, else found bit by bit."""
     high = lambda x: F.shiftright(x, PLACE_BITS)
@@ -50,11 +50,11 @@ def numbered(kmers: Column) -> Column:
     def occurrence(x: Column, i: Column) -> Column:
         bits = F.sequence(F.floor(F.log2(F.size(kmers).cast("double"))).cast("int"), F.lit(0), F.lit(-1))
         reach = F.aggregate(bits, F.lit(0), lambda n, b: F.when(same(x, i, n + power(b)), n + power(b)).otherwise(n))
-        return F.when(same(x, i, F.lit(1)), F.coalesce(reach, F.lit(0))).otherwise(F.lit(0))
+        return F.coalesce(reach, F.lit(0))
 
     def packed(x: Column, i: Column) -> Column:
-        h = F.xxhash64(high(x), occurrence(x, i))
-        return F.shiftleft(low_bits(h, HASH_BITS), PLACE_BITS).bitwiseOR(low_bits(x, PLACE_BITS))
+        again = low_bits(F.xxhash64(high(x), occurrence(x, i)), HASH_BITS)
+        return F.when(same(x, i, F.lit(1)), F.shiftleft(again, PLACE_BITS).bitwiseOR(low_bits(x, PLACE_BITS))).otherwise(x)
 
     return F.sort_array(F.transform(kmers, packed))
 
@@ -130,7 +130,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     last = F.col("doc_id").isNull()
     at = F.when(last, F.xxhash64("text")).otherwise(F.bitwise_not("doc_id"))
     docs = docs.select("doc_id", "text", "signature", last.alias("last"), at.alias("at")).withColumn("g", F.when(F.col("last"), F.shiftright("at", null_shift)).otherwise(F.shiftright("at", min(63, shift))))
-    within = Window.partitionBy("last", "g").orderBy("at", F.col("text").asc_nulls_first())
+    within = Window.partitionBy("last", "g").orderBy("at", F.col("text").asc_nulls_first(), "doc_id")  # all columns, so that all readers share one shuffle
     rows = docs.select("*", *(F.lead(c).over(within).alias(f"next_{c}") for c in ("text", "signature")), F.lag(F.lit(True)).over(within).isNull().alias("head"))
     heads = rows.where("head").select(F.struct("last", "g").alias("to"), F.col("text").alias("head_text"), F.col("signature").alias("head_signature"))
     groups = docs.select("last", "g").distinct().select(F.struct("last", "g").alias("k"), F.struct("last", F.shiftright("g", TOP_BITS).alias("t")).alias("top"))

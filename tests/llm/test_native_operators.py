@@ -131,7 +131,7 @@ def plain_signature(text):
     kmers = [x((w[i + 1] if i + 1 < len(w) else "").encode(), x(a.encode(), 42)) & (2**33 - 1) for i, a in enumerate(w)]
     for i, h in enumerate(kmers):
         n = seen[h] = seen.get(h, -1) + 1
-        v = x(n.to_bytes(4, "little"), x(long(h), 42)) & (2**33 - 1)
+        v = x(n.to_bytes(4, "little"), x(long(h), 42)) & (2**33 - 1) if n else h
         rows.append((v >> 27, v, i))
     out, least = [], []
     for b in sorted({r[0] for r in rows}):
