@@ -181,7 +181,7 @@ def test_likeness_follows_the_order_in_short_and_long_texts(spark):
         swapped = w[: n // 2] + ["other"] + w[n // 2 + 1 :]
         docs = spark.createDataFrame([(3, " ".join(w)), (2, " ".join(turned)), (1, " ".join(w)), (0, " ".join(swapped))], "doc_id long, text string")
         got = {r.doc_id: r.near_next for r in order_minhash.fingerprints(docs).collect()}
-        assert got[3] == got[2] < 0.2 and got[1] > 0.75, (n, got)
+        assert got[3] == got[2] < 0.2 and got[1] > 0.6, (n, got)  # 64 bins, which short texts fill from few k-mers
 
 
 def test_successors_of_sparse_null_and_repeated_ids(spark):
