@@ -22,7 +22,7 @@ BINS = 1 << BIN_BITS
 PLACE_BITS = 30
 HASH_BITS = 63 - PLACE_BITS
 #: About so many rows of neighbouring ids find their successor in one task, and so many of such groups theirs.
-GROUP_ROWS, TOP_BITS = 256, 12
+GROUP_ROWS, TOP_BITS = 64, 13
 
 
 def low_bits(x: Column, bits: int) -> Column:
