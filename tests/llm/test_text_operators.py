@@ -77,6 +77,23 @@ def test_ngram_join_of_large_buckets_equals_all_pairs(spark, monkeypatch):
     assert got == want and len({n for _, n in want.values()}) > 10
 
 
+def test_ngram_join_recalls_pairs_at_the_threshold(spark):
+    """Pairs whose similarity is just 0.8 or little more, which share a path least often: at least 99 % are found, and no pair under it."""
+    rng, rows, near = random.Random(13), [], set()
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(300):
+        a = prose(rng, 104, "abcdefghijklm").split()
+        b = list(a)
+        b[30], b[70] = "other", "words"
+        b[104 - rng.randint(0, 3) :] = []
+        rows += [(2 * k, " ".join(a), "en"), (2 * k + 1, " ".join(b), "en")]
+        x, y = grams(a), grams(b)
+        if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            near.add(2 * k + 1)
+    found = {r.doc_id for r in ngram_join.similar_documents(frame(spark, rows)).collect() if r.class_id != r.doc_id}
+    assert found <= near and 100 < len(near) < 300 and len(found) >= 0.99 * len(near)
+
+
 def test_ngram_join_of_odd_rows(spark):
     out = ngram_join.similar_documents(frame(spark, [(None, "a b c d e f", "en"), (7, "a b c d e f", None), (7, "a b c d e f", None)])).collect()
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in out) == [("7", "7", 1), ("7", "7", 1), ("None", "None", 0)]
