@@ -7,7 +7,7 @@ of its first occurrence, with LEAST_WORDS words more on either side, and what is
 (in the order in which the table is read) stays. Equal words farther than that from a run hold anchors, and so runs, of their own.
 
 Texts are written once to the shared folder with a number for each row, so that repeated and null ids are rows of their own; an anchor is three numbers.
-Shuffles: anchor hashes (added up where they are found), anchors by hash (a plain equi-join with a checkpointed table, whose skewed
+Shuffles: anchor hashes (the first and last place of each in a slice of texts), anchors by hash (a plain equi-join with a checkpointed table, whose skewed
 partitions Spark splits), runs (merged before they are shuffled), and texts by row. No group of copies is ever held in one row or task.
 """
 
@@ -135,24 +135,28 @@ def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return docs.select("row", "text").transform(in_arrow, run, ANCHOR_SCHEMA)
 
 
-def hash_counts(docs: DataFrame, least_words: int) -> DataFrame:
-    """h, n and f (the first place) of all anchors, added up by slices of text before anything is shuffled."""
+def repeated_hashes(docs: DataFrame, least_words: int) -> DataFrame:
+    """h and f (the first place) of the anchors that occur at several places; of each hash a slice of texts tells only its first and last place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
                 text, pos, _, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
                 place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
-                h, first, n = np.unique(key, return_index=True, return_counts=True)  # places ascend, as rows do
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(place[first])], ["h", "n", "f"])
+                order = np.argsort(key, kind="stable")  # places ascend, as rows do
+                key, place = key[order], place[order]
+                change = key[1:] != key[:-1]
+                ends = np.concatenate([[True], change]) | np.concatenate([change, [True]]) if len(key) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(key[ends].view(np.int64)), pa.array(place[ends])], ["h", "place"])
 
-    return docs.select("row", "text").transform(in_arrow, run, "h long, n long, f long").groupBy("h").agg(F.sum("n").alias("n"), F.min("f").alias("f"))
+    rows = docs.select("row", "text").transform(in_arrow, run, "h long, place long")
+    return rows.groupBy("h").agg(F.min("place").alias("f"), F.max("place").alias("l")).where("f < l").select("h", "f")
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """row, f_row (a number of the first occurrence's text), shift (how much farther the run stands than it), and from where (a) to where (z) to compare."""
-    again = written(hash_counts(docs, least_words).where("n > 1").select("h", "f"))
-    found = find_chunks(docs, least_words).join(again, "h").where("place <> f")
+    again = written(repeated_hashes(docs, least_words))
+    found = find_chunks(docs, least_words).join(again.hint("shuffle_hash"), "h").where("place <> f")  # each hash once: the table of a partition is small
     pos, f_pos = (F.col(c).bitwiseAND(F.lit((1 << POS_BITS) - 1)) for c in ("place", "f"))
     found = found.select(
         F.shiftright("place", POS_BITS).alias("row"), F.shiftright("f", POS_BITS).alias("f_row"), (pos - f_pos).alias("shift"),
@@ -238,8 +242,8 @@ def cut_repeats(docs: DataFrame, least_words: int) -> DataFrame:
         F.col("a").cast("int").alias("a"), F.col("z").cast("int").alias("z"), ((F.col("a") == 0) | (F.col("a") == F.col("shift"))).alias("edge"), near.alias("near"), (F.col("r_row") == F.col("row")).alias("inside"),
     )
     # asking for all columns lets both joins read one shuffle of the texts
-    plain = [f"c{k}" for k, c in enumerate(names) if docs.schema[c].dataType.typeName() not in ("map", "variant")]
-    told = told.select(F.col("r_row").alias("row"), part.alias("r"), F.hash(*plain).alias("all"))
+    plain = [f"c{k}" for k, c in enumerate(names) if k != i and docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    told = told.select(F.col("r_row").alias("row"), part.alias("r"), (F.hash(*plain) if plain else F.lit(0)).alias("all"))
     told = told.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("r.*", "all")).alias("runs"))
     both = tagged.join(told, F.col("row") == F.col("of"), "left").select(*(f"c{k}" for k in range(len(names))), "runs")
     n_at = names.index("n_chars") if "n_chars" in names else None
