@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpoint, connected_components, in_arrow, kgrams, mix, slices, words
+from lodestone.operators.retrieval import small
 
 SHINGLE = 5
 MINIMA = 128
@@ -139,7 +140,8 @@ def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
     """rep and grams (its sorted 5-gram hashes) of each of reps(rep)."""
     wanted = checkpoint(classes.join(reps.distinct(), "rep").select("rep", "key_a", "key_b", F.col("w.doc_id").alias("of")))
-    texts = docs.join(wanted.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    of = small(checkpoint(wanted.select(F.col("of").alias("doc_id")).distinct()))  # few ids are broadcast, so that documents aren't shuffled
+    texts = docs.join(of, "doc_id", "left_semi").select("text")
     sets = texts.transform(in_arrow, grams, "key_a long, key_b long, grams binary")
     return sets.join(wanted.drop("of"), ["key_a", "key_b"]).groupBy("rep").agg(F.first("grams").alias("grams"))
 
