@@ -31,6 +31,8 @@ POS_BITS, ROW_BITS = 24, 21
 BLANK = " \t\n\v\f\r"
 ANCHOR_SCHEMA = "h long, place long, rooms long"
 K = 6  # words of an anchor
+#: The bits of an anchor's hash that are told: what agrees in them by chance is refused when bytes are compared, and low bytes of 0 take no space.
+TOLD = np.uint64(0xFFFFFFFFFFFF0000)
 SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -130,7 +132,7 @@ def find_chunks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 text, pos, room, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
                 place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
                 room = -(-room // 32) * 32  # few different numbers take less space
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place), pa.array((room[0] << 32) + room[1])], ["h", "place", "rooms"])
+                yield pa.RecordBatch.from_arrays([pa.array((key & TOLD).view(np.int64)), pa.array(place), pa.array((room[0] << 32) + room[1])], ["h", "place", "rooms"])
 
     return docs.select("row", "text").transform(in_arrow, run, ANCHOR_SCHEMA)
 
@@ -143,6 +145,7 @@ def repeated_hashes(docs: DataFrame, least_words: int) -> DataFrame:
             for b in slices(whole, "text", 4 << 20):
                 text, pos, _, key = chunks_of(pc.fill_null(b.column("text"), ""), least_words)
                 place = (np.asarray(b.column("row"), dtype=np.int64)[text] << POS_BITS) + pos
+                key &= TOLD
                 order = np.argsort(key, kind="stable")  # places ascend, as rows do
                 key, place = key[order], place[order]
                 change = key[1:] != key[:-1]
