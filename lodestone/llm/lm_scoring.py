@@ -5,10 +5,10 @@ others share classes by their mark and last letter, within which they have smoot
 at the CONTEXT places before it or more; their values are projected to scores, which are added to the logarithms of a
 table of class transitions. Classes are in GROUPS groups of equal size, halved again and again by what precedes them; a class has its group's
 probability times its own within the group, so that no place needs the scores of all classes. The table is counted over all training texts. Queries, keys, values, offsets and the projection
-are learned by gradient descent on windows drawn at a fixed rate (SHARE) from all of them: each partition takes Adam steps on its own, and
-parameters are averaged after each of ROUNDS rounds, so that what is learned from grows with the input and no text reaches the driver.
+are learned by gradient descent on all windows of them, each of which is in one of ROUNDS rounds: each partition takes Adam steps on its own, and
+parameters are averaged after each round, so that no text reaches the driver.
 A word's probability is the product of its symbols', mixed with its share among the training tokens; the weight is fitted on
-training texts with each word's own occurrence left out. Each word has one sequence of symbols, none the beginning
+all training texts with each word's own occurrence left out: texts are scored by each of WEIGHTS at once, since attention costs most. Each word has one sequence of symbols, none the beginning
 of another's, so that the probabilities of words add up to no more than 1.
 
 Texts are scored in windows of CONTEXT + STRIDE symbols that overlap by CONTEXT; each symbol is scored in one of them, in batches, under a causal mask.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,16 +43,14 @@ BOS, END = 0, 1
 CONTEXT, STRIDE = 16, 48
 KEYS = CONTEXT + STRIDE
 HEADS, DIM, VALUE = 1, 8, 16
-#: The share of training windows that is learned from, in how many rounds, and the windows of a step and of a shuffled pool.
-SHARE, ROUNDS, STEP, POOL = 0.05, 2, 20, 1024
+#: The share of training windows that is learned from (all), in how many rounds, and the windows of a step and of a shuffled pool.
+SHARE, ROUNDS, STEP, POOL = 1.0, 2, 128, 1024
 RATE = 0.02
-#: One training text in so many decides on the weight of word shares.
-WEIGHED = 64
 WEIGHTS = np.linspace(0.02, 0.9, 23)
 SLICE = 3 << 20
 LONGEST = 40
-#: symbols, places and drawn are 32-bit numbers in a row; drawn are the windows to learn from, as window_rows gives them.
-TEXT_SCHEMA = "row long, doc_id long, held_out boolean, symbols binary, places binary, rare array<string>, drawn binary"
+#: symbols and places are 32-bit numbers in a row.
+TEXT_SCHEMA = "row long, doc_id long, held_out boolean, symbols binary, places binary, rare array<string>"
 
 
 def held_out() -> Column:
@@ -129,11 +127,12 @@ def blobs(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def drawn(rows: np.ndarray, begin: np.ndarray, turn: int) -> np.ndarray:
-    """The numbers of the windows that a round learns from: a share that a hash of row and place picks."""
+    """The numbers of the windows that a round learns from: those whose hash of row and place lies in its part of SHARE, so that no two rounds learn from one."""
     n = -(-(np.diff(begin) - 1) // STRIDE)
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     h = mix(mix(np.repeat(rows, n).astype(np.uint64)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.flatnonzero(mix(h + np.uint64(turn)) < np.uint64(int(SHARE / ROUNDS * 2.0**64)))
+    at = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53  # less than 1
+    return np.flatnonzero((at >= SHARE * turn / ROUNDS) & (at < SHARE * (turn + 1) / ROUNDS))
 
 
 def with_ends(symbols: np.ndarray, starts: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +146,8 @@ def with_ends(symbols: np.ndarray, starts: np.ndarray, first: int, last: int) ->
     return out, begin, spot
 
 
-def window_rows(symbols: np.ndarray, starts: np.ndarray, rows: np.ndarray, learned: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The drawn windows of each text that is learned from, in a row, and where each text's start.
+def window_rows(symbols: np.ndarray, starts: np.ndarray, rows: np.ndarray, learned: np.ndarray, size: int, turns: Iterable[int] = range(ROUNDS)) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of some rounds of each text that is learned from, in a row, and where each text's start.
 
     A window is its round and the symbols at its keys and one more; `size` is the begin of a text, one more its end, and -1 what lies outside."""
     length = np.diff(starts)
@@ -156,7 +155,7 @@ def window_rows(symbols: np.ndarray, starts: np.ndarray, rows: np.ndarray, learn
     n = -(-(length + 1) // STRIDE)
     text, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
     out, of = [np.zeros((0, KEYS + 2), np.int64)], [np.zeros(0, np.int64)]
-    for turn in range(ROUNDS):
+    for turn in turns:
         only = drawn(rows, begin, turn)
         only = only[learned[text[only]]]
         t = text[only]
@@ -180,7 +179,6 @@ def tokenized(docs: DataFrame, lexicon: pa.Array, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         row = (task.partitionId() if task else 0) << 40
-        size_of = 2 * len(subwords(path).last)
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 w = words(b.column("text"))
@@ -191,9 +189,7 @@ def tokenized(docs: DataFrame, lexicon: pa.Array, path: str) -> DataFrame:
                 place = np.asarray(pc.fill_null(pc.index_in(w.vocab, value_set=shared.value), -1), dtype=np.int32)[w.codes]
                 far = np.concatenate([[0], np.cumsum(place < 0)])
                 rare = pa.ListArray.from_arrays(pa.array(far[w.starts], pa.int32()), w.vocab.take(pa.array(w.codes[place < 0])))
-                rows = np.arange(row, row + b.num_rows)
-                windows = window_rows(symbols, at[w.starts], rows, ~np.asarray(b.column("held_out")), size_of)
-                columns = [pa.array(rows), b.column("doc_id"), b.column("held_out"), blobs(symbols, at[w.starts]), blobs(place, w.starts), rare, blobs(*windows)]
+                columns = [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), blobs(symbols, at[w.starts]), blobs(place, w.starts), rare]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TEXT_SCHEMA.split(", ")])
                 row += b.num_rows
 
@@ -391,9 +387,10 @@ def learn(texts: DataFrame, lm: Lm, turn: int, slots: int = 16) -> dict[str, np.
                 adam.step(gradients(lm, p, keys[at], there[at], goal[at], real[at]))
             pool.clear()
 
-        for b in batches:
-            got = numbers(b.column("drawn"))[0].reshape(-1, KEYS + 2)
-            got = got[got[:, 0] == turn, 1:]
+        for b in parts(batches):
+            flat, starts = numbers(b.column("symbols"))
+            got = window_rows(flat, starts, np.asarray(b.column("row")), np.ones(b.num_rows, bool), len(lm.of) - 2, [turn])[0]
+            got = got.reshape(-1, KEYS + 2)[:, 1:]
             for i in range(0, len(got), POOL):
                 there, x = got[i : i + POOL] >= 0, lm.of[got[i : i + POOL]].astype(np.int32)
                 pool.append((x[:, :KEYS], there[:, :KEYS], x[:, CONTEXT + 1 :], there[:, CONTEXT + 1 :]))
@@ -415,7 +412,7 @@ def learn(texts: DataFrame, lm: Lm, turn: int, slots: int = 16) -> dict[str, np.
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slot", "n", "p"])
 
     kind = "slot int, n long, p binary"
-    got = texts.select("drawn").transform(in_arrow, run, kind).repartition(slots, "slot").transform(in_arrow, add, kind).collect()
+    got = texts.select("row", "symbols").transform(in_arrow, run, kind).repartition(slots, "slot").transform(in_arrow, add, kind).collect()
     n = sum(r.n for r in got)
     return unpacked(sum(np.frombuffer(bytes(r.p)) for r in got) / n, lm.p) if n else lm.p
 
@@ -485,12 +482,12 @@ def grouped(both: np.ndarray, rounds: int = 12) -> np.ndarray:
     return np.concatenate([np.sort(part) for part in parts])
 
 
-def summed(texts: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum of count over all parts of texts; cells that are not 0 are added up by Spark."""
+def summed(texts: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = parts) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of count over all parts of texts: the cells that are not 0, which Spark adds up, and their sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for b in parts(batches):
+        for b in cut(batches):
             got = count(b)
             total = got if total is None else total + got
         some = np.flatnonzero(total) if total is not None else np.zeros(0, int)
@@ -533,38 +530,35 @@ def fit(texts: DataFrame, path: str) -> Lm:
     return lm
 
 
-def word_weight(texts: DataFrame, lm: Lm, share: np.ndarray, total: int) -> float:
-    """The weight of words' shares that gives one text in WEIGHED the greatest likelihood, if each word's own occurrence is not counted."""
-    shared = texts.sparkSession.sparkContext.broadcast((lm, share))
+def mixture(weight: float, share: np.ndarray, log: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The log of words' probabilities p (whose logarithms are given, too) mixed with their shares."""
+    with np.errstate(divide="ignore"):
+        out = np.log(weight * share + (1 - weight) * p)
+        low = np.flatnonzero(p < 1e-290)
+        out[low] = np.logaddexp(np.log(weight * share[low]), np.log(1 - weight) + log[low])
+    return out
 
-    def likelihoods(b: pa.RecordBatch) -> np.ndarray:
-        lm, c = shared.value
-        log = word_logs(lm, *numbers(b.column("symbols")))
-        at, starts = numbers(b.column("places"))
-        own = np.insert(at, starts[1:], 0)
-        left = np.maximum(np.append(c, 0)[own] - 1, 0) / max(1, total)
-        p = np.exp(log)
-        return np.array([np.log(np.maximum(w * left + (1 - w) * p, 1e-300)).sum() for w in WEIGHTS])
 
-    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(WEIGHED)) == 0)
-    cell, got = summed(some.select("symbols", "places"), likelihoods)
-    sums = np.log(WEIGHTS) + np.log(1 - WEIGHTS)
-    sums[cell] += got
-    return float(WEIGHTS[sums.argmax()])
+def likelihoods(n: np.ndarray, total: int, log: np.ndarray) -> np.ndarray:
+    """By each of WEIGHTS, the log likelihood of words of training texts, of whose counts n their own occurrence is left out."""
+    left, p = np.maximum(n - 1, 0) / max(1, total), np.exp(log)
+    return np.array([mixture(w, left, log, p).sum() for w in WEIGHTS])
 
 
-def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray, total: int, distinct: int, weight: float) -> DataFrame:
+def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray, total: int, distinct: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and attention_score of each row of texts (tokenized).
 
     A null text is empty: its end is its one token. Whole texts are scored. Rows that repeat, null ids and other
     columns change nothing; an empty table gives no rows. score is the log10 probability of the words and the end,
     attention_score that of attention alone. share: the counts of the lexicon, of which the first is the end's.
+    The weight of words' shares is the one of WEIGHTS that gives all training texts the greatest likelihood.
     """
     shared = texts.sparkSession.sparkContext.broadcast((lm, share))
-    scale = total + 0.5 * (distinct + 1)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, attention_score double, rare array<string>, logs array<double>"
+    scale, many = total + 0.5 * (distinct + 1), len(WEIGHTS)
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, attention_score double, told array<double>, rare array<string>, logs array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """scores: by each of WEIGHTS; told: the likelihoods of the training words of a part, in its first row."""
         lm, c = shared.value
         for b in parts(batches):
             log = word_logs(lm, *numbers(b.column("symbols")))
@@ -574,21 +568,37 @@ def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray,
             n = np.append(c, 0.0)[own]
             text = np.repeat(np.arange(b.num_rows), np.diff(ends))
             sums = lambda v: np.bincount(text, weights=v, minlength=b.num_rows)  # noqa: B023, E731
-            mixed = np.logaddexp(np.log(np.maximum(weight * n / max(1, total), 1e-300)), np.log(1 - weight) + log)
-            score, base = sums(np.where(near, mixed, 0) / np.log(10)), sums(np.where(near, np.log10((n + 0.5) / scale), 0))
+            of, p = n / max(1, total), np.exp(log)
+            score = np.stack([np.add.reduceat(np.where(near, mixture(w, of, log, p), 0), ends[:-1]) for w in WEIGHTS], axis=1) / np.log(10)
+            learned = near & ~np.asarray(b.column("held_out"))[text]
+            base = sums(np.where(near, np.log10((n + 0.5) / scale), 0))
             far = np.concatenate([[0], np.cumsum(~near)])[ends]
-            columns = [b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(ends)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(score), pa.array(sums(log) / np.log(10))]
-            yield pa.RecordBatch.from_arrays([*columns, b.column("rare"), pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(log[~near]))], [x.split()[0] for x in schema.split(", ")])
+            columns = [
+                b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(ends)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base),
+                pa.ListArray.from_arrays(pa.array(many * np.arange(b.num_rows + 1), pa.int32()), pa.array(score.reshape(-1))), pa.array(sums(log) / np.log(10)),
+                pa.ListArray.from_arrays(pa.array([0] + [many] * b.num_rows, pa.int32()), pa.array(likelihoods(n[learned], total, log[learned]))),
+                b.column("rare"), pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(log[~near])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     rows = written(texts.transform(in_arrow, run, schema))
-    far = rows.select("row", F.explode(F.arrays_zip("rare", "logs")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.logs").alias("log"))
-    far = far.join(counts.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    far = rows.select("row", "held_out", F.explode(F.arrays_zip("rare", "logs")).alias("x")).select("row", "held_out", F.col("x.rare").alias("word"), F.col("x.logs").alias("log"))
+    far = written(far.join(counts.select("word", "c"), "word", "left").select("row", "held_out", "log", F.coalesce("c", F.lit(0)).alias("c")))
+
+    fitted = np.log(WEIGHTS) + np.log(1 - WEIGHTS)
+    for r in rows.select(F.posexplode("told")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        fitted[r.pos] += r.n
+    cell, got = summed(far.where("not held_out").select("log", "c"), lambda b: likelihoods(np.asarray(b.column("c")), total, np.asarray(b.column("log"))), iter)
+    fitted[cell] += got
+    best = int(fitted.argmax())
+    weight = float(WEIGHTS[best])
+
     a, b = F.log(F.lit(weight) * F.col("c") / max(1, total)), F.col("log") + F.log(F.lit(1 - weight))
     mixed = F.when(F.col("c") == 0, b).otherwise(F.greatest(a, b) + F.log1p(F.exp(F.least(a, b) - F.greatest(a, b))))
     far = far.groupBy("row").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("more"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(scale))).alias("base"), F.sum(mixed / F.log(F.lit(10.0))).alias("mixed")
     )
-    both = rows.drop("rare", "logs").join(far, "row", "left")
+    both = rows.withColumn("score", F.col("scores")[best]).drop("rare", "logs", "told", "scores").join(far, "row", "left")
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"), "attention_score",
@@ -615,6 +625,5 @@ def score_documents(docs: DataFrame, path: str, lexicon: int = LEXICON) -> DataF
     share = np.concatenate([[ends], np.asarray(top["c"], dtype=np.float64)])
     known = pa.concat_arrays([pa.array([""], pa.string()), *(x.cast(pa.string()) for x in top["word"].chunks)])  # the end's place is the first
     texts = written(tokenized(docs, known, path))
-    train = texts.where("not held_out")
-    lm = fit(train, path)
-    return score_texts(texts, lm, counts, share, int(total.n), int(total.v), word_weight(train, lm, share, int(total.n)))
+    lm = fit(texts.where("not held_out"), path)
+    return score_texts(texts, lm, counts, share, int(total.n), int(total.v))

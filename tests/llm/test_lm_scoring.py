@@ -174,6 +174,22 @@ def test_drawn_windows_are_those_that_score(monkeypatch):
     assert seen > 8 and cuts[-1] == len(flat) and cuts[-1] == cuts[-2]
 
 
+def test_each_window_is_learned_from_in_one_round():
+    begin = np.arange(0, 330_000, 330)
+    got = np.concatenate([lm.drawn(np.arange(len(begin) - 1) + (5 << 40), begin, k) for k in range(lm.ROUNDS)])
+    assert np.sort(got).tolist() == list(range(-(-329 // lm.STRIDE) * (len(begin) - 1)))
+
+
+def test_all_training_words_decide_on_the_weight(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("bcdfghklmnprstvwxz") for _ in range(9)) for _ in range(30)]
+    docs = [(i, " ".join(rng.choices(vocab, k=20))) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    whole, small = ({r.doc_id: r for r in lm.score_documents(frame, PATH, n).collect()} for n in (lm.LEXICON, 3))
+    for d, a in whole.items():
+        assert a.score == pytest.approx(small[d].score, rel=1e-4)
+
+
 def test_words_are_lower_cased_in_ascii_only():
     import pyarrow as pa
 
