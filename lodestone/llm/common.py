@@ -15,17 +15,30 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.shared import checkpoint, shared_dir
 
-__all__ = ["checkpoint", "shared_dir", "table", "written", "in_arrow", "slices", "Words", "words", "hash_strings", "mix", "kgrams", "connected_components"]
+__all__ = ["checkpoint", "settled", "shared_dir", "table", "written", "in_arrow", "slices", "Words", "words", "hash_strings", "mix", "kgrams", "connected_components"]
 
 #: Bytes of text that a Python worker expands into arrays at a time, and bytes of the batches that it is sent.
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
+#: Whether a query that is planned while this is set removes its shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """checkpoint, after which the shuffle files that df was made from are removed: no one reads them again, and garbage collection would leave them for long."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return checkpoint(df.select("*"))  # planned anew, under the setting
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to a compressed table in the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4()}"
@@ -110,18 +123,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before they are joined, so that Spark can split the join's partition of a node with many edges. Null ends and loops are ignored; no edges give no rows.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        least = settled(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        large = checkpoint(large)
-        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = settled(large)
+        low = settled(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         nexts = small.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        edges = checkpoint(nexts.union(low.select("a", F.col("m").alias("b"))).distinct())
+        edges = settled(nexts.union(low.select("a", F.col("m").alias("b"))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

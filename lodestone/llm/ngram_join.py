@@ -9,7 +9,8 @@ all pairs of blocks, but for those of one core, are compared. Each small bucket
 buckets to the target; pairs are counted in the first bucket that they share. A first pass over sketches finds the buckets
 in which a document has a likely partner; the second compares whole sets there, exactly.
 
-Pairs are never written: a bucket gives each document's number of links, and a star for each local component.
+Pairs are never written: a bucket gives each document's number of links, and a star for each local component. Each step is checkpointed, and its shuffle
+files are removed then, so that disk holds those of one step.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, connected_components, in_arrow, kgrams, mix, slices, words
+from lodestone.llm.common import connected_components, in_arrow, kgrams, mix, settled, slices, words
 from lodestone.operators.retrieval import small
 
 SHINGLE = 5
@@ -118,9 +119,9 @@ def buckets(reps: DataFrame, runs: int) -> DataFrame:
     done = None
     for d in range(DEPTH):
         key = f"l{d}"
-        counts = checkpoint(rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"))
+        counts = settled(rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"))
         told = with_heavy(rows, counts.where(F.col("size") > SMALL), key)
-        hot = checkpoint(told.where("size is not null"))
+        hot = settled(told.where("size is not null"))
         ended = told.where("size is null").drop("size").join(counts.where(F.col("size") <= SMALL), key)
         if d == DEPTH - 1:
             ended = ended.unionByName(hot)
@@ -139,8 +140,8 @@ def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
     """rep and grams (its sorted 5-gram hashes) of each of reps(rep)."""
-    wanted = checkpoint(classes.join(reps.distinct(), "rep").select("rep", "key_a", "key_b", F.col("w.doc_id").alias("of")))
-    of = small(checkpoint(wanted.select(F.col("of").alias("doc_id")).distinct()))  # few ids are broadcast, so that documents aren't shuffled
+    wanted = settled(classes.join(reps.distinct(), "rep").select("rep", "key_a", "key_b", F.col("w.doc_id").alias("of")))
+    of = small(settled(wanted.select(F.col("of").alias("doc_id")).distinct()))  # few ids are broadcast, so that documents aren't shuffled
     texts = docs.join(of, "doc_id", "left_semi").select("text")
     sets = texts.transform(in_arrow, grams, "key_a long, key_b long, grams binary")
     return sets.join(wanted.drop("of"), ["key_a", "key_b"]).groupBy("rep").agg(F.first("grams").alias("grams"))
@@ -149,11 +150,11 @@ def sets_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
 def cores(found: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """rep and core (the least set of a large bucket that it is close to) of each set that is in a core; no rows without large buckets."""
     big = found.where(F.col("size") > SMALL).select("rep", "bucket")
-    least = checkpoint(big.groupBy("bucket").agg(F.min("rep").alias("core")))
-    pairs = checkpoint(big.join(least, "bucket").groupBy("rep").agg(F.min("core").alias("core")))
+    least = settled(big.groupBy("bucket").agg(F.min("rep").alias("core")))
+    pairs = settled(big.join(least, "bucket").groupBy("rep").agg(F.min("core").alias("core")))
     if pairs.isEmpty():
         return pairs
-    sets = checkpoint(sets_of(docs, classes, pairs.select("rep").union(pairs.select("core"))))
+    sets = settled(sets_of(docs, classes, pairs.select("rep").union(pairs.select("core"))))
     both = pairs.join(sets, "rep").join(sets.toDF("core", "center"), "core")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def cores(found: DataFrame, docs: DataFrame, classes: DataFrame, similarity: flo
                 ok.append(common >= (1 + similarity) / 2 * (len(x) + len(y) - common) + 1e-9)
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("core")], ["rep", "core"]).filter(pa.array(ok, pa.bool_()))
 
-    return checkpoint(both.select("rep", "core", "grams", "center").transform(in_arrow, close, "rep long, core long"))
+    return settled(both.select("rep", "core", "grams", "center").transform(in_arrow, close, "rep long, core long"))
 
 
 def cells(found: DataFrame, core: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def cells(found: DataFrame, core: DataFrame) -> DataFrame:
     n = rows.groupBy("bucket", "core").agg(F.count("*").alias("n")).withColumn("part", F.when(F.col("n") >= BLOCK, F.col("core")).otherwise(-1))
     blocks = n.groupBy("bucket", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n"))
     blocks = blocks.select("bucket", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), "n")
-    layout = checkpoint(blocks.groupBy("bucket").agg(F.collect_list(F.struct("part", "k")).alias("blocks"), F.map_from_entries(F.collect_set(F.struct("part", "n"))).alias("n")))
+    layout = settled(blocks.groupBy("bucket").agg(F.collect_list(F.struct("part", "k")).alias("blocks"), F.map_from_entries(F.collect_set(F.struct("part", "n"))).alias("n")))
     rows = rows.join(layout, "bucket")
     part = F.when(F.map_contains_key("n", F.col("core")), F.col("core")).otherwise(-1)
     rows = rows.withColumn("part", part).withColumn("k", F.pmod(F.xxhash64("rep", "bucket"), F.col("n")[F.col("part")]).cast("int"))
@@ -297,12 +298,12 @@ def classified(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     runs = runs_for(similarity, recall)
     docs = docs.select("doc_id", "text")
     keys = ["key_a", "key_b"]
-    sk = checkpoint(sketches(docs.where("doc_id is not null"), runs))
+    sk = settled(sketches(docs.where("doc_id is not null"), runs))
     whole = F.struct("doc_id", "sketch", "paths")
-    classes = checkpoint(sk.groupBy(*keys).agg(F.min_by(whole, "doc_id").alias("w"), F.count("*").alias("copies")))
+    classes = settled(sk.groupBy(*keys).agg(F.min_by(whole, "doc_id").alias("w"), F.count("*").alias("copies")))
     classes = classes.withColumn("rep", F.monotonically_increasing_id())  # of rows that are written: the same whenever it is asked
     reps = classes.select("rep", "w.sketch", "w.paths", "copies")
-    found = checkpoint(buckets(reps, runs))
+    found = settled(buckets(reps, runs))
     met = found.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "bucket"))).alias("m"))
     met = met.select("rep", F.array(*(F.coalesce(F.try_element_at("m", F.lit(r)), F.lit(0)) for r in range(runs))).alias("met"))
     core = cores(found, docs.where("doc_id is not null"), classes, similarity)
@@ -310,18 +311,18 @@ def classified(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     rows = rows.repartition("cell").sortWithinPartitions("cell", "rep")
     margin = 4 * math.sqrt(similarity * (1 - similarity) / MINIMA)
     likely_schema = "cell long, rep long, run int, core long, side int, crossed boolean, met array<long>, copies long"
-    near = checkpoint(rows.transform(in_arrow, lambda it: likely(it, similarity - margin), likely_schema))
+    near = settled(rows.transform(in_arrow, lambda it: likely(it, similarity - margin), likely_schema))
     sets = sets_of(docs, classes, near.select("rep"))
     checked = near.join(sets, "rep").repartition("cell").sortWithinPartitions("cell", "rep")
-    links = checkpoint(checked.transform(in_arrow, lambda it: linked(it, similarity), "rep long, links long, least long"))
+    links = settled(checked.transform(in_arrow, lambda it: linked(it, similarity), "rep long, links long, least long"))
     edges = links.select(F.col("rep").alias("a"), F.col("least").alias("b")).union(core.select("rep", "core"))
-    parts = checkpoint(connected_components(edges).withColumnRenamed("node", "rep"))
+    parts = settled(connected_components(edges).withColumnRenamed("node", "rep"))
     inner = core.join(classes.select("rep", "copies"), "rep")
-    inner = inner.join(checkpoint(inner.groupBy("core").agg(F.sum("copies").alias("all"))), "core").select("rep", (F.col("all") - F.col("copies")).alias("links"))
+    inner = inner.join(settled(inner.groupBy("core").agg(F.sum("copies").alias("all"))), "core").select("rep", (F.col("all") - F.col("copies")).alias("links"))
     total = links.select("rep", "links").union(inner).groupBy("rep").agg(F.sum("links").alias("links"))
     of = classes.select("rep", *keys, "copies", F.col("w.doc_id").alias("least")).join(total, "rep", "left").join(parts, "rep", "left")
     ids = of.where("component is not null").groupBy("component").agg(F.min("least").alias("class_id"))
-    of = of.join(checkpoint(ids), "component", "left")
+    of = of.join(settled(ids), "component", "left")
     of = of.select(*keys, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"))
     return sk.select("doc_id", "text_hash", *keys).join(of, keys).select("doc_id", "text_hash", "class_id", "n_links")
 
@@ -332,5 +333,5 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999)
     Rows with a null id, and texts that are null or have no word, stay; rows that repeat one id and text stay or go together; of an id
     with several texts each is judged by its own. An empty table gives no rows; other columns are kept as they are."""
     gone = classified(docs, similarity, recall).where("doc_id <> class_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    gone = checkpoint(gone.distinct())
+    gone = settled(gone.distinct())
     return docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti").select(*docs.columns)

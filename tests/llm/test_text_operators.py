@@ -1,4 +1,5 @@
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lodestone.llm import decontam, langid, line_dedup, ngram_join
+from lodestone.llm.common import connected_components
 from lodestone.llm.queries import NGRAM_SQL
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, class_id string, removed string"
@@ -294,6 +296,22 @@ def test_ngram_join_of_one_id_with_several_texts(spark):
     assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each(frame(spark, rows)).collect()) == sorted([(1, a), (1, b)])
 
 
+def test_components_leave_no_shuffle_files_of_their_rounds(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    before = files()
+    parts = connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
+    for _ in range(20):  # they are removed in the background
+        left = {name.split("_")[1] for name in files() - before}
+        if len(left) <= 12:
+            break
+        time.sleep(0.5)
+    assert len(left) <= 12  # one of each round's sum of edges
+    assert {(r.node, r.component) for r in parts.collect()} == {(i, 0) for i in range(61)}
+
+
 def test_ngram_join_deals_many_large_nodes_by_salts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 8)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
