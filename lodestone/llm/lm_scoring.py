@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, in_arrow, mix, slices, words, written
+from lodestone.llm.common import hash_strings, in_arrow, mix, slices, words, written
 
 #: Frequent words whose counts are broadcast; those of others are joined, with the same result.
 LEXICON = 200_000
@@ -58,26 +58,51 @@ def held_out() -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c of all texts; the end of a text counts as the word ''."""
+    """word, c of all texts; the end of a text counts as the word ''. What is shuffled are blocks of words of the same bucket by hash."""
+    buckets, schema = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pa.schema([("word", pa.string()), ("c", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 w = words(b.column("text"))
                 n = np.append(np.bincount(w.codes, minlength=len(w.vocab)), b.num_rows)
-                held.append(pa.table({"word": pa.concat_arrays([w.vocab, pa.array([""], pa.string())]), "c": pa.array(n, pa.int64())}))
-                if sum(map(len, held)) > 400_000:
-                    yield from added(held).to_batches()
-                    held = []
+                yield pa.table({"word": pa.concat_arrays([w.vocab, pa.array([""], pa.string())]), "c": pa.array(n, pa.int64())})
+
+    def added(tables: Iterator[pa.Table], most: int) -> Iterator[pa.Table]:
+        """One table of all words, or some, once more than `most` are held."""
+        held: list[pa.Table] = []
+        for t in tables:
+            held.append(t)
+            if sum(map(len, held)) > most:
+                held = [merged(held)]
+                if len(held[0]) > most // 2:
+                    yield held.pop()
         if held:
-            yield from added(held).to_batches()
+            yield merged(held)
 
-    def added(held: list[pa.Table]) -> pa.Table:
+    def merged(held: list[pa.Table]) -> pa.Table:
         t = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
-        return pa.table({"word": t["word"], "c": t["c_sum"]})
+        return pa.table({"word": t["word"], "c": t["c_sum"]}, schema=schema).combine_chunks()
 
-    return docs.select("text").transform(in_arrow, run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in added(counted(batches), 400_000):
+            order, some = by_group((hash_strings(t["word"].combine_chunks()) % np.uint64(buckets)).astype(np.int64), buckets)
+            b = t.take(pa.array(order)).combine_chunks().to_batches()[0]
+            blocks = [b.slice(at.start, at.stop - at.start).serialize() for _, at in some]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int32()), pa.array([x.to_pybytes() for x in blocks], pa.binary())], ["bucket", "block"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = (pa.Table.from_batches([pa.ipc.read_record_batch(x.as_buffer(), schema)]) for b in batches for x in b.column("block"))
+        held: dict[int, pa.Table] = {}  # by size, so that each word is merged few times
+        for t in blocks:
+            while (size := len(t).bit_length()) in held:
+                t = merged([held.pop(size), t])
+            held[size] = t
+        if held:
+            yield from merged(list(held.values())).to_batches()
+
+    rows = docs.select("text").transform(in_arrow, run, "bucket int, block binary")
+    return rows.repartition(buckets, "bucket").transform(in_arrow, add, "word string, c long")
 
 
 class Subwords:
@@ -174,7 +199,13 @@ def window_rows(symbols: np.ndarray, starts: np.ndarray, rows: np.ndarray, learn
 
 def tokenized(docs: DataFrame, lexicon: pa.Array, path: str) -> DataFrame:
     """TEXT_SCHEMA: of each row of docs the symbols of its words, the words' places in the lexicon (-1: outside), and the words outside, in their order."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def lists(vocab: pa.Array) -> pa.ListArray:
+        flat, size = word_symbols(vocab.to_pylist(), path)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
+
+    empty = pa.array([[]], pa.list_(pa.int32()))  # the end, the first of the lexicon, has no symbols
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, pa.concat_arrays([empty, lists(lexicon[1:])])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -182,11 +213,13 @@ def tokenized(docs: DataFrame, lexicon: pa.Array, path: str) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 w = words(b.column("text"))
-                flat, size = word_symbols(w.vocab.to_pylist(), path)
-                each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
-                symbols = np.asarray(each.take(pa.array(w.codes)).flatten())
-                at = np.concatenate([[0], np.cumsum(size[w.codes])])
-                place = np.asarray(pc.fill_null(pc.index_in(w.vocab, value_set=shared.value), -1), dtype=np.int32)[w.codes]
+                known, ready = shared.value
+                place = np.asarray(pc.fill_null(pc.index_in(w.vocab, value_set=known), -1), dtype=np.int32)
+                new = place < 0
+                each = pa.concat_arrays([ready, lists(w.vocab.filter(pa.array(new)))])
+                of = np.where(new, len(known) - 1 + np.cumsum(new), place)[w.codes]
+                at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(each), dtype=np.int64)[of])])
+                symbols, place = np.asarray(each.take(pa.array(of)).flatten()), place[w.codes]
                 far = np.concatenate([[0], np.cumsum(place < 0)])
                 rare = pa.ListArray.from_arrays(pa.array(far[w.starts], pa.int32()), w.vocab.take(pa.array(w.codes[place < 0])))
                 columns = [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), b.column("held_out"), blobs(symbols, at[w.starts]), blobs(place, w.starts), rare]
@@ -250,109 +283,155 @@ OFFSET = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(KEYS)[None]
 CAUSAL = OFFSET >= 0
 FAR = np.maximum(OFFSET, 0)
 LIMIT = np.float32(30)
-ONES = np.ones((CLASSES, 1), np.float32)
+#: Windows that attention takes at a time, so that their weights stay in the cache.
+BLOCK = 32
 
 
 def by_head(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Queries, keys and values of classes, heads first; the last class stands for no symbol, and the last value is 1 for any other. And what offsets add to scores."""
-    none = lambda x: np.ascontiguousarray(np.pad(x, ((0, 1), (0, 0), (0, 0))).transpose(1, 0, 2))
-    value = np.pad(p["value"], ((0, 0), (0, 0), (0, 1)), constant_values=1)
-    return none(p["query"]), none(p["key"]), none(value), np.where(CAUSAL, p["offset"][:, FAR], np.float32(-1e9))[:, None]
+    classes = len(p["query"])
+    query, key, value = (np.zeros((HEADS, classes + 1, n), np.float32) for n in (DIM, DIM, VALUE + 1))
+    query[:, :-1], key[:, :-1], value[:, :-1, :VALUE] = (p[k].transpose(1, 0, 2) for k in ("query", "key", "value"))
+    value[:, :-1, VALUE] = 1
+    return query, key, value, np.where(CAUSAL, np.take(p["offset"], FAR, axis=1), np.float32(-1e9))[:, None]
 
 
-def attend(heads: tuple[np.ndarray, ...], keys: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Attention weights before they are divided by their sums (HEADS x windows x STRIDE x KEYS), the sums, queries, keys, values and what the heads gather.
+def attend(heads: tuple[np.ndarray, ...], keys: np.ndarray, gathered: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Attention weights before they are divided by their sums (HEADS x windows x STRIDE x KEYS), the sums, queries, keys and values. What the heads gather is put into `gathered`.
 
-    Scores are LIMIT at most, so that no greatest one needs to be found."""
+    The key of a place without symbol is the last class. Scores are LIMIT at most, so that no greatest one needs to be found."""
     query, key, value, offset = heads
-    keys = np.where(there, keys, query.shape[1] - 1)
-    q, k, v = query[:, keys[:, CONTEXT:]], key[:, keys], value[:, keys]
-    a = q @ k.transpose(0, 1, 3, 2)
+    q, k, v = np.take(query, keys[:, CONTEXT:], axis=1), np.take(key, keys, axis=1), np.take(value, keys, axis=1)
+    a = q @ np.ascontiguousarray(k.transpose(0, 1, 3, 2))
     a += offset
-    np.minimum(a, LIMIT, out=a)
-    np.exp(a, out=a)
-    g = a @ v
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(a, out=a)
+        g = a @ v
+    if not (g[..., VALUE] < np.exp(LIMIT)).all():  # else no score is above it
+        np.minimum(a, np.exp(LIMIT), out=a)
+        g = a @ v
     total = g[..., VALUE:] + np.float32(1e-30)
-    return a, total, q, k, v, (g[..., :VALUE] / total).transpose(1, 2, 0, 3).reshape(-1, HEADS * VALUE)
-
-
-def normalised(z: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-    """The softmax of the rows of z, or the log of it at the columns `own`. Logits are 2 * LIMIT at most. z is changed."""
-    np.minimum(z, 2 * LIMIT, out=z)
-    told = None if own is None else z[np.arange(len(z)), own]
-    np.exp(z, out=z)
-    total = z @ ONES[: z.shape[1]] + np.float32(1e-30)
-    if own is None:
-        z /= total
-        return z
-    return told - np.log(total[:, 0])
-
-
-def logits(out: np.ndarray, bias: np.ndarray, table: np.ndarray, last: np.ndarray, gathered: np.ndarray) -> np.ndarray:
-    """Of all groups, or of the classes of a group, at each place: from the class before it and what attention gathers."""
-    z = gathered @ out
-    z += np.take(table, last, axis=0)
-    z += bias
+    np.divide(g[..., :VALUE], total, out=gathered.reshape(len(keys), STRIDE, HEADS, VALUE).transpose(2, 0, 1, 3))
+    return a, total, q, k, v
+
+
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """The sums of the rows of exp(z), which z becomes. Logits are 2 * LIMIT at most."""
+    ones = np.ones(z.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+        total = z @ ones
+    if not (total < np.exp(2 * LIMIT)).all():  # else no logit is above it
+        np.minimum(z, np.exp(2 * LIMIT), out=z)
+        total = z @ ones
+    return total + np.float32(1e-30)
+
+
+def log_shares(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log of the softmax of the rows of z at the columns `own`. z is changed."""
+    told = np.minimum(np.take(z, np.arange(len(z)) * z.shape[1] + own), 2 * LIMIT)
+    return told - np.log(exponentials(z))
+
+
+def slopes(z: np.ndarray, own: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The softmax of the rows of z less 1 at the columns `own`, times the rows' shares. z is changed."""
+    z *= (share / exponentials(z))[:, None]
+    at = np.arange(len(z)) * z.shape[1] + own
+    np.put(z, at, np.take(z, at) - share)
     return z
 
 
-def by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of each group that occurs."""
+def by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The places in the order of their groups, and where each group that occurs lies in it."""
     order = np.argsort(group.astype(np.int16), kind="stable")  # small numbers are sorted by their digits
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
-    for g in range(GROUPS):
-        if cuts[g] < cuts[g + 1]:
-            yield g, order[cuts[g] : cuts[g + 1]]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))]).tolist()
+    return order, [(g, slice(a, b)) for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+
+
+def sums_by_class(x: np.ndarray, of: np.ndarray, classes: int, part: int = 16) -> np.ndarray:
+    """The sum of the rows of x of each class: products with the classes' indicators, by parts of the classes."""
+    out = np.zeros((-(-classes // part), part, x.shape[1]), np.float32)
+    order, parts = by_group(of // part, len(out))
+    x, own = np.take(x, order, axis=0), np.take(np.eye(part, dtype=np.float32), np.take(of, order) % part, axis=0)
+    for n, at in parts:
+        np.matmul(own[at].T, x[at], out=out[n])
+    return out.reshape(-1, x.shape[1])[:classes]
 
 
 def gradients(lm: Lm, p: dict[str, np.ndarray], keys: np.ndarray, there: np.ndarray, goal: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss (the negative log probability of the goal classes) by each parameter."""
-    a, total, q, k, v, gathered = attend(by_head(p), keys, there)
-    a *= there[:, None] / total
-    size, last, goal = p["bias"].shape[1], keys[:, CONTEXT:].reshape(-1), goal.reshape(-1)
-    share = (real.reshape(-1, 1) / max(1, real.sum())).astype(np.float32)
-    g = {k: np.zeros_like(x) for k, x in p.items()}
-    d = normalised(logits(p["group_out"], p["group_bias"], lm.groups, last, gathered))
-    d[np.arange(len(d)), goal // size] -= 1
-    d *= share
-    g["group_out"], g["group_bias"] = gathered.T @ d, d.sum(0)
+    heads, n, classes, (groups, width, size) = by_head(p), len(keys) * STRIDE, len(p["query"]), p["out"].shape
+    last, goal = keys[:, CONTEXT:].reshape(-1), goal.reshape(-1)
+    keys = np.where(there, keys, classes)
+    share = (real.reshape(-1) / max(1, real.sum())).astype(np.float32)
+    told = np.ones((n, width + 1), np.float32)  # what is gathered, and 1 for the bias
+    gathered = told[:, :width]
+    blocks = [(slice(i, i + BLOCK), slice(i * STRIDE, (i + BLOCK) * STRIDE)) for i in range(0, len(keys), BLOCK)]
+    kept = [attend(heads, keys[some], gathered[at]) for some, at in blocks]
+    g = {}
+
+    weights = np.concatenate([p["group_out"], p["group_bias"][None]])
+    z = told @ weights
+    z += np.take(lm.groups, last, axis=0)
+    d = slopes(z, goal // size, share)
+    both = told.T @ d
+    g["group_out"], g["group_bias"] = both[:width], both[width]
     back = d @ p["group_out"].T
-    for n, at in by_group(goal // size):
-        some = gathered[at]
-        d = normalised(logits(p["out"][n], p["bias"][n], lm.table[n], last[at], some))
-        d[np.arange(len(at)), goal[at] % size] -= 1
-        d *= share[at]
-        g["out"][n], g["bias"][n] = some.T @ d, d.sum(0)
-        back[at] += d @ p["out"][n].T
-    dg = back.reshape(len(keys), STRIDE, HEADS, VALUE).transpose(2, 0, 1, 3)
-    da = dg @ v[..., :VALUE].transpose(0, 1, 3, 2)
-    ds = a * (da - (da * a).sum(3, keepdims=True))
-    by_offset = (ds.sum(1) * CAUSAL).reshape(HEADS, -1)
-    g["offset"] = np.stack([np.bincount(FAR.ravel(), weights=x, minlength=KEYS) for x in by_offset])
-    rows = {"query": (ds @ k, keys[:, CONTEXT:]), "key": (ds.transpose(0, 1, 3, 2) @ q, keys), "value": (a.transpose(0, 1, 3, 2) @ dg, keys)}
-    for name, (x, at) in rows.items():
-        x, at = x.transpose(1, 2, 0, 3).reshape(at.size, -1), at.reshape(-1)
-        order = np.argsort(at.astype(np.int16), kind="stable")
-        at = at[order]
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        g[name].reshape(len(g[name]), -1)[at[cut]] = np.add.reduceat(x[order], cut, axis=0)
+
+    weights, both = np.concatenate([p["out"], p["bias"][:, None]], axis=1), np.zeros((groups, width + 1, size), np.float32)
+    order, parts = by_group(goal // size, groups)
+    told_by, own = np.take(told, order, axis=0), np.take(goal, order)
+    z = np.empty((n, size), np.float32)
+    for m, at in parts:
+        np.matmul(told_by[at], weights[m], out=z[at])
+    z += np.take(lm.table.reshape(-1, size), own // size * classes + np.take(last, order), axis=0)
+    d, more = slopes(z, own % size, np.take(share, order)), np.empty((n, width), np.float32)
+    for m, at in parts:
+        np.matmul(told_by[at].T, d[at], out=both[m])
+        np.matmul(d[at], p["out"][m].T, out=more[at])
+    g["out"], g["bias"] = both[:, :width], both[:, width]
+    to = np.empty_like(order)
+    to[order] = np.arange(n)
+    back += np.take(more, to, axis=0)
+
+    dg = np.empty((len(keys), STRIDE, HEADS, VALUE + 1), np.float32)
+    less = ((back * gathered).reshape(-1, VALUE) @ np.ones(VALUE, np.float32)).reshape(dg.shape[:3])
+    over = 1 / np.concatenate([total for _, total, *_ in kept], axis=1)[..., 0].transpose(1, 2, 0)
+    np.multiply(back.reshape(*dg.shape[:3], VALUE), over[..., None], out=dg[..., :VALUE])
+    np.multiply(less, -over, out=dg[..., VALUE])
+    dg = dg.transpose(2, 0, 1, 3)
+    x, by_offset = np.zeros((len(keys), KEYS, HEADS, 2 * DIM + VALUE), np.float32), np.zeros((HEADS, STRIDE * KEYS), np.float32)
+    by_key = x.transpose(2, 0, 1, 3)
+    for (some, _), (a, _, q, k, v) in zip(blocks, kept, strict=True):
+        down, to = dg[:, some], by_key[:, some]
+        ds = down @ v.transpose(0, 1, 3, 2)
+        ds *= a
+        by_offset += np.ones(ds.shape[1], np.float32) @ ds.reshape(HEADS, ds.shape[1], -1)
+        to[:, :, CONTEXT:, :DIM] = ds @ k
+        to[..., DIM : 2 * DIM] = ds.transpose(0, 1, 3, 2) @ q
+        to[..., 2 * DIM :] = a.transpose(0, 1, 3, 2) @ down[..., :VALUE]
+    g["offset"] = np.stack([np.bincount(FAR.ravel(), weights=y, minlength=KEYS) for y in by_offset * CAUSAL.reshape(-1)])
+    x = sums_by_class(x.reshape(keys.size, -1), keys.reshape(-1), classes + 1)[:classes].reshape(classes, HEADS, -1)
+    g["query"], g["key"], g["value"] = x[..., :DIM], x[..., DIM : 2 * DIM], x[..., 2 * DIM :]
     return g
 
 
 class Adam:
-    """Steps on p, in place."""
+    """Steps on a vector, in place."""
 
-    def __init__(self, p: dict[str, np.ndarray], rate: float) -> None:
-        self.p, self.rate, self.steps = p, rate, 0
-        self.mean, self.square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    def __init__(self, w: np.ndarray, rate: float) -> None:
+        self.w, self.rate, self.steps = w, rate, 0
+        self.mean, self.square, self.up, self.down = (np.zeros_like(w) for _ in range(4))
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def step(self, g: np.ndarray) -> None:
         self.steps += 1
-        for k, w in self.p.items():
-            m, s = self.mean[k], self.square[k]
-            m += 0.1 * (g[k] - m)
-            s += 0.01 * (g[k] ** 2 - s)
-            w -= (self.rate / (1 - 0.9**self.steps)) * m / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)
+        m, s, up, down = self.mean, self.square, self.up, self.down
+        m += np.multiply(np.subtract(g, m, out=up), 0.1, out=up)
+        s += np.multiply(np.subtract(np.square(g, out=up), s, out=up), 0.01, out=up)
+        np.sqrt(np.multiply(s, 1 / (1 - 0.99**self.steps), out=down), out=down)
+        down += 1e-8
+        np.divide(np.multiply(m, self.rate / (1 - 0.9**self.steps), out=up), down, out=up)
+        self.w -= up
 
 
 def packed(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -362,7 +441,7 @@ def packed(p: dict[str, np.ndarray]) -> np.ndarray:
 def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out
 
@@ -376,20 +455,21 @@ def learn(texts: DataFrame, lm: Lm, turn: int, slots: int = 16) -> dict[str, np.
         lm, task = shared.value, TaskContext.get()
         number = task.partitionId() if task else 0
         rng = np.random.default_rng([turn, number])
-        p = {k: v.copy() for k, v in lm.p.items()}
-        adam, pool, held, total = Adam(p, RATE * (1 - 0.7 * turn / ROUNDS)), [], 0, 0
+        flat = packed(lm.p)
+        p = unpacked(flat, lm.p)  # parts of flat
+        adam, pool, held, total = Adam(flat, RATE * (1 - 0.7 * turn / ROUNDS)), [], 0, 0
 
         def take() -> None:
             keys, there, goal, real = (np.concatenate(c) for c in zip(*pool, strict=True))
             order = rng.permutation(len(keys))
             for i in range(0, len(order), STEP):
                 at = order[i : i + STEP]
-                adam.step(gradients(lm, p, keys[at], there[at], goal[at], real[at]))
+                adam.step(packed(gradients(lm, p, keys[at], there[at], goal[at], real[at])).astype(np.float32, copy=False))
             pool.clear()
 
         for b in parts(batches):
-            flat, starts = numbers(b.column("symbols"))
-            got = window_rows(flat, starts, np.asarray(b.column("row")), np.ones(b.num_rows, bool), len(lm.of) - 2, [turn])[0]
+            symbols, starts = numbers(b.column("symbols"))
+            got = window_rows(symbols, starts, np.asarray(b.column("row")), np.ones(b.num_rows, bool), len(lm.of) - 2, [turn])[0]
             got = got.reshape(-1, KEYS + 2)[:, 1:]
             for i in range(0, len(got), POOL):
                 there, x = got[i : i + POOL] >= 0, lm.of[got[i : i + POOL]].astype(np.int32)
@@ -401,7 +481,7 @@ def learn(texts: DataFrame, lm: Lm, turn: int, slots: int = 16) -> dict[str, np.
         if pool:
             take()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([number % slots], pa.int32()), pa.array([total], pa.int64()), pa.array([(packed(p) * np.float64(total)).tobytes()], pa.binary())], ["slot", "n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([number % slots], pa.int32()), pa.array([total], pa.int64()), pa.array([(flat * np.float64(total)).tobytes()], pa.binary())], ["slot", "n", "p"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size), 0
@@ -417,21 +497,35 @@ def learn(texts: DataFrame, lm: Lm, turn: int, slots: int = 16) -> dict[str, np.
     return unpacked(sum(np.frombuffer(bytes(r.p)) for r in got) / n, lm.p) if n else lm.p
 
 
-def symbol_logs(lm: Lm, x: np.ndarray, begin: np.ndarray, block: int = 32, many: int = 512) -> np.ndarray:
+def symbol_logs(lm: Lm, x: np.ndarray, begin: np.ndarray, block: int = BLOCK, many: int = 512) -> np.ndarray:
     """The log probability of each place's class given those before it; 0 at BOS. Windows are laid out `many` at a time."""
     out = np.zeros(len(x))
     number = int((-(-(np.diff(begin) - 1) // STRIDE)).sum())
-    p, size, heads = lm.p, lm.p["bias"].shape[1], by_head(lm.p)
+    p, heads, (groups, width, size) = lm.p, by_head(lm.p), lm.p["out"].shape
+    group_table, table = lm.groups + p["group_bias"], (lm.table + p["bias"][:, None]).reshape(-1, size)
     for low in range(0, number, many):
         keys, there, goal, real = windows(x, begin, np.arange(low, min(low + many, number)))
-        gathered = np.concatenate([attend(heads, keys[i : i + block], there[i : i + block])[-1] for i in range(0, len(keys), block)])
-        last, own = keys[:, CONTEXT:].reshape(-1), x[goal].reshape(-1)
-        log = np.empty(len(own))
-        for i in range(0, len(own), 4096):
+        last, own, n = keys[:, CONTEXT:].reshape(-1), x[goal].reshape(-1), goal.size
+        keys = np.where(there, keys, len(p["query"]))
+        gathered = np.empty((n, width), np.float32)
+        for i in range(0, len(keys), block):
+            attend(heads, keys[i : i + block], gathered[i * STRIDE : (i + block) * STRIDE])
+        group, log = own // size, np.empty(n, np.float32)
+        for i in range(0, n, 4096):
+            part = slice(i, i + 4096)
+            z = gathered[part] @ p["group_out"]
+            z += np.take(group_table, last[part], axis=0)
+            log[part] = log_shares(z, group[part])
+        order, parts = by_group(group, groups)
+        gathered, last, own = np.take(gathered, order, axis=0), np.take(last + group * len(p["query"]), order), np.take(own % size, order)
+        z, more = np.empty((n, size), np.float32), np.empty(n, np.float32)
+        for m, at in parts:
+            np.matmul(gathered[at], p["out"][m], out=z[at])
+        for i in range(0, n, 4096):
             part = slice(i, i + 4096)
-            log[part] = normalised(logits(p["group_out"], p["group_bias"], lm.groups, last[part], gathered[part]), own[part] // size)
-        for n, some in by_group(own // size):
-            log[some] += normalised(logits(p["out"][n], p["bias"][n], lm.table[n], last[some], gathered[some]), own[some] % size)
+            z[part] += np.take(table, last[part], axis=0)
+            more[part] = log_shares(z[part], own[part])
+        log[order] += more
         out[goal[real]] = log.reshape(goal.shape)[real]
     return out
 
@@ -482,19 +576,39 @@ def grouped(both: np.ndarray, rounds: int = 12) -> np.ndarray:
     return np.concatenate([np.sort(part) for part in parts])
 
 
-def summed(texts: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = parts) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of count over all parts of texts: the cells that are not 0, which Spark adds up, and their sums."""
+def summed(texts: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = parts, slots: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of count over all parts of texts: the cells that are not 0, and their sums. Each of `slots` adds up a part of the cells."""
+    kind = "slot int, cell binary, n binary"
+
+    def row(slot: int, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([cell.astype(np.int32).tobytes()], pa.binary()), pa.array([n.astype(np.float64).tobytes()], pa.binary())], ["slot", "cell", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in cut(batches):
             got = count(b)
             total = got if total is None else total + got
-        some = np.flatnonzero(total) if total is not None else np.zeros(0, int)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some] if len(some) else np.zeros(0), pa.float64())], ["cell", "n"])
+        if total is not None:
+            some = np.flatnonzero(total)
+            for k in range(slots):
+                cell = some[some % slots == k]  # neighbours, which are often alike in frequency, go to different slots
+                if len(cell):
+                    yield row(k, cell, total[cell])
 
-    got = texts.transform(in_arrow, run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    return np.asarray(got["cell"], dtype=np.int64), np.asarray(got["n"], dtype=np.float64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0)
+        for b in batches:
+            for x, y in zip(b.column("cell"), b.column("n"), strict=True):
+                cell = np.frombuffer(x.as_buffer(), np.int32)
+                total = np.pad(total, (0, max(0, int(cell[-1]) + 1 - len(total))))
+                total[cell] += np.frombuffer(y.as_buffer())
+        some = np.flatnonzero(total)
+        if len(some):
+            yield row(0, some, total[some])
+
+    got = texts.transform(in_arrow, run, kind).repartition(slots, "slot").transform(in_arrow, add, kind).collect()
+    joined = lambda k, of: np.concatenate([np.zeros(0, of), *(np.frombuffer(bytes(r[k]), of) for r in got)])
+    return joined("cell", np.int32), joined("n", np.float64)
 
 
 def fit(texts: DataFrame, path: str) -> Lm:
@@ -530,19 +644,28 @@ def fit(texts: DataFrame, path: str) -> Lm:
     return lm
 
 
-def mixture(weight: float, share: np.ndarray, log: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The log of words' probabilities p (whose logarithms are given, too) mixed with their shares."""
-    with np.errstate(divide="ignore"):
-        out = np.log(weight * share + (1 - weight) * p)
-        low = np.flatnonzero(p < 1e-290)
-        out[low] = np.logaddexp(np.log(weight * share[low]), np.log(1 - weight) + log[low])
-    return out
+def mixtures(share: np.ndarray, log: np.ndarray, starts: np.ndarray, block: int = 128) -> np.ndarray:
+    """By each of WEIGHTS, from each start to the next one, the sum of the logs of words' probabilities (whose logarithms are given) mixed with their shares.
+
+    The greater of both is taken out of a mixture, which then is at least the smallest of WEIGHTS and of what they leave, so that the product of a block of words is a number: one logarithm is taken of each."""
+    p = np.exp(log)
+    above = share > p
+    greatest = np.where(above, np.log(np.where(above, share, 1)), log)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        less = np.where(above, p / np.where(above, share, 1), 1)
+        step = np.where(above, 1 - less, np.nan_to_num(share / p) - 1)
+    cuts = np.union1d(starts, np.arange(0, len(log), block))
+    to, out, y = np.searchsorted(cuts, starts), np.empty((len(starts), len(WEIGHTS))), np.empty_like(p)
+    for i, w in enumerate(WEIGHTS):
+        np.multiply(step, w, out=y)
+        y += less
+        out[:, i] = np.add.reduceat(np.log(np.multiply.reduceat(y, cuts)), to)
+    return out + np.add.reduceat(greatest, starts)[:, None]
 
 
 def likelihoods(n: np.ndarray, total: int, log: np.ndarray) -> np.ndarray:
     """By each of WEIGHTS, the log likelihood of words of training texts, of whose counts n their own occurrence is left out."""
-    left, p = np.maximum(n - 1, 0) / max(1, total), np.exp(log)
-    return np.array([mixture(w, left, log, p).sum() for w in WEIGHTS])
+    return mixtures(np.maximum(n - 1, 0) / max(1, total), log, np.zeros(1, np.int64))[0] if len(n) else np.zeros(len(WEIGHTS))
 
 
 def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray, total: int, distinct: int) -> DataFrame:
@@ -550,7 +673,7 @@ def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray,
 
     A null text is empty: its end is its one token. Whole texts are scored. Rows that repeat, null ids and other
     columns change nothing; an empty table gives no rows. score is the log10 probability of the words and the end,
-    attention_score that of attention alone. share: the counts of the lexicon, of which the first is the end's.
+    attention_score that of attention alone. share: the counts of the lexicon, of which the first is the end's; counts: those of all other words.
     The weight of words' shares is the one of WEIGHTS that gives all training texts the greatest likelihood.
     """
     shared = texts.sparkSession.sparkContext.broadcast((lm, share))
@@ -568,8 +691,7 @@ def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray,
             n = np.append(c, 0.0)[own]
             text = np.repeat(np.arange(b.num_rows), np.diff(ends))
             sums = lambda v: np.bincount(text, weights=v, minlength=b.num_rows)  # noqa: B023, E731
-            of, p = n / max(1, total), np.exp(log)
-            score = np.stack([np.add.reduceat(np.where(near, mixture(w, of, log, p), 0), ends[:-1]) for w in WEIGHTS], axis=1) / np.log(10)
+            score = mixtures(np.where(near, n / max(1, total), 1), np.where(near, log, 0), ends[:-1]) / np.log(10)
             learned = near & ~np.asarray(b.column("held_out"))[text]
             base = sums(np.where(near, np.log10((n + 0.5) / scale), 0))
             far = np.concatenate([[0], np.cumsum(~near)])[ends]
@@ -583,7 +705,7 @@ def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray,
 
     rows = written(texts.transform(in_arrow, run, schema))
     far = rows.select("row", "held_out", F.explode(F.arrays_zip("rare", "logs")).alias("x")).select("row", "held_out", F.col("x.rare").alias("word"), F.col("x.logs").alias("log"))
-    far = written(far.join(counts.select("word", "c"), "word", "left").select("row", "held_out", "log", F.coalesce("c", F.lit(0)).alias("c")))
+    far = written(far.join(counts.select("word", "c").hint("shuffle_hash"), "word", "left").select("row", "held_out", "log", F.coalesce("c", F.lit(0)).alias("c")))
 
     fitted = np.log(WEIGHTS) + np.log(1 - WEIGHTS)
     for r in rows.select(F.posexplode("told")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
@@ -605,25 +727,30 @@ def score_texts(texts: DataFrame, lm: Lm, counts: DataFrame, share: np.ndarray,
     )
 
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words that are more frequent than a bound which at most `most` of them pass: no word needs to be sorted among all."""
-    level = F.floor(F.log2("c") * 8)
+def level() -> Column:
+    return F.floor(F.log2("c") * 8)
+
+
+def bound(levels: dict[int, int], most: int) -> int:
+    """The level above which at most `most` words are, from how many each level has: no word needs to be sorted among all."""
     held = 0
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
-        held += r["count"]
+    for k in sorted(levels, reverse=True):
+        held += levels[k]
         if held > most:
-            return counts.where(level > r.level)
-    return counts
+            return k
+    return -1  # below any word's
 
 
 def score_documents(docs: DataFrame, path: str, lexicon: int = LEXICON) -> DataFrame:
     """score_texts of all docs by a model learned from those that aren't held out (crc32 of the id mod 5 is not 1)."""
-    counts = checkpoint(word_counts(docs.where(~held_out())))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    top = frequent(counts.where("word <> '' and c > 0").select("word", "c"), lexicon).toArrow()
-    ends = counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    counts = written(word_counts(docs.where(~held_out())))
+    sums = {r.level: r for r in counts.groupBy(F.when(F.col("word") != "", level()).alias("level")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    total, distinct = sum(r.n for r in sums.values()), sum(r.v for r in sums.values())
+    ends = sums.pop(None).n if None in sums else 0  # the level of '', whatever its count
+    least = bound({k: r.v for k, r in sums.items()}, lexicon)
+    top = counts.where((F.col("word") != "") & (level() > least)).toArrow()
     share = np.concatenate([[ends], np.asarray(top["c"], dtype=np.float64)])
     known = pa.concat_arrays([pa.array([""], pa.string()), *(x.cast(pa.string()) for x in top["word"].chunks)])  # the end's place is the first
     texts = written(tokenized(docs, known, path))
     lm = fit(texts.where("not held_out"), path)
-    return score_texts(texts, lm, counts, share, int(total.n), int(total.v))
+    return score_texts(texts, lm, counts.where(level() <= least), share, total, distinct)

@@ -190,6 +190,69 @@ def test_all_training_words_decide_on_the_weight(spark):
         assert a.score == pytest.approx(small[d].score, rel=1e-4)
 
 
+class Here:
+    """What a table function needs of a table, run in this process."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    sparkSession = sparkContext = property(lambda self: self)
+    select = lambda self, *columns: self
+    broadcast = lambda self, value: type("Shared", (), {"value": value})
+    transform = lambda self, how, run, schema: list(run(iter(self.batches)))
+
+
+def test_only_words_outside_the_lexicon_are_cut_by_each_task(monkeypatch, spark):
+    import pyarrow as pa
+
+    cut, plain = [], lm.word_symbols
+    monkeypatch.setattr(lm, "word_symbols", lambda vocab, path: (cut.append(vocab), plain(vocab, path))[1])
+    texts = ["La mer, la terre", None, "zyx la zyx mer, x"]
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([False, True, False]), pa.array(texts)], ["doc_id", "held_out", "text"])
+    (got,) = lm.tokenized(Here([b]), pa.array(["", "mer,", "la"]), PATH)
+    assert [sorted(v) for v in cut] == [["la", "mer,"], ["terre", "x", "zyx"]]
+    assert got.column("rare").to_pylist() == [["terre"], [], ["zyx", "zyx", "x"]]
+    assert lm.numbers(got.column("places"))[0].tolist() == [2, 1, 2, -1, -1, 2, -1, 1, -1]
+    flat, starts = lm.numbers(got.column("symbols"))
+    for i, t in enumerate(texts):
+        want = [x for w in (t or "").lower().split() for x in plain([w], PATH)[0].tolist()]
+        assert flat[starts[i] : starts[i + 1]].tolist() == want
+
+
+def test_mixtures_equal_plain_logarithms():
+    rng = np.random.default_rng(12)
+    log = rng.normal(-12, 6, 3000).clip(max=-1e-6)
+    log[::7] = -900  # exp of it is 0
+    share = np.where(rng.random(3000) < 0.4, 0, rng.random(3000) ** 8)
+    starts = np.array([0, 1, 2, 130, 131, 900, 2999])
+    with np.errstate(divide="ignore"):
+        plain = np.stack([np.logaddexp(np.log(w) + np.log(share), np.log(1 - w) + log) for w in lm.WEIGHTS], axis=1)
+    assert np.allclose(lm.mixtures(share, log, starts), np.add.reduceat(plain, starts), rtol=1e-12)
+
+
+def test_great_scores_and_logits_are_cut_off(monkeypatch):
+    net, rng = model(monkeypatch), np.random.default_rng(13)
+    net.p["query"] *= 40
+    net.p["out"] *= 200
+    x, begin = texts(net, rng, [70])
+    log = lm.symbol_logs(net, x, begin)
+    assert np.isfinite(log).all() and (log <= 1e-5).all()
+    z = np.array([[500, 70, 1], [-3, 2, 0.5]], np.float32)
+    want = np.minimum(z, 60).astype(float)
+    want -= np.log(np.exp(want).sum(1, keepdims=True))
+    assert np.allclose(lm.log_shares(z.copy(), np.array([1, 0])), want[[0, 1], [1, 0]], atol=1e-5)
+
+
+def test_cells_are_added_up_over_all_tasks(spark):
+    def count(b):  # frequent cells lie side by side
+        return np.bincount(np.asarray(b.column("id")) % 64, minlength=4096).astype(float)
+
+    cell, n = lm.summed(spark.range(0, 6400, 1, 4).select("id"), count, iter)
+    order = np.argsort(cell)
+    assert cell[order].tolist() == list(range(64)) and (n[order] == 100).all()
+    assert [len(x) for x in lm.summed(spark.range(0).select("id"), count, iter)] == [0, 0]
+
+
 def test_words_are_lower_cased_in_ascii_only():
     import pyarrow as pa
 
