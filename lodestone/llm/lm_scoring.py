@@ -343,7 +343,7 @@ def slopes(z: np.ndarray, own: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 def by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """The places in the order of their groups, and where each group that occurs lies in it."""
-    order = np.argsort(group.astype(np.int16), kind="stable")  # small numbers are sorted by their digits
+    order = np.argsort(group.astype(np.uint8 if groups <= 256 else np.int16), kind="stable")  # small numbers are sorted by their digits
     cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))]).tolist()
     return order, [(g, slice(a, b)) for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
 
@@ -371,12 +371,16 @@ def gradients(lm: Lm, p: dict[str, np.ndarray], keys: np.ndarray, there: np.ndar
     g = {}
 
     weights = np.concatenate([p["group_out"], p["group_bias"][None]])
-    z = told @ weights
+    z, back, both = np.empty((n, groups), np.float32), np.empty((n, width), np.float32), np.zeros((width + 1, groups), np.float32)
+    slabs = [slice(i, i + 512) for i in range(0, n, 512)]  # small products are faster than a large one of few columns
+    for at in slabs:
+        np.matmul(told[at], weights, out=z[at])
     z += np.take(lm.groups, last, axis=0)
     d = slopes(z, goal // size, share)
-    both = told.T @ d
+    for at in slabs:
+        both += told[at].T @ d[at]
+        np.matmul(d[at], p["group_out"].T, out=back[at])
     g["group_out"], g["group_bias"] = both[:width], both[width]
-    back = d @ p["group_out"].T
 
     weights, both = np.concatenate([p["out"], p["bias"][:, None]], axis=1), np.zeros((groups, width + 1, size), np.float32)
     order, parts = by_group(goal // size, groups)
@@ -404,12 +408,12 @@ def gradients(lm: Lm, p: dict[str, np.ndarray], keys: np.ndarray, there: np.ndar
     by_key = x.transpose(2, 0, 1, 3)
     for (some, _), (a, _, q, k, v) in zip(blocks, kept, strict=True):
         down, to = dg[:, some], by_key[:, some]
-        ds = down @ v.transpose(0, 1, 3, 2)
+        ds = down @ np.ascontiguousarray(v.transpose(0, 1, 3, 2))
         ds *= a
         by_offset += np.ones(ds.shape[1], np.float32) @ ds.reshape(HEADS, ds.shape[1], -1)
-        to[:, :, CONTEXT:, :DIM] = ds @ k
-        to[..., DIM : 2 * DIM] = ds.transpose(0, 1, 3, 2) @ q
-        to[..., 2 * DIM :] = a.transpose(0, 1, 3, 2) @ down[..., :VALUE]
+        np.matmul(ds, k, out=to[:, :, CONTEXT:, :DIM])
+        np.matmul(ds.transpose(0, 1, 3, 2), q, out=to[..., DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 1, 3, 2), down[..., :VALUE], out=to[..., 2 * DIM :])
     g["offset"] = np.stack([np.bincount(FAR.ravel(), weights=y, minlength=KEYS) for y in by_offset * CAUSAL.reshape(-1)])
     x = sums_by_class(x.reshape(keys.size, -1), keys.reshape(-1), classes + 1)[:classes].reshape(classes, HEADS, -1)
     g["query"], g["key"], g["value"] = x[..., :DIM], x[..., DIM : 2 * DIM], x[..., 2 * DIM :]
@@ -512,8 +516,9 @@ def symbol_logs(lm: Lm, x: np.ndarray, begin: np.ndarray, block: int = BLOCK, ma
             attend(heads, keys[i : i + block], gathered[i * STRIDE : (i + block) * STRIDE])
         group, log = own // size, np.empty(n, np.float32)
         for i in range(0, n, 4096):
-            part = slice(i, i + 4096)
-            z = gathered[part] @ p["group_out"]
+            part, z = slice(i, i + 4096), np.empty((min(4096, n - i), groups), np.float32)
+            for j in range(0, len(z), 512):
+                np.matmul(gathered[i + j : min(i + j + 512, i + len(z))], p["group_out"], out=z[j : j + 512])
             z += np.take(group_table, last[part], axis=0)
             log[part] = log_shares(z, group[part])
         order, parts = by_group(group, groups)
