@@ -9,6 +9,7 @@ from lodestone.functions.text import strip, words
 
 FRONT = r"(?s)\A---\n(.*?)\n---\n"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+OTHER_ENDS = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 HEADING = r"(?Ud)\A(#{1,6})\s+(.+)\z"
 
 
@@ -80,7 +81,10 @@ def sections(body: Column) -> Column:
         return F.struct(stack.alias("stack"), done.alias("done"))
 
     parts = F.split(F.array_join(lines(body), "\n"), r"(?Ud)\n(?=#{1,6}(?!#)[^\S\n][^\n])", -1)
-    return F.aggregate(parts, zero, lambda acc, x: step(acc, x).cast(state), lambda acc: acc["done"])
+    several = F.aggregate(parts, zero, lambda acc, x: step(acc, x).cast(state), lambda acc: acc["done"])
+    whole = strip(F.when(body.rlike(OTHER_ENDS), F.regexp_replace(body, LINE_ENDS, "\n")).otherwise(body))
+    one = F.filter(F.array(F.struct(F.array().cast("array<string>").alias("heading_path"), whole.alias("text"))), lambda s: s["text"] != "")
+    return F.when(F.contains(body, F.lit("#")), several).otherwise(one)  # most texts have no heading at all
 
 
 def pieces(text: Column, most: int) -> Column:

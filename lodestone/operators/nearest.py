@@ -66,17 +66,62 @@ def rounded(d: np.ndarray) -> np.ndarray:
     return out
 
 
-class Nearest:
-    """The k best rows of each query so far, in order."""
+class Best:
+    """The k best rows of each query so far, in order, by kind and key; of equal ones the first seen."""
 
-    def __init__(self, vectors: pa.ListArray, k: int) -> None:
-        self.k, n = k, len(vectors)
-        self.q, self.length, self.plain = matrix(vectors)
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
         self.kind = np.full((n, k), MISSING + 1, np.int8)  # 0: a number, 1: NaN, MISSING, beyond: no row
         self.key = np.full((n, k), np.inf)
         self.d = np.full((n, k), np.nan)
         self.row = np.full((n, k), -1, np.int64)
         self.seen = 0
+        self.kept, self.keys = np.zeros(0, np.int64), None
+
+    rounded = staticmethod(rounded)
+
+    def merge(self, i: np.ndarray, j: np.ndarray, kind: np.ndarray, key: np.ndarray, d: np.ndarray) -> None:
+        """Row j of those that come after the seen ones is of this key for query i."""
+        last_kind, last = self.kind[i, -1], self.key[i, -1]
+        better = (kind < last_kind) | ((kind == last_kind) & (key < last))
+        i, j, d, kind, key = i[better], j[better], d[better], kind[better], key[better]
+        if not len(i):
+            return
+        at, k = np.unique(i), self.k
+        who = np.concatenate([np.repeat(at, k), i])
+        kinds, keys = np.concatenate([self.kind[at].ravel(), kind]), np.concatenate([self.key[at].ravel(), key])
+        ds, rows = np.concatenate([self.d[at].ravel(), d]), np.concatenate([self.row[at].ravel(), self.seen + j])
+        order = np.lexsort((rows, keys, kinds, who))
+        begins = np.searchsorted(who[order], at)
+        take = order[(begins[:, None] + np.arange(k)).ravel()]
+        self.kind[at], self.key[at] = kinds[take].reshape(-1, k), keys[take].reshape(-1, k)
+        self.d[at], self.row[at] = ds[take].reshape(-1, k), rows[take].reshape(-1, k)
+
+    def end(self, part: pa.RecordBatch) -> None:
+        """The rows of part are seen: the keys of those that are among the best of any query are kept."""
+        new = np.unique(self.row[self.row >= self.seen])
+        keys = pa.Table.from_batches([part.select(["note_path", "ordinal"])]).take(pa.array(new - self.seen))
+        self.seen += part.num_rows
+        self.kept, self.keys = np.concatenate([self.kept, new]), keys if self.keys is None else pa.concat_tables([self.keys, keys])
+        if len(self.kept) > 2 * self.row.size + ROWS:
+            stay = np.isin(self.kept, self.row)
+            self.kept, self.keys = self.kept[stay], self.keys.filter(pa.array(stay)).combine_chunks()
+
+    def rows(self, ids: pa.Array, name: str) -> Iterator[pa.RecordBatch]:
+        of, place = np.nonzero(self.row >= 0)
+        for a in range(0, len(of), 1 << 17):
+            q, p = of[a : a + (1 << 17)], place[a : a + (1 << 17)]
+            keys = self.keys.take(pa.array(np.searchsorted(self.kept, self.row[q, p]))).combine_chunks()
+            d = pa.array(self.d[q, p], mask=self.kind[q, p] == MISSING)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *(c.chunk(0) for c in keys.columns), d], ["query_id", "note_path", "ordinal", name])
+
+
+class Nearest(Best):
+    """The k nearest rows of each query so far."""
+
+    def __init__(self, vectors: pa.ListArray, k: int) -> None:
+        super().__init__(len(vectors), k)
+        self.q, self.length, self.plain = matrix(vectors)
 
     def add(self, vectors: pa.ListArray) -> None:
         c, length, plain = matrix(vectors)
@@ -102,72 +147,33 @@ class Nearest:
                     limit = np.minimum(np.where(full[:, None], limit, np.inf), first)
                 keep = ~fine[:, None] | ~np.isfinite(limit) | ~(near > limit)
             i, j = np.nonzero(keep)
-            self.merge(a, i, j, c, length, q)
-        self.seen += len(c)
+            self.measure(a, i, j, c, length, q)
 
-    def merge(self, a: int, i: np.ndarray, j: np.ndarray, c: np.ndarray, length: np.ndarray, q: np.ndarray) -> None:
+    def measure(self, a: int, i: np.ndarray, j: np.ndarray, c: np.ndarray, length: np.ndarray, q: np.ndarray) -> None:
         if not len(i):
             return
         with np.errstate(all="ignore"):
             d = measured(np.ascontiguousarray(q.T)[:, i], np.ascontiguousarray(c.T)[:, j])
         same = (length[j] == self.length[a + i]) & (length[j] >= 0)
-        kind = np.where(same, np.isnan(d).astype(np.int8), MISSING).astype(np.int8)
-        d = np.where(same, d, np.nan)
-        key = np.where(kind == 0, rounded(d), 0.0)
-        last_kind, last = self.kind[a + i, -1], self.key[a + i, -1]
-        better = (kind < last_kind) | ((kind == last_kind) & (key < last))
-        i, j, d, kind, key = i[better], j[better], d[better], kind[better], key[better]
-        if not len(i):
-            return
-        at = np.unique(i)
-        old = a + at
-        k = self.k
-        who = np.concatenate([np.repeat(at, k), i])
-        kinds, keys = np.concatenate([self.kind[old].ravel(), kind]), np.concatenate([self.key[old].ravel(), key])
-        ds, rows = np.concatenate([self.d[old].ravel(), d]), np.concatenate([self.row[old].ravel(), self.seen + j])
-        order = np.lexsort((rows, keys, kinds, who))
-        begins = np.searchsorted(who[order], at)
-        take = order[(begins[:, None] + np.arange(k)).ravel()]
-        self.kind[old], self.key[old] = kinds[take].reshape(-1, k), keys[take].reshape(-1, k)
-        self.d[old], self.row[old] = ds[take].reshape(-1, k), rows[take].reshape(-1, k)
+        kind = np.where(same, np.isnan(d), MISSING).astype(np.int8)
+        self.merge(a + i, j, kind, np.where(kind == 0, rounded(d), 0.0), d)
 
 
 def search(queries: Callable[[], pa.Table], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow over (note_path, ordinal, embedding), sorted by the first two: query_id, note_path, ordinal and d of the k nearest of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, state, kept = queries().combine_chunks(), None, None
+        asked = queries().combine_chunks()
         if not asked.num_rows:
             return
+        ids, vectors = (asked.column(c).chunk(0) for c in ("query_id", "vector"))
+        state = Nearest(vectors, k)
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
-                state = state or Nearest(asked.column("vector").combine_chunks(), k)
-                begin = state.seen
                 state.add(part.column("embedding"))
-                kept = keys_of(state, kept, begin, part)
-        if state is None:
-            return
-        of, place = np.nonzero(state.row >= 0)
-        for a in range(0, len(of), 1 << 17):
-            q, p = of[a : a + (1 << 17)], place[a : a + (1 << 17)]
-            keys = kept.take(np.searchsorted(state.kept, state.row[q, p]))
-            d = pa.array(state.d[q, p], mask=state.kind[q, p] == MISSING)
-            ids = asked.column("query_id").combine_chunks().take(pa.array(q))
-            yield pa.RecordBatch.from_arrays([ids, *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in keys.columns), d], ["query_id", "note_path", "ordinal", "d"])
+                state.end(part)
+        if state.seen:
+            yield from state.rows(ids, "d")
 
     return run
-
-
-def keys_of(state: Nearest, kept: pa.Table | None, begin: int, part: pa.RecordBatch) -> pa.Table:
-    """The keys of the rows that are among the best of any query; state.kept says which rows they are."""
-    new = np.unique(state.row[state.row >= begin])
-    keys = pa.Table.from_batches([part.select(["note_path", "ordinal"])]).take(new - begin)
-    if kept is None:
-        state.kept = new
-        return keys
-    state.kept, out = np.concatenate([state.kept, new]), pa.concat_tables([kept, keys])
-    if len(state.kept) > 2 * state.row.size + ROWS:
-        stay = np.isin(state.kept, state.row)
-        state.kept, out = state.kept[stay], out.filter(pa.array(stay)).combine_chunks()
-    return out

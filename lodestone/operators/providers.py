@@ -11,11 +11,13 @@ from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lodestone.functions.text import tokens
+from lodestone.operators.scan import hashed
 
 log = logging.getLogger("lodestone")
 
@@ -56,14 +58,9 @@ class ChatError(Exception):
     """A chat call failed, for whatever reason."""
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once, however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 @dataclass(frozen=True)
 class HashEmbedder:
-    """Feature hashing: each token adds 1 or -1 to a bucket that its md5 names; the vector is scaled to length 1. All in SQL functions."""
+    """Feature hashing: each token adds 1 or -1 to a bucket that its md5 names; the vector is scaled to length 1."""
 
     dimension: int = 64
 
@@ -72,13 +69,13 @@ class HashEmbedder:
         return f"hash:{self.dimension}"
 
     def column(self, text: Column) -> Column:
-        number = lambda t, a: F.conv(F.substring(F.md5(t), a, 8), 16, 10).cast("long")
-        signed = F.transform(tokens(text), lambda t: F.struct((number(t, 1) % self.dimension).cast("int").alias("b"), (number(t, 9) % 2 * 2 - 1).cast("int").alias("v")))
-        total = lambda x, i: F.aggregate(x, F.lit(0), lambda s, y: s + F.when(y["b"] == i, y["v"]).otherwise(0))
-        vector = bound(signed, lambda x: F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda i: total(x, i)))
-        square = lambda v: F.aggregate(v, F.lit(0), lambda s, y: s + y * y)
-        unit = lambda v, n: F.transform(v, lambda y: F.when(n > 0, y / n).otherwise(0.0).cast("float"))
-        return bound(vector, lambda v: bound(F.sqrt(square(v).cast("double")), lambda n: unit(v, n)))
+        dimension = self.dimension
+
+        @F.arrow_udf("array<float>")
+        def embed(lowered: pa.Array) -> pa.Array:
+            return hashed(lowered, dimension)
+
+        return embed(F.lower(text))
 
 
 @dataclass(frozen=True)

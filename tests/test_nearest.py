@@ -51,4 +51,5 @@ def test_rounding_and_distances_are_those_of_sql(spark):
     state = nearest.Nearest(pa.array([[0.0, 0.0]]), 2)
     for part in ([[1.0, 0.0], [0.0, 1.0]], [[0.0, -1.0], [0.5, 0.0]]):
         state.add(pa.array(part))
+        state.end(pa.record_batch({"note_path": ["a", "b"], "ordinal": [0, 0]}))
     assert state.row.tolist() == [[3, 0]] and state.d.tolist() == [[0.5, 1.0]]
